@@ -124,9 +124,13 @@ def judge(counts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns in one pass (no join back)."""
+    """The rows of ``docs`` that are kept, with their own columns in one pass (no join back).
+
+    The filter also names a row number, which is not deterministic: the optimizer would otherwise push
+    ``kept`` below the projections and write out every nested count once per reference.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"_d{i}" for i in range(len(names))])
     at = names.index("text")
-    judged = judge(measure(plain, tuple(plain.columns), f"_d{at}"), rules)
-    return judged.filter("kept").select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])
+    judged = judge(measure(plain, tuple(plain.columns), f"_d{at}"), rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter("kept and _row >= 0").select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])
