@@ -13,7 +13,7 @@ forest of its links, at most a row per document, never all pairs. No bucket is c
 
 Defined cases: texts without words (null, empty, white space) have n_shingles 0 and are linked with
 nothing; fewer words than a shingle form one shingle; repeated rows of an id are one vertex, returned
-as often as given, and all rows of a kept id are kept; a null id is linked with nothing and kept;
+as often as given, and all rows of a kept id are kept; a null id is linked with nothing, has no component and is kept;
 extra columns are ignored.
 """
 
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
         signed.select("doc_id", "n_shingles", "set_id")
         .join(classes, "set_id", "left")
         .join(found.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
