@@ -11,13 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAYS = Window.partitionBy("symbol").orderBy("date")
-DAY = Window.partitionBy("date")
+
+def days():
+    """A symbol's rows in time order."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def day():
+    """All rows of a date."""
+    return Window.partitionBy("date")
 
 
 def trailing(n: int):
     """The last n rows of a symbol, this one included."""
-    return DAYS.rowsBetween(-(n - 1), 0)
+    return days().rowsBetween(-(n - 1), 0)
 
 
 def roll(agg: Callable[[Column], Column], x: Column, n: int, least: int) -> Column:
@@ -28,7 +35,7 @@ def roll(agg: Callable[[Column], Column], x: Column, n: int, least: int) -> Colu
 
 def forward_sum(x: Column, horizon: int) -> Column:
     """The sum of the next ``horizon`` values, NULL if any is missing."""
-    w = DAYS.rowsBetween(1, horizon)
+    w = days().rowsBetween(1, horizon)
     return F.when(F.count(x).over(w) == horizon, F.sum(x).over(w))
 
 
@@ -46,7 +53,7 @@ def ewma(x: Column, span: float) -> Column:
     """Exponentially weighted mean with normalised weights; a gap ages weights and repeats the last value."""
     keep = 1 - 2 / (span + 1)
     rows = math.ceil(math.log(1e-17) / math.log(keep)) if keep > 0 else 0
-    seen = F.collect_list(F.struct(x.alias("x"))).over(DAYS.rowsBetween(-rows, 0))
+    seen = F.collect_list(F.struct(x.alias("x"))).over(days().rowsBetween(-rows, 0))
     step = lambda s, v: F.struct(
         (s["num"] * keep + F.coalesce(v["x"], F.lit(0.0))).alias("num"), (s["den"] * keep + v["x"].isNotNull().cast("double")).alias("den")
     )
@@ -71,7 +78,7 @@ def zscore(x: Column, *keys: str) -> Column:
 
 def bounded_fill(x: Column, limit: int) -> Column:
     """The last value within ``limit`` rows before."""
-    return F.last(x, ignorenulls=True).over(DAYS.rowsBetween(-limit, 0))
+    return F.last(x, ignorenulls=True).over(days().rowsBetween(-limit, 0))
 
 
 def correlation(df: DataFrame, x: str, y: str, *keys: str, least: int = 1) -> DataFrame:

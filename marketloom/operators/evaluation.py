@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import DAY, average_rank, forward_sum, percent_rank, zscore
+from ..functions.windows import day, average_rank, forward_sum, percent_rank, zscore
 
 C = F.col
 YEAR = 252
@@ -20,7 +20,7 @@ YEAR = 252
 
 def winsorize(df: DataFrame, x: str = "f", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clips per date to interpolated quantiles."""
-    bounds = [F.percentile(x, q).over(DAY) for q in (low, high)]
+    bounds = [F.percentile(x, q).over(day()) for q in (low, high)]
     return df.withColumn(x, F.when(C(x).isNotNull(), F.greatest(bounds[0], F.least(bounds[1], C(x)))))
 
 
@@ -31,7 +31,7 @@ def preprocess(df: DataFrame, x: str = "f") -> DataFrame:
 
 def _pairs(df: DataFrame, least: int) -> DataFrame:
     valid = df.filter("f is not null and fwd is not null")
-    return valid.withColumn("_n", F.count(F.lit(1)).over(DAY)).filter(C("_n") >= least)
+    return valid.withColumn("_n", F.count(F.lit(1)).over(day())).filter(C("_n") >= least)
 
 
 def daily_rank_ic(df: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def decile_returns(df: DataFrame, n: int = 10) -> DataFrame:
 
     Ties go by symbol order; bucket edges are those of interpolated quantiles of the ranks, in integers.
     """
-    ranked = _pairs(df, 20).withColumn("_k", F.row_number().over(DAY.orderBy("f", "sym_ord")))
+    ranked = _pairs(df, 20).withColumn("_k", F.row_number().over(day().orderBy("f", "sym_ord")))
     bucket = F.greatest(F.lit(0), F.expr(f"cast(((_k - 1) * {n} + _n - 2) div (_n - 1) - 1 as int)"))
     daily = ranked.groupBy("date", bucket.alias("bucket")).agg(F.avg("fwd").alias("m"))
     return daily.groupBy("bucket").agg((F.avg("m") * YEAR).alias("ret"))
@@ -102,8 +102,8 @@ def monotonic(deciles: DataFrame) -> DataFrame:
 
 def turnover(df: DataFrame, share: float = 0.5) -> DataFrame:
     """One row: mean over dates of the share of names that enter or leave the two legs."""
-    held = df.filter("f is not null").withColumn("_n", F.count(F.lit(1)).over(DAY)).filter("_n >= 10")
-    held = held.withColumn("_k", F.row_number().over(DAY.orderBy("f", "sym_ord"))).withColumn("_c", F.floor(C("_n") * share))
+    held = df.filter("f is not null").withColumn("_n", F.count(F.lit(1)).over(day())).filter("_n >= 10")
+    held = held.withColumn("_k", F.row_number().over(day().orderBy("f", "sym_ord"))).withColumn("_c", F.floor(C("_n") * share))
     dates = held.select("date", "_c").distinct()
     dates = dates.withColumns(
         {"before": F.lag("date").over(Window.partitionBy(F.lit(1)).orderBy("date")), "_cb": F.lag("_c").over(Window.partitionBy(F.lit(1)).orderBy("date"))}

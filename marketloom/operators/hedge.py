@@ -11,8 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
-DAYS = Window.partitionBy("series_id").orderBy("date")
-SO_FAR = DAYS.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def days():
+    """A series' rows in time order."""
+    return Window.partitionBy("series_id").orderBy("date")
+
+
+def so_far():
+    return days().rowsBetween(Window.unboundedPreceding, 0)
 
 
 @dataclass(frozen=True)
@@ -38,13 +45,13 @@ class VolTarget:
 
 
 def _full(agg, x: Column, n: int) -> Column:
-    w = DAYS.rowsBetween(-(n - 1), 0)
+    w = days().rowsBetween(-(n - 1), 0)
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
 def indicators(series: DataFrame, cfg: VolTarget = VolTarget()) -> DataFrame:
     """Adds sma_fast, sma_slow and rv20 (annual deviation of log returns through the date)."""
-    df = series.withColumn("_lr", F.ln(F.try_divide("close", F.lag("close").over(DAYS))))
+    df = series.withColumn("_lr", F.ln(F.try_divide("close", F.lag("close").over(days()))))
     return df.withColumns(
         {
             "sma_fast": _full(F.avg, C("close"), cfg.sma_fast),
@@ -89,16 +96,16 @@ def exposure(series: DataFrame, cfg: VolTarget = VolTarget(), rv_override: float
 
 def backtest(series: DataFrame, cfg: VolTarget = VolTarget(), cash_rate: float = 0.0, fill: str = "pad") -> DataFrame:
     """Adds ret, portfolio_ret (yesterday's exposure, the rest at the cash rate) to the exposure."""
-    close = F.last("close", ignorenulls=True).over(SO_FAR) if fill == "pad" else C("close")
-    df = exposure(series, cfg).withColumn("_c", close).withColumn("ret", F.try_divide("_c", F.lag("_c").over(DAYS)) - 1)
-    held = F.lag("exposure").over(DAYS)
+    close = F.last("close", ignorenulls=True).over(so_far()) if fill == "pad" else C("close")
+    df = exposure(series, cfg).withColumn("_c", close).withColumn("ret", F.try_divide("_c", F.lag("_c").over(days())) - 1)
+    held = F.lag("exposure").over(days())
     return df.withColumn("portfolio_ret", held * C("ret") + (1 - held) * (cash_rate / cfg.annualization)).drop("_c")
 
 
 def series_stats(df: DataFrame, r: str, label: str, cfg: VolTarget = VolTarget()) -> DataFrame:
     """Per series: annual return, volatility, Sharpe, drawdown, Calmar and total return of ``r``; at least 10 rows."""
-    rows = df.filter(C(r).isNotNull()).withColumn("_cum", F.product(1 + C(r)).over(SO_FAR))
-    rows = rows.withColumn("_dd", F.try_divide("_cum", F.max("_cum").over(SO_FAR)) - 1)
+    rows = df.filter(C(r).isNotNull()).withColumn("_cum", F.product(1 + C(r)).over(so_far()))
+    rows = rows.withColumn("_dd", F.try_divide("_cum", F.max("_cum").over(so_far())) - 1)
     g = rows.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("_n"), (F.avg(r) * cfg.annualization).alias("ret"), (F.stddev_samp(r) * cfg.annualization**0.5).alias("vol"),
         F.min("_dd").alias("dd"), (F.max_by("_cum", "date") - 1).alias("total"),

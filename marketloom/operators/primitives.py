@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import DAY, roll, rolling_corr, trailing
+from ..functions.windows import day, roll, rolling_corr, trailing
 
 C = F.col
 
@@ -81,6 +81,6 @@ def latest(panel: DataFrame, value: str, n: int) -> DataFrame:
     """On the last date, the n highest and n lowest values: side, place, symbol, value."""
     last = panel.agg(F.max("date").alias("_d"))
     rows = panel.join(F.broadcast(last), C("date") == C("_d"), "left_semi").filter(C(value).isNotNull())
-    high = rows.withColumn("place", F.row_number().over(DAY.orderBy(F.desc(value), "symbol"))).withColumn("side", F.lit("top"))
-    low = rows.withColumn("place", F.row_number().over(DAY.orderBy(F.asc(value), "symbol"))).withColumn("side", F.lit("bottom"))
+    high = rows.withColumn("place", F.row_number().over(day().orderBy(F.desc(value), "symbol"))).withColumn("side", F.lit("top"))
+    low = rows.withColumn("place", F.row_number().over(day().orderBy(F.asc(value), "symbol"))).withColumn("side", F.lit("bottom"))
     return high.unionByName(low).filter(C("place") <= n).select("side", "place", "symbol", C(value).alias("value"))

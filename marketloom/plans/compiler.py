@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import DAYS, ewma, percent_rank, roll, rolling_corr, zscore
+from ..functions.windows import days, ewma, percent_rank, roll, rolling_corr, zscore
 from ..operators.primitives import LOOKBACK, PRIMITIVES, with_primitives
 from .grammar import FormulaError, Node, parse
 
@@ -36,9 +36,9 @@ def _expression(node: Node, args: list[Column]) -> Column:
     both = x.isNotNull() & y.isNotNull()
     match node.head:
         case "lag":
-            return F.lag(x, _window(node)).over(DAYS)
+            return F.lag(x, _window(node)).over(days())
         case "diff":
-            return x - F.lag(x, _window(node)).over(DAYS)
+            return x - F.lag(x, _window(node)).over(days())
         case "rolling_mean":
             return roll(F.avg, x, _window(node), 1)
         case "rolling_sum":
@@ -52,7 +52,10 @@ def _expression(node: Node, args: list[Column]) -> Column:
                 raise FormulaError("rolling_std needs at least 2 rows")
             return roll(F.stddev_samp, x, _window(node), 2)
         case "rolling_corr":
-            return rolling_corr(x, y, _window(node))
+            try:
+                return rolling_corr(x, y, _window(node))
+            except ValueError as e:
+                raise FormulaError(str(e)) from e
         case "ewma":
             return ewma(x, node.number("span", 20))
         case "rank":

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import DAYS, bounded_fill
+from ..functions.windows import days, bounded_fill
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +39,9 @@ def densify(observed: DataFrame) -> DataFrame:
 
 def returns(dense: DataFrame, fill: str = "pad") -> DataFrame:
     """Adds ret: change of the close, gaps padded ("pad") or not ("none")."""
-    close = F.last("price", ignorenulls=True).over(DAYS.rowsBetween(Window.unboundedPreceding, 0)) if fill == "pad" else F.col("price")
+    close = F.last("price", ignorenulls=True).over(days().rowsBetween(Window.unboundedPreceding, 0)) if fill == "pad" else F.col("price")
     padded = dense.withColumn("_close", close)
-    return padded.withColumn("ret", F.try_divide("_close", F.lag("_close").over(DAYS)) - 1).drop("_close")
+    return padded.withColumn("ret", F.try_divide("_close", F.lag("_close").over(days())) - 1).drop("_close")
 
 
 def complete_dates(panel: DataFrame) -> DataFrame:
