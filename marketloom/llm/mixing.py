@@ -17,7 +17,7 @@ are the only ones that are windowed by source.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source, last in
 order; sources without words get target 0; repeated rows are documents of their own with equal places
-in the order; null ids are ordered as 0; extra columns pass through ``mixed``.
+in the order; null ids are ordered as 0; extra columns pass through ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,10 +123,11 @@ _TIMES = "passes + if(pmod(pmod(b, n_blocks) * step + shift, greatest(n_blocks,
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, source, text) with size, source_size, target and taken."""
+    """doc_id, source, size, source_size, target and taken of every row of ``docs`` (doc_id, source, text)."""
     slices = f"if(size = 0, cast(array() as array<bigint>), sequence(begin div {block}, (begin + size - 1) div {block}))"
     taken = f"aggregate({slices}, 0L, (a, b) -> a + (least((b + 1) * {block}, begin + size) - greatest(b * {block}, begin)) * ({_TIMES}))"
-    return plan(docs, block, seed).withColumn("taken", F.expr(taken))
+    planned = plan(docs.select("doc_id", "source", "text"), block, seed).withColumn("taken", F.expr(taken))
+    return planned.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -136,9 +137,11 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     from the original and joined by line feeds. n_chars, if there, follows the text.
     """
     columns = docs.columns
+    others = [c for c in columns if c not in ("doc_id", "source", "text")]
+    held = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("_"), *others).alias("_others"))  # out of the way of own names
     slices = f"if(size = 0, cast(array() as array<bigint>), sequence(begin div {block}, (begin + size - 1) div {block}))"
     cut = f"transform(filter({slices}, b -> ({_TIMES}) > copy), b -> struct(greatest(b * {block}, begin) - begin as a, least((b + 1) * {block}, begin + size) - begin as z))"
-    rows = plan(docs, block, seed).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1)))).withColumn("_cut", F.expr(cut)).filter(F.size("_cut") > 0)
+    rows = plan(held, block, seed).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1)))).withColumn("_cut", F.expr(cut)).filter(F.size("_cut") > 0)
     part = F.expr("aggregate(_cut, 0L, (a, s) -> a + s.z - s.a)") < F.col("size")
 
     @F.pandas_udf("string")
@@ -147,9 +150,10 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
 
     rows = rows.withColumn("_part", F.when(part, taken(F.when(part, F.col("text")), F.when(part, F.col("_cut")).otherwise(F.expr("cast(array() as array<struct<a: bigint, z: bigint>>)")))))
     rows = rows.withColumn("text", F.coalesce("_part", "text"))
+    given = {c: F.col(f"_others.`{c}`") for c in others} | {c: F.col(c) for c in ("doc_id", "source", "text")}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+        given["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[given[c].alias(c) for c in columns])
 
 
 def excerpt(text: str | None, cuts: list[tuple[int, int]]) -> str | None:

@@ -195,7 +195,7 @@ def test_secrets(docs, rows):
         line = ",".join(f"{k}:{a}:{z}" for a, _, k, z in spans)
         assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest(), i
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
-        assert set(line.split(",")) <= set(got[i].spans.split(","))
+        assert not line or set(line.split(",")) <= set(got[i].spans.split(","))
     start = rows[19][1].index("kJ8s")
     assert got[19].spans == f"random:{start}:{start + 32}"
     assert secret_scan.dismissed_from({(0, 40): 5, (0, 0): 95})[0] <= 40
