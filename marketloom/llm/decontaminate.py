@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, small_batches
+from .shared import small_batches
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -145,12 +145,26 @@ def offsets(text: str, spans: list[list[int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, with their own columns."""
-    bad = saved(hits(docs, benchmark, window).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    if bad.count() <= 1_000_000:  # 8 MB of ids
-        bad = F.broadcast(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, with their own columns.
+
+    Each row is judged on its own text as it streams by: no join, and a clean row stays whatever other
+    rows have its id.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark, block_bytes):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], name: str = uuid.uuid4().hex, sent=sent) -> Iterator[pa.RecordBatch]:
+            a = _automaton(name, sent.value, window)
+            for batch in batches:
+                split = (words((text or "").encode()) for text in batch.column(at).to_pylist())
+                yield batch.filter(pa.array([not (w and len(a) and next(a.iter(_spaced(w)), None)) for w in split], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def item_digest(items: list[str]) -> str:

@@ -183,6 +183,8 @@ def test_decontamination(docs, benchmark, rows):
         for got in (one, many):
             assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == want
     assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == {i for i, _ in rows if not one[i].contaminated}
+    twins = docs.filter("doc_id in (10, 15)").drop("doc_id").selectExpr("cast(null as bigint) doc_id", "*")
+    assert [r.text for r in decontaminate.clean(twins, benchmark, block_bytes=100).collect()] == [rows[15][1]]
     spans = next(r.spans for r in decontaminate.hits(docs, benchmark).collect() if r.doc_id == 10)
     (a, z), = decontaminate.offsets(rows[10][1], [list(s) for s in spans])
     assert decontaminate.words(rows[10][1][a:z].encode()) == decontaminate.words(rows[20][1].encode())
