@@ -217,7 +217,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     if rows[0]:
                         yield _batch(rows)
 
-    shards = manifest.select("path", "start").repartition(F.col("path"))
+    # a task per shard: a stated number is not merged, however few bytes the paths are
+    shards = manifest.select("path", "start").repartitionByRange(max(1, manifest.count()), "path")
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -241,4 +242,4 @@ def lookup(spark: SparkSession, manifest: DataFrame, ids: list[int]) -> DataFram
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "token_ids"])
 
-    return manifest.select("path").mapInArrow(run, "doc_id long, token_ids array<long>")
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, token_ids array<long>")

@@ -191,7 +191,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_PA_PARSED)
 
-    parsed = archives.repartition(F.col("path")).mapInArrow(run, _PARSED)
+    # a task per file: a stated number is not merged, however few bytes the paths are
+    parsed = archives.repartitionByRange(max(1, archives.count()), "path").mapInArrow(run, _PARSED)
     whole = parsed.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_reassembled, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, problem string")
     pages = saved(whole, "pages")
     sizes = pages.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("of_response"))
