@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, near_dedup, quality_rules, secret_scan, sstable, token_counts, toxicity, url_filter, warc
+from .oracle import ORACLE_SQL  # noqa: F401  read by __spark_entry__
 from .shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,4 +59,3 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_near_dedup, op3_sstable_shards, op4_warc_segments, op5_sainte_lague_mix, op6_decontaminate,
     op7_token_counts, op8_secret_scan, op9_url_filter, op10_toxicity,
 )}
-ORACLE_SQL: dict[str, str] = {}
