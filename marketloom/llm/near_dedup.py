@@ -8,8 +8,9 @@ sets of shingles.
 
 Scale: texts with equal sets are one class from the start. A band's bucket is named by its smallest
 document; documents meet once per such name, not once per band. A large group is dealt into blocks of
-about ``BLOCK`` documents and every pair of blocks is a task of its own; a task returns a spanning
-forest of its links, at most a row per document, never all pairs. No bucket is capped.
+about ``BLOCK`` documents; each block meets itself and the name's document, and only members that this
+leaves unconnected meet the other blocks. A task returns a spanning forest of its links, at most a row
+per document, never all pairs. No bucket is capped.
 
 Defined cases: texts without words (null, empty, white space) have n_shingles 0 and are linked with
 nothing; fewer words than a shingle form one shingle; repeated rows of an id are one vertex, returned
@@ -34,6 +35,8 @@ BANDS, ROWS, BITS, BLOCK = 32, 5, 512, 256
 K = BANDS * ROWS
 #: Ids of texts to read again up to this number are broadcast (8 MB); more are joined.
 BROADCAST_IDS = 1_000_000
+#: A class of over a HOT-th of all rows is hot; there are fewer than HOT.
+HOT = 1000
 
 _RNG = np.random.default_rng(20240611)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
@@ -225,7 +228,7 @@ def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             doc, block = t.column("doc_id").to_numpy(), t.column("block").to_numpy()
-            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            hub, lo, hi = (t.column(c)[0].as_py() for c in ("hub", "lo", "hi"))
             sets = [np.asarray(s, np.int64) for s in t.column("shingles").to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             both = _intersections(sets)
@@ -248,7 +251,7 @@ def _links(percent: int):
             pairs = [(doc[root(i)], doc[i]) for i in range(len(doc)) if doc[root(i)] != doc[i]]
             if pairs:
                 a, b = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([hub] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["hub", "a", "b"])
 
     return run
 
@@ -272,27 +275,8 @@ def connected(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = saved(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"), "signatures")
-    classes = signed.filter("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = saved(
-        signed.join(classes, "set_id").filter("doc_id = rep").dropDuplicates(["doc_id", "set_id"]).select("doc_id", "n_shingles", "bands", "sketch"), "classes"
-    )
-    keys = reps.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
-    members = saved(keys.join(buckets, "key").select("hub", "doc_id").distinct(), "members")
-    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        members.join(blocks, "hub")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "block", "n_shingles", "sketch")
-    )
+def _confirmed(texts: DataFrame, dealt: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (hub, a, b) of the tasks (hub, lo, hi) in ``dealt``: a forest per task, a its smallest id."""
     order = ["hub", "lo", "hi"]
     near = saved(
         dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_close_by_sketch(similarity), "hub long, lo int, hi int, doc_id long, block int"),
@@ -302,20 +286,86 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id", "shingles"])
-    links = saved(
+    return saved(
         near.join(sets, "doc_id")
         .select("hub", "lo", "hi", "doc_id", "block", "shingles")
         .repartition(*order)
         .sortWithinPartitions(*order)
-        .mapInArrow(_links(round(similarity * 100)), "a long, b long"),
+        .mapInArrow(_links(round(similarity * 100)), "hub long, a long, b long"),
         "links",
     )
-    found = connected(links)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _candidate_links(texts: DataFrame, reps: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all that reach each other within a bucket.
+
+    First each block of a group meets itself and the group's hub. Members joined to the hub are settled:
+    links among them would add nothing. Only the others then meet the rest of their group, so a large
+    group of near copies costs its size and not its square.
+    """
+    sketches = reps.select("doc_id", "n_shingles", "sketch")
+    large = saved(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    every = F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)
+    first = (
+        members.join(_small(large), "hub", "left")
+        .withColumn("block", F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(own)))
+        .join(sketches, "doc_id")
+        .select("hub", F.col("block").alias("lo"), F.col("block").alias("hi"), "doc_id", "block", "n_shingles", "sketch")
+    )
+    links = _confirmed(texts, first, width, similarity)
+    settled = links.filter("a = hub").select("hub", F.col("b").alias("doc_id"), F.lit(True).alias("_joined")).distinct()
+    state = members.join(_small(large), "hub", "left_semi").join(settled, ["hub", "doc_id"], "left")
+    state = saved(state.select("hub", "doc_id", (F.col("_joined").isNotNull() | (F.col("doc_id") == F.col("hub"))).alias("settled")), "state")
+    parts = state.groupBy("hub").agg(
+        F.ceil(F.count_if(~F.col("settled")) / BLOCK).cast("int").alias("open"), F.ceil(F.count_if("settled") / BLOCK).cast("int").alias("closed")
+    )
+    parts = saved(parts.filter("open > 0"), "open")
+    if not parts.limit(1).count():
+        return links.select("a", "b")
+    # open members fill the blocks before ``open``, settled ones those after; two settled blocks never meet
+    number = F.when(F.col("settled"), F.col("open") + F.pmod(F.xxhash64("doc_id"), "closed")).otherwise(F.pmod(F.xxhash64("doc_id"), "open")).cast("int")
+    last = F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("closed")) - 1
+    second = (
+        state.join(_small(parts), "hub")
+        .withColumns({"block": number, "last": last})
+        .join(sketches, "doc_id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        .select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "block", "n_shingles", "sketch")
+    )
+    return links.union(_confirmed(texts, second, width, similarity)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    signed = saved(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"), "signatures")
+    # equal sets have equal signatures, so the smallest row of a class is its smallest document
+    least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("least")
+    classes = saved(signed.filter("doc_id is not null and set_id is not null").groupBy("set_id").agg(least, F.count("*").alias("copies")), "classes")
+    reps = classes.select("least.*")
+    keys = reps.select(F.explode("bands").alias("key"), "doc_id")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
+    members = saved(keys.join(buckets, "key").select("hub", "doc_id").distinct(), "members")
+    found = connected(_candidate_links(texts, reps, members, width, similarity))
+    named = classes.select("set_id", "copies", F.col("least.doc_id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    named = saved(named.select("set_id", "copies", F.coalesce("component", "rep").alias("component")), "named")
+    # classes of over a HOT-th of all rows are fewer than HOT: they are broadcast, so no task gets a hot class
+    hot = F.broadcast(named.filter(F.col("copies") > signed.count() / HOT).drop("copies"))
+    rows = signed.select("doc_id", "n_shingles", "set_id")
+    filled = rows.filter("set_id is not null")
     out = (
-        signed.select("doc_id", "n_shingles", "set_id")
-        .join(classes, "set_id", "left")
-        .join(found.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+        filled.join(hot, "set_id")
+        .unionByName(filled.join(hot.select("set_id"), "set_id", "left_anti").join(named.drop("copies"), "set_id", "left"))
+        .unionByName(rows.filter("set_id is null").withColumn("component", F.lit(None).cast("long")))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
