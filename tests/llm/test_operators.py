@@ -92,6 +92,23 @@ def test_chain_and_large_group(spark):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
 
 
+def test_small_blocks_of_a_group_with_members_far_from_its_hub(spark, monkeypatch):
+    """Near copies of one text, a chain that drifts away from it, and exact copies, in blocks of 4."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    near = [(i, " ".join(w if rng.random() > 0.006 else f"n{i}" for w in base)) for i in range(40)]
+    drift, chain = list(base), []
+    for i in range(40, 80):
+        for _ in range(2):
+            drift[rng.randrange(150)] = f"d{i}"
+        chain.append((i, " ".join(drift)))
+    rows = near + chain + [(80 + i, near[0][1]) for i in range(9)]
+    rng.shuffle(rows)
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute.components(rows, 4)
+
+
 def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 4).collect())
