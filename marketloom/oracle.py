@@ -156,7 +156,7 @@ def _stats(r: str, label: str) -> str:
 def _backtest() -> str:
     stat = lambda t: {f"{t}_annual_return": f"{t}.ret", f"{t}_annual_vol": f"{t}.vol", f"{t}_sharpe": f"CASE WHEN {t}.vol > 0 THEN {t}.ret / {t}.vol ELSE 0 END", f"{t}_max_dd": f"{t}.dd", f"{t}_calmar": f"CASE WHEN {t}.dd <> 0 THEN {t}.ret / abs({t}.dd) ELSE 0 END"}
     use = {"mean_exposure": "u.e", "mean_w_vol": "u.w", "pct_in_cash": "u.lo", "pct_levered": "u.hi", "pct_at_leverage_cap": "u.cap"}
-    more = {"dd_reduction": "buyhold.dd - portfolio.dd", "return_cost": "portfolio.ret - buyhold.ret", "target_vol": "3.0"}
+    more = {"dd_reduction": "buyhold.dd - portfolio.dd", "return_cost": "portfolio.ret - buyhold.ret", "target_vol": "CAST(3 AS DOUBLE)"}
     return f"""WITH {EXPOSURE},
 t AS (SELECT *, close / lag(close) OVER (ORDER BY date) - 1 AS ret, lag(exposure) OVER (ORDER BY date) AS held FROM expo),
 tested AS (SELECT *, held * ret + (1 - held) * (0.02 / 252) AS pr FROM t),
@@ -247,7 +247,7 @@ SELECT factor, CASE WHEN t >= 3 AND s >= 1 THEN (CASE WHEN o > 0.6 OR c > 0.7 TH
 SELECT 'top' AS side, CAST(hi AS INTEGER) AS place, symbol, {rounded(value='value')} FROM r WHERE hi <= 5 UNION ALL SELECT 'bottom', CAST(lo AS INTEGER), symbol, {rounded(value='value')} FROM r WHERE lo <= 5""",
     "hedge_indicators": f"WITH {SERIES} SELECT date, {rounded(close='close', sma_fast='sma_fast', sma_slow='sma_slow', rv20='rv20')} FROM ind",
     "hedge_debounced_gate": f"WITH {SERIES}, {debounced('sma_fast', 'af')} SELECT ind.date, af.above FROM ind LEFT JOIN af USING (date)",
-    "hedge_exposure": f"WITH {EXPOSURE} SELECT date, leverage_capped, {rounded(gate='gate', w_vol='w_vol', exposure='exposure', cash='cash')} FROM expo",
+    "hedge_exposure": f"WITH {EXPOSURE} SELECT date, leverage_capped, {rounded(gate='CAST(gate AS DOUBLE)', w_vol='w_vol', exposure='exposure', cash='cash')} FROM expo",
     "hedge_backtest_stats": _backtest(),
     "hedge_asof": f"WITH {EXPOSURE}, {MONTHS} SELECT as_of, date, {rounded(exposure='exposure')} FROM months ASOF JOIN expo ON months.as_of >= expo.date",
     "hedge_parameters": f"""WITH {EXPOSURE}, {MONTHS} SELECT as_of AS requested_date, date AS as_of_date, CASE gate WHEN 1 THEN 'risk-on' WHEN 0.5 THEN 'half' WHEN 0 THEN 'cash' END AS regime, CAST(gate AS DOUBLE) AS gate, leverage_capped,
