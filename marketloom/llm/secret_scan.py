@@ -4,7 +4,8 @@ All work is built-in functions over arrays of spans. Positions come from the pie
 (``split`` by the same pattern), so they are code points, end exclusive.
 
 Base patterns find assignments, access keys and long hex runs. The battery looks at every other run of
-20 or more characters of a key's alphabet with letters and digits. Per inferred encoding (hex, base32,
+20 or more characters of a key's alphabet, but for those of small letters only or digits only: keys without
+a digit are in mixed case or base32. Per inferred encoding (hex, base32,
 base62, base64) it computes p-values of three tests of "a random string of this alphabet": chi-squared
 uniformity (Wilson-Hilferty), runs above and below the alphabet's middle, and lag-one serial
 correlation, joined by Bonferroni. Natural strings fail, random keys do not. How small a p-value must be
@@ -29,7 +30,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),  # a run is matched whole, so shorter runs cannot hide one
 )
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A run starts after anything outside the alphabet, '=' too, which is padding only at a run's end.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]*[A-Z]|[0-9+/_-]*[a-z][a-z+/_-]*[0-9]|[a-z+/_-]*[0-9][0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings from narrow to wide: name, pattern of a whole string, alphabet in order.
 ENCODINGS = (

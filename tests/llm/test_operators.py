@@ -220,6 +220,14 @@ def test_secrets(docs, rows):
     assert secret_scan.dismissed_from({(0, 40): 5, (0, 0): 95})[0] <= 40
 
 
+def test_secrets_after_an_equals_sign_and_without_a_digit(spark):
+    key, letters, base32 = "kJ8sWq2LmZx91TtRbV0pYc4NdGfA7uEi", "kJqsWxLmZbHcTtRbVfpYcDNdGfAeuEi", "QJ4SWK2LMZX3TTRBVOPYC5NDGFA7UEIH"
+    texts = [f"PRIVATE_KEY={key} x", f"GET /a?sig={key}&b=1", f"key {letters} in", f"A_KEY={letters}", f"x={base32}==", f"{key}=={key}", "thisisalongrunofsmallletters", "key 12345678901234567890"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: r.spans for i, r in by_id(secret_scan.digest(secret_scan.scan(df))).items()}
+    assert got == {0: "random:12:44", 1: "random:11:43", 2: "random:4:35", 3: "random:6:37", 4: "random:2:36", 5: "random:0:34,random:34:66", 6: "", 7: "hex:4:24"}
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://a.COM", "http://a.com/x?y", "https://www.Example.com/en/1", "http://example.com/en/1#f", "http://m.example.com/en/", "http://x.net/es/1", "ftp://net/fr/?q", "http://xnet/fr/", "http://casino-win.org/bonus", "http://library.org/books/a", "http://com?x/"]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
