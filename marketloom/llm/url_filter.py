@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +24,33 @@ from .shared import lower_ascii
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MAX_RULES = 1000
 N_GRAMS, BUCKETS, CUTOFF = (3, 4), 4096, 0.5
-#: The labelled URLs, bad and good.
-BAD = """cheap-pills.example/buy casino-win.example/bonus adult-x.example/video ads-track.example/click free-money.example/now
-win-prize.example/claim online-casino.example/slots poker-bonus.example/join cheap-meds.example/viagra pills-shop.example/order
-xxx-cams.example/live adult-chat.example/hot sexy-x.example/pics track-ads.example/pixel click-ads.example/banner
-ad-tracker.example/redirect casino-slots.example/spin bet-win.example/odds lottery-win.example/ticket loan-fast.example/apply
-replica-watch.example/sale crack-keygen.example/download free-spins.example/play weight-loss.example/miracle hot-adult.example/x
-payday-loan.example/cash viagra-cheap.example/pills winner-prize.example/gift tracker-x.example/beacon casino-x.example/vip""".split()
-GOOD = """news.example/en/2021 library.example/books university.example/research museum.example/collection city.example/transport
-weather.example/forecast science.example/articles wiki.example/history recipes.example/soup garden.example/roses
-music.example/concerts travel.example/spain school.example/lessons health.example/advice government.example/forms
-docs.example/manual blog.example/posts journal.example/volume theatre.example/season football.example/results
-thering.example/en/12 theren.example/de/245.html tionble.example/fr/33 therhe.example/es/81 onand.example/en/404 ingthe.example/en/9
-hotel.example/rooms bank.example/contact post.example/parcels railway.example/timetable""".split()
+#: The ridge penalty against the whole log loss, so that it does not depend on the number of labelled URLs; 0.05 at 60 of them.
+PENALTY = 3.0
+#: General vocabulary of unwanted and of plain sites, not taken from any table.
+BAD_WORDS = """casino poker slots bet bets betting jackpot roulette lottery gamble bonus spins win prize winner claim
+pills viagra cialis pharmacy meds drugs diet miracle xxx sex sexy porn adult cams nude escort dating hookup singles
+spam farm clickbait ads adserver banner popup track tracker pixel affiliate phish phishing login-verify malware virus trojan
+drop hack crack keygen warez torrent serial cheap free replica fake loan payday cash money profit crypto-double hot""".split()
+GOOD_WORDS = """news weather library museum university school college research science physics biology history language
+dictionary wiki encyclopedia journal article archive government council parliament court police hospital clinic health
+medicine dentist nursing bank insurance tax office post parcel railway train bus airport airline hotel restaurant recipe
+kitchen bakery garden flower farmer forest river mountain travel tourism guide map city village house window
+winter wine music concert theatre opera film cinema painting gallery photo camera book author poetry story novel reader
+sport football tennis running cycling swimming chess children family teacher student lesson course exam manual docs
+support software hardware computer linux python developer forum community meeting conference event calendar contact
+letter better alphabet beta tracks cheddar pillow address advice adviser sextant phone
+physician hotline freedom cashmere moneta market shop store garage repair car bicycle furniture clothing shoes""".split()
+#: The same shapes for both labels, so that neither subdomain, top level nor path tells them apart.
+SHAPES = ("{a}-{b}.com/en/12", "www.{b}{a}.org/de/345.html", "{a}.net/fr/678/", "m.{a}-{c}.net/es/90", "blog.{c}-{a}.com/{b}", "{a}{c}.org/index.html", "my-{a}.info/2021/{c}")
+
+
+def urls_of(words: list[str]) -> list[str]:
+    """URLs without scheme: every word in every shape, each time beside other words of the list."""
+    n = len(words)
+    return [shape.format(a=w, b=words[(i + 5 * k + 7) % n], c=words[(i + 11 * k + 17) % n]) for i, w in enumerate(words) for k, shape in enumerate(SHAPES)]
+
+
+BAD, GOOD = urls_of(BAD_WORDS), urls_of(GOOD_WORDS)
 
 
 def parts(pages: DataFrame) -> DataFrame:
@@ -56,11 +70,11 @@ def _terms(sizes: tuple[int, ...], buckets: int) -> str:
 
 
 def fit(spark: SparkSession, bad: list[str] = BAD, good: list[str] = GOOD, buckets: int = BUCKETS) -> tuple[float, list[float]]:
-    """(intercept, a weight per bucket) from two short lists of URLs without scheme."""
-    rows = ", ".join(f"({y}D, 'http://{u}')" for us, y in ((bad, 1), (good, 0)) for u in us)
-    labelled = parts(spark.sql(f"SELECT * FROM VALUES {rows} AS t(label, url)")).withColumn("terms", F.expr(_terms(N_GRAMS, buckets)))
-    dense = F.expr(f"transform(sequence(0, {buckets - 1}), i -> if(array_contains(terms, i), 1D, 0D))")
-    model = LogisticRegression(regParam=0.05, maxIter=60, standardization=False).fit(labelled.select("label", array_to_vector(dense).alias("features")).coalesce(1))
+    """(intercept, a weight per bucket) from two lists of URLs without scheme."""
+    lists = " UNION ALL ".join(f"SELECT {y}D AS label, explode(split('{' '.join(us)}', ' ')) AS u" for us, y in ((bad, 1), (good, 0)))
+    labelled = parts(spark.sql(f"SELECT label, concat('http://', u) AS url FROM ({lists})")).withColumn("terms", F.expr(_terms(N_GRAMS, buckets)))
+    counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], "names", "features").transform(labelled.withColumn("names", F.col("terms").cast("array<string>")))
+    model = LogisticRegression(regParam=PENALTY / len([*bad, *good]), maxIter=60, standardization=False).fit(counted.select("label", "features").coalesce(1))
     return float(model.intercept), [round(float(w), 6) for w in model.coefficients.toArray()]
 
 

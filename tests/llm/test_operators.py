@@ -239,6 +239,16 @@ def test_urls(spark):
     assert got[11].verdict == "block" and got[12].verdict == "allow"
 
 
+def test_url_model_is_not_fitted_to_the_test_tables(spark):
+    seen = {r.host for r in url_filter.parts(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).select("host").distinct().collect()}
+    names = {h.split(".")[-3] for h in seen if h.count(".") > 1}
+    lines = {u.split("/")[0] for u in url_filter.BAD + url_filter.GOOD}
+    assert not {n for n in names if any(n in h.split(".") for h in lines)}
+    hosts = ["spam-farm.example.com", "phish-login.example.com", "malware-drop.example.net", "winchester.example.com", "gutenberg.example.org", "ththon.example.net"]
+    df = spark.createDataFrame([(i, f"http://{h}/de/{i}.html") for i, h in enumerate(hosts)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(df, rules=()).orderBy("page_id").collect()] == ["block"] * 3 + ["allow"] * 3
+
+
 def test_toxicity_learns_without_held_out_labels(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abdeilmnorstu") for _ in range(6))
