@@ -131,7 +131,7 @@ def aggregate_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_formula(with_formula(market.panel(spark, sf_dir), FACTOR, "a"), OTHER, "b")
     df = df.withColumn("fwd", forward_sum(F.col("ret"), HORIZON)).dropna(subset=["a", "b"])
     mid = df.agg(F.expr("date_add(min(date), cast(datediff(max(date), min(date)) div 2 as int))")).first()[0]
-    return decisions.aggregate_boosted(df, ["a", "b"], "fwd", str(mid), rounds=50)
+    return decisions.aggregate_boosted(df, ["a", "b"], "fwd", str(mid))
 
 
 def evaluate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,11 @@ def test_query_matches_sql(spark, db, name):
 
 def test_only_the_boosted_composite_lacks_sql():
     assert set(queries.QUERIES) - set(oracle.ORACLE_SQL) == {"aggregate_gbt"}
+
+
+def test_the_boosted_composite_runs_all_rounds(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(queries.decisions.GBTRegressor, "fit", lambda self, df: seen.update(rounds=self.getMaxIter()) or self.stop)
+    with pytest.raises(AttributeError):
+        queries.QUERIES["aggregate_gbt"](spark, SF)
+    assert seen == {"rounds": 200}
