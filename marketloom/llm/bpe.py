@@ -25,7 +25,8 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 _WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _RUNS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _ODD = re.compile(r"[\s\x1c-\x1f\x85]")
-REMEMBERED = 700_000
+#: Bytes that remembered pieces may take in a worker, about; longer pieces than LONG are not remembered.
+REMEMBERED, LONG = 160 << 20, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,8 +45,9 @@ class _Memory(dict):
 
     def __missing__(self, key: str):
         value = self.make(key)
-        if len(self) < self.room:
+        if self.room > 0 and len(key) <= LONG:
             self[key] = value
+            self.room -= 200 + 2 * len(key) + (len(value) if isinstance(value, bytes) else 0)  # dict entry, key, value
         return value
 
 

@@ -1,21 +1,26 @@
 """Benchmark decontamination with an Aho-Corasick automaton over normalised test items.
 
 A text is normalised once at byte speed: A-Z to a-z, every other ASCII character that is not a digit
-or a-z to a space, one space between words. The automaton holds every window of ``WINDOW`` item words
-(a shorter item whole), with a space at both ends, so that matches are whole words. One scan of a text
-finds all occurrences; matches are turned to word numbers and, for ``matches``, to character offsets of
-the original text.
-
-The items are read into blocks of at most ``BLOCK_BYTES`` of text. Each block becomes one broadcast
-automaton and one pass over the documents, all in the same stage, so a benchmark of any size works.
-
-Defined cases: a null text has no words; items without words are ignored; items with the same words
-are both reported; repeated item ids count once; repeated rows and null doc ids pass through.
+or a-z to a space, one space between words. A hit is a window of ``WINDOW`` consecutive item words (a
+shorter item is one window). The automaton holds pieces of half a window, laid end to end along every
+item, with a space at both ends so that matches are whole words: every window holds one piece whole, so
+one scan of a text finds where windows can be, and only there the words around a piece are compared
+with the windows of the items. That is a tenth of the states that the windows themselves would need.
+Hits are turned to word numbers and to character offsets of the original text.
+
+The items are cut into parts of at most ``PART`` words that overlap by a window less one, and dealt into
+blocks of about ``BLOCK_BYTES``. A block is one broadcast automaton and one pass over the documents; with
+several blocks each pass but the last is written to the shared folder before the next begins, so one
+automaton is alive in a worker at a time, whatever the size of the benchmark.
+
+Defined cases: a null or empty text has no words; null items and items without words are ignored; items
+with the same words are both reported; a repeated item id counts once; repeated rows and null doc ids
+pass through, each row judged by its own text; an empty benchmark hits nothing; columns of ``docs``
+other than doc_id and text are ignored by ``hits`` and kept, whatever their names, by ``clean``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,98 +28,157 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import discard, saved, small_batches
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+#: Words of a part of an item, and benchmark text of a block; a worker holds some 70 bytes for each byte of a block.
+PART, BLOCK_BYTES = 4096, 3 << 20
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+_BUILT: dict[str, Finder] = {}
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def _windows(text: bytes, size: int) -> set[str]:
-    w = words(text)
-    if not w:
-        return set()
-    return {_spaced(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
-
-
 def _spaced(w: list[bytes]) -> str:
     return (b" " + b" ".join(w) + b" ").decode("latin-1")  # a letter per byte
 
 
-def _automaton(name: str, items: list[tuple[str, bytes]], size: int) -> ahocorasick.Automaton:
+class Finder:
+    """The windows of some items and the automaton of their pieces."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
+        self.window, self.piece = window, (window + 1) // 2
+        self.owners: dict[bytes, tuple[str, ...]] = {}
+        pieces: dict[str, int] = {}  # the words of a piece; below 0 if it is a short item, which is a window itself
+        for item, text in items:
+            w = words(text)
+            for i in range(len(w) - window + 1):
+                self._own(b" ".join(w[i : i + window]), item)
+            for i in range(0, len(w) - self.piece + 1, self.piece) if len(w) >= window else ():
+                pieces.setdefault(_spaced(w[i : i + self.piece]), self.piece)
+            if w and len(w) < window:
+                self._own(b" ".join(w), item)
+                pieces[_spaced(w)] = -len(w)
+        self.automaton = ahocorasick.Automaton()
+        for piece, n in pieces.items():
+            self.automaton.add_word(piece, (n, len(piece)))
+        if pieces:
+            self.automaton.make_automaton()
+        self.empty = not pieces
+
+    def _own(self, key: bytes, item: str) -> None:
+        held = self.owners.get(key, ())
+        if item not in held:
+            self.owners[key] = (*held, item)
+
+    def hits(self, w: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(first word, last word + 1, items) of every window that occurs in the words of a text."""
+        if self.empty or not w:
+            return
+        line = _spaced(w)
+        found = list(self.automaton.iter(line))
+        if not found:
+            return
+        gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+        starts = np.searchsorted(gaps, [end + 1 - length for end, (_, length) in found])
+        tried: set[int] = set()
+        for p, (_, (n, _)) in zip(starts.tolist(), found, strict=True):
+            if n < 0:
+                yield p, p - n, self.owners[b" ".join(w[p : p - n])]
+                if -n != self.piece:
+                    continue
+            for s in range(max(0, p - self.window + self.piece), min(p, len(w) - self.window) + 1):
+                if s not in tried:
+                    tried.add(s)
+                    who = self.owners.get(b" ".join(w[s : s + self.window]))
+                    if who:
+                        yield s, s + self.window, who
+
+
+def _finder(name: str, sent: Broadcast, window: int) -> Finder:
     """Built once per worker process."""
     if name not in _BUILT:
-        owners: dict[str, set[str]] = {}
-        for item, text in items:
-            for window in _windows(text, size):
-                owners.setdefault(window, set()).add(item)
-        a = ahocorasick.Automaton()
-        for window, who in owners.items():
-            a.add_word(window, (window.count(" ") - 1, len(window), frozenset(who)))
-        if len(a):
-            a.make_automaton()
         _BUILT.clear()
-        _BUILT[name] = a
+        _BUILT[name] = Finder(sent.value, window)
     return _BUILT[name]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Lists of (item id as string, text), each within the bound; one is on the driver at a time."""
+def _parts(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = words(text)
+                step = max(PART, 2 * window) - window + 1
+                parts = [b" ".join(w[i : i + step + window - 1]) for i in range(0, max(1, len(w) - window + 1), step)] if w else []
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["i", "k", "t"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
+    """(whether it is the last, [(item id as string, words)]) of about the bound; one is on the driver at a time."""
     rows = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = 2 * total // block_bytes + 1
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(n)))
+    parts = rows.mapInArrow(_parts(window), "i string, k long, t binary")
+    total = parts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n = -(-total // block_bytes) or 1
+    dealt = parts.withColumn("b", F.pmod(F.xxhash64("i", "k"), F.lit(n)))
+    if n > 1:
+        dealt = saved(dealt, "items")
     for b in range(n):
-        yield [(r.i, bytes(r.t)) for r in rows.filter(F.col("b") == b).toLocalIterator()]
+        yield b == n - 1, [(r.i, bytes(r.t)) for r in dealt.filter(F.col("b") == b).toLocalIterator()]
+    if n > 1:
+        discard(dealt)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (first word, last word + 1; merged, in order) and items (sorted) per row of ``docs``."""
+    """doc_id, n_words, spans (first word, last word + 1; merged, in order), offsets (their characters in the
+    original text, end exclusive) and items (sorted) per row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, text binary, n_words long, spans array<array<int>>, items array<string>"
-    found = docs.select(
-        "doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items")
-    )
-    for block in _blocks(benchmark, block_bytes):
+    pairs, listed = pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())
+    shape = f"doc_id {kind}, text binary, n_words long, spans array<array<int>>, items array<string>, offsets array<array<int>>"
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<array<int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    written = None
+    for last, block in _blocks(benchmark, window, block_bytes):
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], name: str = uuid.uuid4().hex, sent=sent) -> Iterator[pa.RecordBatch]:
-            a = _automaton(name, sent.value, window)
+        def run(batches: Iterator[pa.RecordBatch], name: str = uuid.uuid4().hex, sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            finder = _finder(name, sent, window)
             for batch in batches:
-                n_words, spans, items = [], [], []
-                for text, old, who in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                out: tuple[list, ...] = ([], [], [], [])
+                for text, old, who in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
                     w = words(text or b"")
-                    n_words.append(len(w))
-                    got, names = [], set(who)
-                    if w and len(a):
-                        line = _spaced(w)
-                        for end, (_, length, owners) in a.iter(line):
-                            got.append((end + 1 - length, end))  # spaces before the first and after the last word
-                            names |= owners
-                    if got:
-                        gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-                        at = np.searchsorted(gaps, np.array(got))
-                        old = _merged([*map(tuple, old), *map(tuple, at.tolist())])
-                    spans.append(old)
-                    items.append(sorted(names))
+                    got, names = [tuple(s) for s in old or ()], set(who or ())
+                    for a, z, owners in finder.hits(w):
+                        got.append((a, z))
+                        names.update(owners)
+                    spans = _merged(got)
+                    for column, x in zip(out, (len(w), spans, sorted(names), offsets((text or b"").decode(), spans) if last and spans else []), strict=True):
+                        column.append(x)
+                # only the last pass returns what is known; the others carry the text on
+                text = pa.nulls(len(batch), pa.binary()) if last else batch.column("text")
+                n_words, spans, items, at = out
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", "text", "n_words", "spans", "items"],
+                    [batch.column("doc_id"), text, pa.array(n_words, pa.int64()), pa.array(spans, pairs), pa.array(items, listed), pa.array(at, pairs)], names=["doc_id", "text", "n_words", "spans", "items", "offsets"]
                 )
 
         found = found.mapInArrow(run, shape)
-    return found.drop("text")
+        if not last:
+            found = saved(found, "hits").select("doc_id", "text", "spans", "items")
+            sent.destroy()
+            if written is not None:
+                discard(written)
+            written = found
+    return found.select("doc_id", "n_words", "spans", "offsets", "items")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -154,18 +218,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index("text")
-    for block in _blocks(benchmark, block_bytes):
+    written = None
+    for last, block in _blocks(benchmark, window, block_bytes):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], name: str = uuid.uuid4().hex, sent=sent) -> Iterator[pa.RecordBatch]:
-            a = _automaton(name, sent.value, window)
+            finder = _finder(name, sent, window)
             for batch in batches:
                 split = (words((text or "").encode()) for text in batch.column(at).to_pylist())
-                yield batch.filter(pa.array([not (w and len(a) and next(a.iter(_spaced(w)), None)) for w in split], pa.bool_()))
+                yield batch.filter(pa.array([next(finder.hits(w), None) is None for w in split], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = saved(docs, "clean")
+            sent.destroy()
+            if written is not None:
+                discard(written)
+            written = docs
     return docs
-
-
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -13,9 +13,11 @@ leaves unconnected meet the other blocks. A task returns a spanning forest of it
 per document, never all pairs. No bucket is capped.
 
 Defined cases: texts without words (null, empty, white space) have n_shingles 0 and are linked with
-nothing; fewer words than a shingle form one shingle; repeated rows of an id are one vertex, returned
-as often as given, and all rows of a kept id are kept; a null id is linked with nothing, has no component and is kept;
-extra columns are ignored.
+nothing; fewer words than a shingle form one shingle; rows of an id are one vertex, returned as often as
+given, so an id with several texts joins all that any of them is linked with; a null id is linked with
+nothing, has no component and is kept; an empty table gives an empty result; extra columns are ignored.
+``drop_near_duplicates`` judges rows instead: the texts of an id are not joined through it, a row stays if
+its id is the smallest of its own text's component, and repeated rows stay or go together.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .shared import discard, saved, small_batches
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, BITS, BLOCK = 32, 5, 512, 256
 K = BANDS * ROWS
+#: Bytes of a text that are hashed at once; some eighty bytes of memory each.
+STRETCH = 1 << 18
 #: Ids of texts to read again up to this number are broadcast (8 MB); more are joined.
 BROADCAST_IDS = 1_000_000
 #: A class of over a HOT-th of all rows is hot; there are fewer than HOT.
@@ -63,23 +67,35 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW: dict[str, np.ndarray] = {"up": _powers(_BASE, 1 << 16), "down": _powers(_INV, 1 << 16)}
+_UP, _DOWN = _powers(_BASE, 1 << 16), _powers(_INV, 1 << 16)
 
 
 def word_hashes(text: bytes, inside: np.ndarray = _WORD) -> np.ndarray:
-    """A 64-bit hash of each word; inside: which bytes belong to words."""
+    """A 64-bit hash of each word; inside: which bytes belong to words. Long texts are taken by stretches."""
+    if len(text) <= STRETCH:
+        return _hashes_of(text, inside)
+    raw, parts, at = np.frombuffer(text, np.uint8), [], 0
+    while at < len(raw):
+        end = at + STRETCH
+        while end < len(raw) and inside[raw[end]]:  # a stretch ends behind a word
+            run = inside[raw[end : end + STRETCH]]
+            end += len(run) if run.all() else int(run.argmin())
+        parts.append(_hashes_of(text[at:end], inside))
+        at = end
+    return np.concatenate(parts)
+
+
+def _hashes_of(text: bytes, inside: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8)
     inside = inside[raw]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return np.empty(0, np.uint64)
-    if len(raw) > len(_POW["up"]):
-        n = 1 << len(raw).bit_length()
-        _POW.update(up=_powers(_BASE, n), down=_powers(_INV, n))
+    up, down = (_UP, _DOWN) if len(raw) <= len(_UP) else (_powers(_BASE, len(raw)), _powers(_INV, len(raw)))
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _POW["up"][: len(raw)], out=total[1:])
-    return _mix((total[end] - total[begin]) * _POW["down"][begin] + (end - begin).astype(np.uint64))
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    return _mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -141,8 +157,8 @@ def _signatures(width: int):
                     bands.append(None)
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "set_id", "bands", "sketch", "key_a", "key_b"],
             )
 
     return run
@@ -341,38 +357,62 @@ def _candidate_links(texts: DataFrame, reps: DataFrame, members: DataFrame, widt
     return links.union(_confirmed(texts, second, width, similarity)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+def _text_keys(text) -> tuple:
+    """Two 64-bit hashes, which stand for a text beside its id."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ids that have several texts, from the smallest of each id."""
+    several = signed.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).filter("x < y").select("doc_id")
+    held = signed.join(saved(several, "several"), "doc_id", "left_semi").select("doc_id", "set_id").distinct()
+    reps = saved(held.join(classes.select("set_id", F.col("least.doc_id").alias("b")), "set_id"), "texts-of-ids")
+    return reps.join(reps.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a < b").select("a", "b").distinct()
+
+
+def _judged(docs: DataFrame, width: int, similarity: float, by_id: bool) -> DataFrame:
+    """doc_id, n_shingles, key_a, key_b, component_id for every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = saved(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"), "signatures")
+    given = texts.select("doc_id", "text", *_text_keys(F.col("text")))
+    signed = saved(given.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary, key_a long, key_b long"), "signatures")
     # equal sets have equal signatures, so the smallest row of a class is its smallest document
     least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("least")
-    classes = saved(signed.filter("doc_id is not null and set_id is not null").groupBy("set_id").agg(least, F.count("*").alias("copies")), "classes")
+    filled = signed.filter("doc_id is not null and set_id is not null")
+    classes = saved(filled.groupBy("set_id").agg(least, F.count("*").alias("copies")), "classes")
     reps = classes.select("least.*")
     keys = reps.select(F.explode("bands").alias("key"), "doc_id")
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
     members = saved(keys.join(buckets, "key").select("hub", "doc_id").distinct(), "members")
-    found = connected(_candidate_links(texts, reps, members, width, similarity))
+    links = _candidate_links(texts, reps, members, width, similarity)
+    if by_id:
+        links = links.union(_same_id(filled, classes))
+    found = connected(links)
     named = classes.select("set_id", "copies", F.col("least.doc_id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
     named = saved(named.select("set_id", "copies", F.coalesce("component", "rep").alias("component")), "named")
     # classes of over a HOT-th of all rows are fewer than HOT: they are broadcast, so no task gets a hot class
     hot = F.broadcast(named.filter(F.col("copies") > signed.count() / HOT).drop("copies"))
-    rows = signed.select("doc_id", "n_shingles", "set_id")
+    rows = signed.select("doc_id", "n_shingles", "set_id", "key_a", "key_b")
     filled = rows.filter("set_id is not null")
     out = (
         filled.join(hot, "set_id")
         .unionByName(filled.join(hot.select("set_id"), "set_id", "left_anti").join(named.drop("copies"), "set_id", "left"))
         .unionByName(rows.filter("set_id is null").withColumn("component", F.lit(None).cast("long")))
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     )
+    return out.select("doc_id", "n_shingles", "key_a", "key_b", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    out = _judged(docs, width, similarity, by_id=True).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates, with all columns of ``docs``."""
-    dropped = saved(near_duplicates(docs, width, similarity).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    gone = _judged(docs, width, similarity, by_id=False).filter("doc_id <> component_id").select(*[F.col(c).alias(f"_dropped_{c}") for c in ("doc_id", "key_a", "key_b")])
+    gone = _small(saved(gone.distinct(), "dropped"))
+    a, b = _text_keys(docs["text"].cast("binary"))
+    same = (docs["doc_id"].cast("long") == F.col("_dropped_doc_id")) & (a == F.col("_dropped_key_a")) & (b == F.col("_dropped_key_b"))
+    return docs.join(gone, same, "left_anti")

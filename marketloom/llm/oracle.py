@@ -61,34 +61,36 @@ SELECT doc_id, {", ".join(COUNTS)}, base_failed, NOT base_failed AND failed_rule
 """
 
 NEAR_DUPLICATES = rf"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i, len(words) AS n
-  FROM (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE text IS NOT NULL)),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w AS (
+  SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i
+  FROM (SELECT r, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM d WHERE text IS NOT NULL)),
 g AS (
-  SELECT DISTINCT doc_id, array_to_string(s, ' ') AS g
-  FROM (SELECT doc_id, i, n, list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM w)
+  SELECT DISTINCT r, array_to_string(s, ' ') AS g
+  FROM (SELECT r, i, list(w) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM w)
   WHERE len(s) = 4 OR i = 1),
-size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM g GROUP BY doc_id)),
-reps AS (SELECT g.* FROM g JOIN class USING (doc_id) WHERE doc_id = rep),
-pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM reps AS x JOIN reps AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+class AS (SELECT r, md5(string_agg(g, chr(10) ORDER BY g)) AS h, count(*) AS n FROM g GROUP BY r),
+named AS (SELECT h, min(doc_id) AS least, min(r) AS r, min(n) AS n FROM class JOIN d USING (r) WHERE doc_id IS NOT NULL GROUP BY h),
+sets AS (SELECT h, g FROM named JOIN g USING (r)),
+pair AS (SELECT x.h AS a, y.h AS b, count(*) AS common FROM sets AS x JOIN sets AS y ON x.g = y.g AND x.h < y.h GROUP BY 1, 2),
 link AS (
-  SELECT a, b FROM pair JOIN size AS s ON s.doc_id = a JOIN size AS t ON t.doc_id = b WHERE 100 * common >= 80 * (s.n + t.n - common)),
+  SELECT a, b FROM pair JOIN named AS s ON s.h = a JOIN named AS t ON t.h = b WHERE 100 * common >= 80 * (s.n + t.n - common)
+  UNION SELECT m, h FROM (SELECT doc_id, h, min(h) OVER (PARTITION BY doc_id) AS m FROM class JOIN d USING (r) WHERE doc_id IS NOT NULL) WHERE h <> m),
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach AS r JOIN edge AS e ON r.b = e.a),
-found AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
-SELECT doc_id, coalesce(size.n, 0) AS n_shingles, least(coalesce(rep, doc_id), coalesce(b, rep, doc_id)) AS component_id,
-  doc_id = least(coalesce(rep, doc_id), coalesce(b, rep, doc_id)) AS kept
-FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN class USING (doc_id) LEFT JOIN found ON a = rep
+found AS (SELECT a AS h, min(least) AS c FROM reach JOIN named ON named.h = b GROUP BY a)
+SELECT doc_id, coalesce(class.n, 0) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(least(c, named.least), named.least, doc_id) END AS component_id,
+  coalesce(doc_id = coalesce(least(c, named.least), named.least, doc_id), true) AS kept
+FROM d LEFT JOIN class USING (r) LEFT JOIN named USING (h) LEFT JOIN found USING (h)
 """
 
 ARCHIVES = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
-f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS first FROM p)
-SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
-  CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id < first THEN first END AS refers_to
-FROM f
+f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS first FROM p),
+m AS (SELECT *, first IS NOT NULL AND coalesce(page_id < first, true) AS again FROM f)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM m
 """
 
 _SPLIT = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, near_dedup, quality_rules, secret_scan, sstable, token_counts, toxicity, url_filter, warc
 from .oracle import ORACLE_SQL  # noqa: F401  read by __spark_entry__
@@ -27,11 +26,11 @@ def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("problem")
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "held_out", F.round("score", 9).alias("score"), "predicted")
+    return judged.select("doc_id", "held_out", "score", "predicted")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -20,14 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only a local session without that setting gets a folder of its own.
+    All that this application writes lies in one folder there, which ``sweep`` deletes. Only a local
+    session without that setting gets a folder of its own.
     """
+    app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        if found not in _OWN:  # a folder without a scheme is in Spark's own file system, not on each machine's disk
+            path = spark._jvm.org.apache.hadoop.fs.Path(found)
+            _OWN[found] = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return f"{_OWN[found].rstrip('/')}/marketloom-{app}"
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="marketloom-")
     return _OWN[app]
@@ -44,6 +48,12 @@ def saved(df: DataFrame, what: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete everything this application wrote, once its results have been used: they are read from there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``saved`` wrote, once nothing reads it any more."""
     jvm = df.sparkSession._jvm
@@ -53,14 +63,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that Arrow hands to a Python worker at once; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound the rows and bytes that Arrow hands to a Python worker at once; texts can be long.
 
-def text_of(df: DataFrame, column: str = "text") -> Column:
-    """A text column by name, a null as the empty text."""
-    return F.coalesce(df[column], F.lit(""))
+    The setting is read when the job runs, after the operator has returned, so it stays; it is only ever
+    lowered, and results do not depend on it.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = int(spark.conf.get(name).rstrip("bB"))  # 0 or less: no bound
+        if not 0 < held <= most:
+            spark.conf.set(name, str(most))
 
 
 def lower_ascii(c: Column) -> Column:
@@ -68,9 +80,8 @@ def lower_ascii(c: Column) -> Column:
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a shared folder, for use inside tasks."""
+    """(pyarrow file system, path) of a shared folder, for use inside tasks; raises if it cannot be reached."""
     from pyarrow import fs
 
-    if "://" in uri or uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
+    scheme, _, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(f"file://{rest}" if scheme == "file" and not rest.startswith("//") else uri)

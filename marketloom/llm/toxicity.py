@@ -2,12 +2,13 @@
 
 Features of a text are the distinct hashed words, neighbours, and pairs one and two words apart. The
 learner sees a bounded sample of labelled texts (``TRAIN_ROWS``, those with the lowest seeded hash of
-their id) as a stream, ``EPOCHS`` times in seeded orders; its state is two arrays of ``BUCKETS`` numbers.
+their id; one text an id, whatever its rows) as a stream, ``EPOCHS`` times in seeded orders; its state is two arrays of ``BUCKETS`` numbers.
 Per-coordinate rates and L1 leave few non-zero weights, which are broadcast. Every text is scored whole.
 
 Defined cases: a null or empty text has the model's base rate as score; labels that are null are not
-learned from; several labels of a document count as toxic if any is; repeated rows and null ids are
-scored like any other; without any label to learn from every score is 0.5 and nothing is predicted.
+learned from; several labels of a document count as toxic if any is; of several texts of an id the smallest
+is learned from; repeated rows and null ids are scored like any other, null ids never as held out; extra
+columns of either table are ignored; scores have 9 digits, and ``predicted`` follows what is shown; without any label to learn from every score is 0.5 and nothing is predicted.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     """(doc_id, text, toxic): the labelled texts to learn from. The ids, at most ``rows``, are broadcast."""
     one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = one.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cutoff: float = CUTOFF) -> DataFrame:
@@ -104,6 +106,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cutoff: float =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    scored = scored.withColumn("score", F.round("score", 9))
     return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 

@@ -11,8 +11,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
@@ -102,7 +100,3 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, cutoff:
     scored = split.select("page_id", "host", "path", F.expr(rule).alias("rule"), F.expr(verdict).alias("_verdict"), F.expr(f"1 / (1 + exp(-({score})))").alias("spam_score"))
     model = F.when(F.col("spam_score") >= cutoff, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_verdict", model).alias("verdict"), "spam_score")
-
-
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x))

@@ -4,14 +4,17 @@ Writing: a record per page, gzip member by member, in the folder all executors s
 sent as an HTTP response in chunked transfer coding; a block above ``SEGMENT`` bytes is split into a
 first record and continuation records, which name the first as origin and carry a segment number, the
 last also the total length. Of equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the
-largest page id is a response and the others are revisits, which carry no payload.
+largest page id is a response and the others are revisits, which carry no payload but its length, in a
+header of their own (``X-Payload-Length``).
 
 Reading: each file is parsed as a stream. Whole records are decoded at once; only segments travel, by
 origin, and are joined in order of their number while they stream by, so memory is one record. A record
 with a missing segment, a wrong total, broken chunks or a wrong digest has a text in ``problem``.
 
-Defined cases: a null html is an empty payload; a null page id is kept as null and never referred to;
-repeated rows become records of their own; an empty table makes no file; extra columns are ignored.
+Defined cases: a null html is an empty payload; a record with a null page id is written as any other,
+revisits the largest id of its payload if there is one and is never referred to; repeated rows become
+records of their own, and those of the largest id are a response each; an empty table makes no file; extra
+columns are ignored. A revisit without a length (archives of others) takes that of a response with its digest.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .shared import filesystem, new_folder, saved, shared_dir, small_batches
 
 SEGMENT, CHUNK, FILE_BYTES, REVISIT_BYTES = 16 << 10, 4 << 10, 32 << 20, 1000
+#: Repeated digests up to this number are broadcast (50 MB); of more, those above a HOT-th of the repeated pages.
+BROADCAST_DIGESTS, HOT = 500_000, 1000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -70,6 +74,7 @@ def records(page_id: int | None, record_id: str, payload: bytes, sha1: str, refe
     """The records of one page."""
     uri = {"WARC-Target-URI": f"page:{'' if page_id is None else page_id}", "WARC-Payload-Digest": _digest(sha1)}
     if refers_to is not None:
+        uri["X-Payload-Length"] = str(len(payload))
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         yield _record("revisit", record_id, b"", {**uri, "WARC-Profile": profile, "WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Refers-To-Target-URI": f"page:{refers_to}"})
         return
@@ -94,9 +99,17 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     small_batches(spark, 500)
     folder = new_folder(spark, "warc")
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    given = given.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload")})
-    repeated = given.filter(F.col("size") >= REVISIT_BYTES).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.min("page_id").alias("least")).filter("least < first").select("sha1", "size", "first")
-    marked = given.join(repeated, ["sha1", "size"], "left").select("page_id", "payload", "sha1", F.expr("if(page_id < first, first, null)").alias("refers_to"))
+    given = given.withColumns({"sha1": F.sha1("payload"), "long": F.octet_length("payload") >= REVISIT_BYTES})
+    known = given.filter("long").groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null")
+    known = saved(known, "repeated")
+    columns = ["page_id", "payload", "sha1", F.expr("if(coalesce(page_id, first - 1) < first, first, null)").alias("refers_to")]
+    repeats = known.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    if repeats[0] <= BROADCAST_DIGESTS:
+        marked = given.withColumn("_key", F.when(F.col("long"), F.col("sha1"))).join(F.broadcast(known.withColumnRenamed("sha1", "_key")), "_key", "left").select(*columns)
+    else:  # payloads of over a HOT-th of the repeated pages are fewer than HOT and broadcast; short payloads are not joined
+        hot = F.broadcast(known.filter(F.col("copies") > repeats[1] / HOT))
+        rest = given.filter("long").join(hot.select("sha1"), "sha1", "left_anti").join(known, "sha1", "left")
+        marked = given.filter("long").join(hot, "sha1").select(*columns).union(rest.select(*columns)).union(given.filter("not long").withColumn("first", F.lit(None).cast("long")).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -195,8 +208,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
     parsed = archives.repartitionByRange(max(1, archives.count()), "path").mapInArrow(run, _PARSED)
     whole = parsed.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_reassembled, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, problem string")
     pages = saved(whole, "pages")
-    sizes = pages.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("of_response"))
-    return pages.join(sizes, "refers_to", "left").select("page_id", F.coalesce("payload_bytes", "of_response").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "problem")
+    short = pages.filter("record_type = 'revisit' and payload_bytes is null")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"]
+    if not short.limit(1).count():
+        return pages.select(*columns)
+    sizes = pages.filter("record_type = 'response' and problem is null").groupBy("payload_digest").agg(F.max("payload_bytes").alias("of_response"))
+    filled = short.drop("payload_bytes").join(sizes, "payload_digest", "left").withColumnRenamed("of_response", "payload_bytes")
+    return pages.filter("not (record_type = 'revisit' and payload_bytes is null)").select(*columns).union(filled.select(*columns))
 
 
 def _row(head: dict[str, str], block: bytes) -> dict:
@@ -205,7 +223,8 @@ def _row(head: dict[str, str], block: bytes) -> dict:
     if number is not None:
         total = head.get("warc-segment-total-length")
         return {"refers_to": None, "payload_bytes": None, "problem": None, **row, "number": int(number), "total": int(total) if total else None, "block": block}
-    size, found, problem = (None, digest, None) if kind == "revisit" else _decoded(block, digest)
+    stated = head.get("x-payload-length")
+    size, found, problem = (int(stated) if stated else None, digest, None) if kind == "revisit" else _decoded(block, digest)
     refers_to = _page(head["warc-refers-to"]) if "warc-refers-to" in head else None
     return {**row, "number": None, "total": None, "refers_to": refers_to, "digest": found, "payload_bytes": size, "problem": problem, "block": None}
 
@@ -245,13 +264,3 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(out)
     if held:
         yield batch_of([joined()])
-
-
-def inflate(data: bytes) -> bytes:
-    """All gzip members of ``data``."""
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)

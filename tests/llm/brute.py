@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import zlib
 from array import array
@@ -85,7 +84,7 @@ def archive(pages: list[tuple[int | None, str | None]]) -> list[tuple]:
     for i, h in pages:
         p = (h or "").encode()
         first = largest.get(p)
-        revisit = first is not None and i is not None and i < first
+        revisit = first is not None and (i is None or i < first)
         out.append((i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     return out
 
@@ -113,6 +112,20 @@ def sainte_lague(votes: dict, seats: int) -> dict:
     return won
 
 
+def settled(quotas: list[int], room: list[int]) -> list[int]:
+    """Quotas moved on, then back, where there is no room for them."""
+    out, over = [], 0
+    for q, r in zip(quotas, room, strict=True):
+        out.append(min(q + over, r))
+        over += q - out[-1]
+    for h in reversed(range(len(out))):
+        more = min(over, room[h] - out[h])
+        out[h] += more
+        over -= more
+    assert not over
+    return out
+
+
 def contamination(text: str | None, items: list[tuple], window: int = 10) -> tuple:
     """(n_words, n_hit, n_items, items_sha256, contaminated)."""
     w = ITEM_WORD.findall(lower(text or ""))
@@ -161,6 +174,3 @@ def url(u: str | None) -> tuple[str, str, str | None, str | None]:
     best = max(fits, default=(0, None, None))
     return host, path, best[1], best[2]
 
-
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-x))
