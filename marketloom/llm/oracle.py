@@ -7,7 +7,7 @@ battery, 9 and 10 trained weights.
 from __future__ import annotations
 
 from .decontaminate import WINDOW
-from .quality_rules import COUNTS, MAX_REPEAT_PCT, MIN_WORDS, RULES, STOP_WORDS, SYMBOLS, Rule
+from .quality_rules import COUNTS, MARKS, MAX_REPEAT_PCT, MIN_WORDS, RULES, STOP_WORDS, SYMBOLS, Rule
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,17 +41,17 @@ by_word AS (
     count(*) FILTER (lower(trim(w, '.,;:!?')) IN ({_STOP})) AS n_stop_words
   FROM w GROUP BY r),
 lines AS (
-  SELECT r, x FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+  SELECT r, x, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r, x),
 by_line AS (
-  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines,
-    count(*) FILTER (substr(ltrim(x, ' '), 1, 1) IN ('-', '*', '•')) AS n_bullet_lines,
-    count(*) FILTER (ends_with(rtrim(x, ' '), '...')) AS n_ellipsis_lines
+  SELECT r, sum(n) AS n_lines, sum(n - 1) AS n_dup_lines, sum(n * length(x)) AS line_chars, sum((n - 1) * length(x)) AS dup_line_chars,
+    sum(n) FILTER (substr(ltrim(x, ' '), 1, 1) IN ('-', '*', '•')) AS n_bullet_lines,
+    sum(n) FILTER (ends_with(rtrim(x, ' '), '...')) AS n_ellipsis_lines
   FROM lines GROUP BY r),
 counts AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
-    {_count("t", SYMBOLS)} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
-    {_count("t", "!")} AS n_exclamations, coalesce(n_stop_words, 0) AS n_stop_words, coalesce(n_lines, 0) AS n_lines,
-    coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines
+    {_count("t", SYMBOLS)} AS n_symbols, {_count("t", MARKS)} AS n_marks, {_count("t", "!")} AS n_exclamations, coalesce(covered.n, 0) AS n_repeat_words,
+    coalesce(n_stop_words, 0) AS n_stop_words,
+    {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_lines", "n_dup_lines", "line_chars", "dup_line_chars", "n_bullet_lines", "n_ellipsis_lines"))}
   FROM d LEFT JOIN by_word USING (r) LEFT JOIN by_line USING (r) LEFT JOIN covered USING (r)),
 judged AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed,

@@ -25,6 +25,8 @@ STOP_WORDS = (
     "el los las y se del con para su al lo como una por es"
 ).split()
 SYMBOLS = "#*$%&|<>"
+#: Symbols without the bar, which also draws tables.
+MARKS = SYMBOLS.replace("|", "")
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 
@@ -49,19 +51,20 @@ class Rule:
         return ok
 
 
-#: Percentages; a mean word length of 3.0 to 9.0 characters is 300 to 900.
+#: Percentages. Repeated lines weigh by their characters, so a short line that stands twice in a text of
+#: few lines does not reject it. A mean word length of 3.0 to 9.0 characters is 300 to 900.
 RULES = (
     Rule("word_length", "word_chars", "n_words", 300, 900),
-    Rule("symbol_ratio", "n_symbols", "n_words", None, 10),
+    Rule("symbol_ratio", "n_marks", "n_words", None, 10),
     Rule("exclamation_ratio", "n_exclamations", "n_words", None, 20),
     Rule("stop_word_ratio", "n_stop_words", "n_words", 6, None),
-    Rule("dup_line_ratio", "n_dup_lines", "n_lines", None, 30),
+    Rule("dup_line_ratio", "dup_line_chars", "line_chars", None, 30),
     Rule("bullet_line_ratio", "n_bullet_lines", "n_lines", None, 90),
     Rule("ellipsis_line_ratio", "n_ellipsis_lines", "n_lines", None, 30),
 )
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_exclamations", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines",
+    "n_marks", "n_exclamations", "n_stop_words", "n_lines", "line_chars", "dup_line_chars", "n_bullet_lines", "n_ellipsis_lines",
 )
 
 
@@ -105,9 +108,12 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
         F.expr(
             "aggregate(_starts, struct(0L as n, -3 as last), (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n)"
         ).alias("n_repeat_words"),
+        F.expr(f"cast({_occurrences('_text', MARKS)} as bigint)").alias("n_marks"),
         F.expr(f"cast({_occurrences('_text', '!')} as bigint)").alias("n_exclamations"),
         F.expr(f"cast(size(filter(_words, w -> lower(trim(BOTH '.,;:!?' FROM w)) IN ({stop}))) as bigint)").alias("n_stop_words"),
         F.expr("cast(size(_lines) as bigint)").alias("n_lines"),
+        F.expr("cast(char_length(array_join(_lines, '')) as bigint)").alias("line_chars"),
+        F.expr("cast(char_length(array_join(_lines, '')) - char_length(array_join(array_distinct(_lines), '')) as bigint)").alias("dup_line_chars"),
         F.expr("cast(size(filter(_lines, x -> substr(ltrim(x), 1, 1) IN ('-', '*', '•'))) as bigint)").alias("n_bullet_lines"),
         F.expr("cast(size(filter(_lines, x -> rtrim(x) LIKE '%...')) as bigint)").alias("n_ellipsis_lines"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, near_dedup, quality_rules, secret_scan, sstable, token_counts, toxicity, url_filter, warc
 from .oracle import ORACLE_SQL  # noqa: F401  read by __spark_entry__
@@ -22,7 +23,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+    """looked_up: whether a lookup by id finds the row's tokens too; null for ids not divisible by 50, which are not asked."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = sstable.write_shards(docs, public_tokenizers.path(TOKENIZER))
+    found = sstable.lookup(manifest, docs.filter("doc_id % 50 = 0")).groupBy("doc_id").agg(F.collect_set(F.size("token_ids").cast("long")).alias("_sizes"))
+    return sstable.read_shards(manifest).join(found, "doc_id", "left").withColumn("looked_up", F.when(F.col("doc_id") % 50 == 0, F.coalesce(F.array_contains("_sizes", F.col("n_tokens")), F.lit(False)))).drop("_sizes")
 
 
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Token ids in sorted-string-table shards.
 
-Documents are range-partitioned by id; each task encodes and writes one shard. A shard is
+Documents are range-partitioned by id and a hash of the text, and rows equal in both by a salt, so no id is
+one task. Each task encodes its documents in order and starts a new shard after ``SHARD_BYTES``: a writer
+holds one block, and index, filter and keys of one shard. A shard is
 
     blocks     entries in key order: shared prefix length (1 byte), suffix length (1 byte), key suffix,
                value length (u32), value; a crc32 of the block at its end
@@ -14,8 +16,9 @@ A lookup asks the Bloom filter, then binary-searches the index, then reads one b
 
 Shards are written under an attempt's name and renamed, so a repeated task replaces its own shard.
 
-Defined cases: a null or empty text is the end id alone; rows with one id stay next to each other,
-ordered by text; an empty table makes no shard; extra columns are ignored.
+Defined cases: a null or empty text is the end id alone; null ids come first; rows with one id stay next
+to each other, ordered by a hash of their text, maybe over several shards; an empty table makes no shard; a
+damaged block, index, filter or footer is an error; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +32,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import filesystem, new_folder, saved, small_batches
+from .shared import filesystem, new_folder, saved, shared_dir, small_batches
 
 MAGIC, FORMAT = b"MLSSTBL1", 1
-BLOCK_BYTES = 64 << 10
+BLOCK_BYTES, SHARD_BYTES = 64 << 10, 64 << 20
+SALTS, SEED = 1024, 11
 _FOOTER = struct.Struct("<8sIIQQQIQII")
 _INDEX = struct.Struct("<9s9sQII")
 _PROBES = 7
@@ -150,8 +154,11 @@ class Reader:
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = bpe.END_ID) -> DataFrame:
-    """Writes ``docs`` (doc_id, text); one row per shard: path, first_key, n_docs, n_tokens, start.
+_MANIFEST = "path string, part int, roll int, first_key binary, last_key binary, n_docs long, n_tokens long"
+
+
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = bpe.END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes ``docs`` (doc_id, text); one row per shard: path, part, roll, first_key, last_key, n_docs, n_tokens, start.
 
     ``start`` is the number of ids in all shards before. The rows of this manifest are as few as the
     shards, so their running sum is one small window.
@@ -166,37 +173,48 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = bpe.END_ID) -> D
         end = array("I", [end_id]).tobytes()
         fs, root = filesystem(folder)
         task = TaskContext.get()
-        name = f"{root}/shard-{task.partitionId():06d}.sst"
-        temp = f"{name}.{task.taskAttemptId()}"
-        writer = first = None
+        part, writer, first, made = task.partitionId(), None, b"", []
+        rows: dict[str, list] = {c.split()[0]: [] for c in _MANIFEST.split(", ")}
+
+        def close() -> None:
+            writer.close()
+            writer.out.close()
+            for column, x in zip(rows.values(), (made[-1], part, len(made) - 1, first, writer.last, len(writer.keys), writer.n_ids), strict=True):
+                column.append(x)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    writer, first = Writer(fs.open_output_stream(temp), width), key_of(doc_id)
+                    made.append(f"{root}/shard-{part:06d}-{len(made):04d}.sst")
+                    writer, first = Writer(fs.open_output_stream(f"{made[-1]}.{task.taskAttemptId()}"), width), key_of(doc_id)
                 ids = encoder.ids(text or "") + end
                 value = array("H", memoryview(ids).cast("I").tolist()).tobytes() if width == 2 else ids
                 writer.add(key_of(doc_id), value, len(ids) // 4)
-        if writer is None:
-            return
-        writer.close()
-        writer.out.close()
-        if fs.get_file_info(name).is_file:
-            fs.delete_file(name)
-        fs.move(temp, name)
-        yield pa.RecordBatch.from_pydict({"path": [name], "first_key": [first], "n_docs": [len(writer.keys)], "n_tokens": [writer.n_ids]}, schema=pa.schema([("path", pa.string()), ("first_key", pa.binary()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = saved(ordered.mapInArrow(run, "path string, first_key binary, n_docs long, n_tokens long"), "manifest")
-    before = Window.orderBy("first_key", "path").rowsBetween(Window.unboundedPreceding, -1)
+                if writer.at >= shard_bytes:
+                    close()
+                    writer = None
+        if writer is not None:
+            close()
+        for name in made:
+            if fs.get_file_info(name).is_file:
+                fs.delete_file(name)
+            fs.move(f"{name}.{task.taskAttemptId()}", name)
+        if made:
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given = given.withColumns({"_h": F.xxhash64(F.coalesce("text", F.lit("")), F.lit(SEED)), "_salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))})
+    ordered = given.repartitionByRange("doc_id", "_h", "_salt").sortWithinPartitions("doc_id", "_h", "_salt").select("doc_id", "text")
+    manifest = saved(ordered.mapInArrow(run, _MANIFEST), "manifest")
+    before = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every entry, from the files that the manifest names."""
-    from .shared import shared_dir
-
-    spark: SparkSession = manifest.sparkSession
+    spark = manifest.sparkSession
     folder = shared_dir(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,20 +244,40 @@ def _batch(rows: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def lookup(spark: SparkSession, manifest: DataFrame, ids: list[int]) -> DataFrame:
-    """(doc_id, token_ids) of a stated list of ids: each shard is asked through its filter and index."""
-    from .shared import shared_dir
+def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, token_ids), a row for every row that was written with an id of ``ids`` (doc_id).
 
+    Each id is sent to the shards whose key range holds it, by binary search over the manifest (a broadcast
+    row of some 100 bytes a shard), and asked there through Bloom filter and block index.
+    """
+    spark = manifest.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
+    shards = [(bytes(r.first_key), bytes(r.last_key), r.path) for r in manifest.select("first_key", "last_key", "path", "part", "roll").orderBy("part", "roll").toLocalIterator()]
+    sent = spark.sparkContext.broadcast(shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(folder)
+        shards, opened, shard, file = sent.value, None, None, None
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with fs.open_input_file(path) as file:
-                    shard = Reader(file)
-                    found = [(i, memoryview(v).cast("H" if shard.width == 2 else "I").tolist()) for i in ids for v in shard.get(i)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["doc_id", "token_ids"])
-
-    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, token_ids array<long>")
+            out: tuple[list, list] = ([], [])
+            for doc_id in batch.column(0).to_pylist():
+                key = key_of(doc_id)
+                for first, _, path in shards[bisect_left(shards, key, key=lambda s: s[1]) :]:
+                    if first > key:
+                        break
+                    if opened != path:  # ids come in order, so a shard is opened once a task
+                        if file is not None:
+                            file.close()
+                        opened, file = path, fs.open_input_file(path)
+                        shard = Reader(file)
+                    for v in shard.get(doc_id):
+                        out[0].append(doc_id)
+                        out[1].append(memoryview(v).cast("H" if shard.width == 2 else "I").tolist())
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["doc_id", "token_ids"])
+        if file is not None:
+            file.close()
+
+    asked = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return asked.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id long, token_ids array<long>")

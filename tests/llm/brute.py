@@ -64,9 +64,9 @@ def components(docs: list[tuple[int, str | None]], width: int) -> dict[int, tupl
 
 
 def shard_rows(docs: list[tuple[int | None, str | None]], encode) -> list[tuple]:
-    """(doc_id, start, n_tokens, ids_crc32) in order of id, then text."""
+    """(doc_id, start, n_tokens, ids_crc32) in order of id; ids are unique."""
     out, start = [], 0
-    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, (d[1] or "").encode())):
+    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         ids = array("I", [*encode(t or ""), 2])
         out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)

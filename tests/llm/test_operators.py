@@ -6,11 +6,14 @@ import hashlib
 import random
 import sys
 import zlib
+from array import array
 from collections import Counter
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -80,6 +83,35 @@ def test_near_duplicates(docs, rows, width):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_an_id_with_several_texts(spark):
+    """For the components an id is one vertex; the stage that drops rows judges each row by its own text."""
+    a, b = "a b c d e f g h", "i j k l m n o p"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (None, b)], "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, 4).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.doc_id) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False)]
+    assert sorted((r.doc_id or 0, r.text) for r in near_dedup.drop_near_duplicates(df, 4).collect()) == [(0, b), (3, a), (5, b)]
+
+
+def test_long_texts(spark):
+    """Texts of several MB, and one of a single word, beside short ones."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
+    long, changed = " ".join(words), " ".join([*words[:200_000], "other", *words[200_001:]])
+    rows = [(1, long), (2, changed), (3, "x" * 1_500_000), (4, "x" * 1_500_000), (5, "x" * 1_500_001), (6, "plain words of a short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(near_dedup.near_duplicates(df, 4)).items()}
+    want = len({tuple(words[i : i + 4]) for i in range(len(words) - 3)})
+    assert got[1] == (want, 1) and got[2][1] == 1 and got[3] == got[4] == (1, 3) and got[5] == (1, 5) and got[6] == (3, 6)
+    items = spark.createDataFrame([("q", " ".join(words[300_000:300_020]))], "item_id string, text string")
+    hit = by_id(decontaminate.hits(df, items))
+    assert [list(s) for s in hit[1].spans] == [[300_000, 300_020]] and not hit[6].spans
+    library = Tokenizer.from_file(TOKENIZER)
+    assert by_id(token_counts.count_tokens(df, TOKENIZER))[1].n_tokens == len(library.encode(long, add_special_tokens=False).ids)
+    assert by_id(secret_scan.scan(df))[1].spans == []
+    measured = by_id(quality_rules.measure(df))
+    assert measured[1].n_words == 400_000 and measured[3].word_chars == 1_500_000
+
+
 def test_chain_and_large_group(spark):
     rng = random.Random(1)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
@@ -124,8 +156,43 @@ def test_shards_round_trip(spark, docs, rows):
     manifest = sstable.write_shards(docs, TOKENIZER)
     got = sorted(tuple(r) for r in sstable.read_shards(manifest).collect())
     assert got == sorted(brute.shard_rows(rows, encode))
-    found = {r.doc_id: list(r.token_ids) for r in sstable.lookup(spark, manifest, [6, 14, 999]).collect()}
+    found = {r.doc_id: list(r.token_ids) for r in sstable.lookup(manifest, docs.filter("doc_id in (6, 14)").union(docs.limit(1).withColumn("doc_id", F.lit(999).cast("long")))).collect()}
     assert found == {i: [*encode(rows[i][1]), 2] for i in (6, 14)}
+    small = sstable.write_shards(docs, TOKENIZER, shard_bytes=70_000)
+    assert small.count() >= manifest.count()
+    assert sorted(tuple(r) for r in sstable.read_shards(small).collect()) == sorted(brute.shard_rows(rows, encode))
+
+
+def test_shards_of_repeated_ids_in_wide_ids_and_damaged(spark):
+    library = Tokenizer.from_file(TOKENIZER)
+    texts = [f"text {i % 7} of one id " * 40 for i in range(300)]
+    df = spark.createDataFrame([(5 if i % 2 else None, t) for i, t in enumerate(texts)] + [(-3, "x"), (9, None)], "doc_id long, text string")
+    manifest = sstable.write_shards(df, TOKENIZER, end_id=70_000, shard_bytes=1).cache()  # four bytes an id, a shard a block
+    rows = sstable.read_shards(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None] * 150 + [-3] + [5] * 150 + [9]
+    start = 0
+    for r in rows:
+        assert r.start == start
+        start += r.n_tokens
+    want = Counter(zlib.crc32(array("I", [*library.encode(t, add_special_tokens=False).ids, 70_000]).tobytes()) for t in [*texts, "x", ""])
+    assert Counter(r.ids_crc32 for r in rows) == want
+    assert manifest.count() > 1 and sstable.lookup(manifest, df).count() == 302
+    path = manifest.first().path
+    with open(path, "rb") as f:
+        data = f.read()
+    for at, message in ((40, "block"), (-61, "index or filter"), (-sstable._FOOTER.size, "not a shard")):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError, match=message):
+            list(sstable.Reader(pa.BufferReader(bytes(broken))).scan())
+
+
+def test_a_short_line_that_stands_twice_does_not_reject_a_text(spark):
+    line, prose = "the same short line of all pages", "the words of a text that is a text and not the same as it was before in any line of " + " ".join(f"wonder{i} of" for i in range(40))
+    df = spark.createDataFrame([(1, f"{line}\n{prose}\n{line}"), (2, f"{prose}\n{line}\n" + "\n".join(["this whole line is said many times over and over again"] * 9)), (None, None), (1, f"{line}\n{prose}\n{line}")], "doc_id long, text string")
+    got = quality_rules.judge(quality_rules.measure(df)).collect()
+    assert [(r.doc_id, "dup_line_ratio" in r.failed_rules) for r in got] == [(1, False), (2, True), (None, False), (1, False)]
+    assert [r.kept for r in got] == [True, False, False, True]
 
 
 def test_token_counts(docs, rows):
@@ -137,18 +204,28 @@ def test_token_counts(docs, rows):
 
 def test_archives(spark):
     big = "".join(random.Random(9).choices("abc é<>\n", k=60_000))
-    pages = [(1, None), (2, ""), (3, "small"), (4, "small"), (5, big), (6, big), (7, "y" * 1000), (9, "y" * 1000), (8, "y" * 999), (11, "y" * 999), (None, big)]
+    pages = [(1, None), (2, ""), (3, "small"), (4, "small"), (5, big), (6, big), (7, "y" * 1000), (9, "y" * 1000), (8, "y" * 999), (11, "y" * 999), (None, big), (None, "z" * 2000), (None, "z" * 2000), (12, "x" * 1500), (12, "y" * 3000), (10, "x" * 1500), (13, "w" * 1200), (13, "w" * 1200)]
     df = spark.createDataFrame([(i, h, "x") for i, h in pages], "page_id long, html string, payload string")
     out = warc.read_archives(warc.write_archives(df)).collect()
     assert all(r.problem is None for r in out)
-    key = lambda x: (x[0] is None, x)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:4])
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=key) == sorted(brute.archive(pages), key=key)
     assert warc.unchunked(warc.chunked(big.encode())) == big.encode()
 
 
-def test_broken_archives_are_reported():
-    import pyarrow as pa
+def test_revisits_of_many_payloads_and_without_a_length(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 1)
+    pages = [(i, chr(97 + i % 9) * 1100 if i % 3 else f"small {i % 5}") for i in range(400)] + [(1000 + i, "q" * 1300) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    out = warc.read_archives(warc.write_archives(df)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == sorted(brute.archive(pages))
+    plain = warc.records
+    monkeypatch.setattr(warc, "records", lambda *a, **k: (r.replace(b"X-Payload-Length", b"X-Other") for r in plain(*a, **k)))
+    rows = [warc._row(h, b) for rec in warc.records(1, "urn:page:1:0:0", b"", "00" * 20, 7) for h, b in warc.parse(__import__("io").BytesIO(rec))]
+    assert rows[0]["payload_bytes"] is None and rows[0]["refers_to"] == 7
+
 
+def test_broken_archives_are_reported():
     sha1 = hashlib.sha1(b"z" * 40_000).hexdigest()
     parts = [warc._row(h, b) for rec in warc.records(1, "urn:page:1:0:0", b"z" * 40_000, sha1, None) for h, b in warc.parse(__import__("io").BytesIO(rec))]
     join = lambda rows: next(warc._reassembled(iter([pa.RecordBatch.from_pylist(rows, schema=warc._PA_PARSED)]))).to_pylist()[0]
@@ -263,9 +340,22 @@ def test_decontamination(docs, benchmark, rows):
     assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == {i for i, _ in rows if not one[i].contaminated}
     twins = docs.filter("doc_id in (10, 15)").drop("doc_id").selectExpr("cast(null as bigint) doc_id", "*")
     assert [r.text for r in decontaminate.clean(twins, benchmark, block_bytes=100).collect()] == [rows[15][1]]
-    spans = next(r.spans for r in decontaminate.hits(docs, benchmark).collect() if r.doc_id == 10)
-    (a, z), = decontaminate.offsets(rows[10][1], [list(s) for s in spans])
-    assert decontaminate.words(rows[10][1][a:z].encode()) == decontaminate.words(rows[20][1].encode())
+    for block_bytes in (100, 1 << 20):
+        ((a, z),) = by_id(decontaminate.hits(docs, benchmark, block_bytes=block_bytes))[10].offsets
+        assert decontaminate.words(rows[10][1][a:z].encode()) == decontaminate.words(rows[20][1].encode())
+    assert set(decontaminate.hits(docs, benchmark).columns) == {"doc_id", "n_words", "spans", "offsets", "items"}
+
+
+def test_decontamination_of_random_words(spark, monkeypatch):
+    """Few different words, so that windows overlap and repeat; items of any length, cut into small parts."""
+    monkeypatch.setattr(decontaminate, "PART", 20)
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    rows = [(i, some(rng.randrange(400))) for i in range(60)]
+    items = [(f"i{i}", some(rng.choice([1, 4, 5, 6, 9, 10, 11, 60, 200])) + " c" * rng.randrange(2)) for i in range(40)] + [("i1", some(12))]
+    got = by_id(decontaminate.digest(decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))))
+    for i, t in rows:
+        assert tuple(got[i])[1:] == brute.contamination(t, items)
 
 
 def test_secrets(docs, rows):
