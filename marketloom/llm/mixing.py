@@ -169,6 +169,9 @@ def plan(docs: DataFrame, block: int = BLOCK, seed: int = SEED, with_text: bool
     else:
         placed = dealt(docs)
         lanes = dealt(sized).groupBy(*lane).agg(F.sum("size").alias("words"))
+    if not with_text:  # few bytes a row but much work: dealt by rows, as merging partitions by bytes would leave one task
+        parts = min(-(-sized.count() // BUCKET_ROWS) or 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        placed = placed.repartition(parts, *lane)
     earlier = Window.partitionBy("_name").orderBy("_bucket", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = saved(lanes.select(*lane, F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("_first")), "lanes")
     within = Window.partitionBy(*lane).orderBy("_order", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -155,6 +156,77 @@ def secrets(text: str | None) -> list[tuple[int, int, str, int]]:
     return sorted(found)
 
 
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+DIGITS, UPPER, LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def alphabet(token: str) -> str:
+    body = token.rstrip("=")
+    for letters, padded in ((DIGITS + "abcdef", False), (DIGITS + "ABCDEF", False), (UPPER + "234567", True), (DIGITS + UPPER + LETTERS, False), (UPPER + LETTERS + DIGITS + "+/", True), (UPPER + LETTERS + DIGITS + "-_", True)):
+        if set(body) <= set(letters) and (padded or body == token):
+            return letters
+    return UPPER + LETTERS + DIGITS + "-_+/"
+
+
+def randomness(token: str) -> float:
+    """The smallest of three p-values, times three."""
+    letters = alphabet(token)
+    v = [letters.index(c) for c in token.rstrip("=")]
+    n, size = len(v), len(letters)
+    tail = lambda z, sides: sides / (1 + math.exp(min(1.5976 * z + 0.07056 * z**3, 600)))  # noqa: E731  the normal tail
+    chi = sum((c - n / size) ** 2 / (n / size) for c in (v.count(k) for k in range(size)))
+    f = size - 1
+    z_chi = max(0, ((max(chi, 0) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)))
+    side = [2 * x >= size for x in v]
+    a, b = sum(side), n - sum(side)
+    z_runs = math.sqrt(n)
+    if a and b:
+        mean = 2 * a * b / n + 1
+        runs = 1 + sum(x != y for x, y in zip(side, side[1:], strict=False))
+        z_runs = abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 0.25))
+    m = sum(v) / n
+    square = sum((x - m) ** 2 for x in v)
+    z_serial = abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:], strict=False)) / square + 1 / n) * math.sqrt(n) if square else math.sqrt(n)
+    return min(1.0, 3 * min(tail(z_chi, 1), tail(z_runs, 2), tail(z_serial, 2)))
+
+
+def random_spans(texts: list[str], rate: float = 0.05) -> list[list[tuple[int, int]]]:
+    """Per text the candidates that stay: those that Benjamini-Hochberg, per class of length, does not reject as not random."""
+    found, classes = [], {}
+    for i, t in enumerate(texts):
+        for m in CANDIDATE.finditer(t):
+            w = m[0].rstrip("=")
+            plain = re.fullmatch(r"[a-z+/_-]+|[0-9+/_-]+", w)
+            if not plain and not any(a < m.end() and m.start() < z for a, _, _, z in secrets(t)):
+                bin_ = min(96, math.floor(-math.log10(max(randomness(m[0]), 1e-300)) * 8))
+                kind = sum(len(m[0]) >= n for n in (24, 32, 48, 80))
+                found.append((i, m.start(), m.end(), kind, bin_))
+                classes.setdefault(kind, []).append(bin_)
+    limit = {k: min([b for b in range(97) if (n := sum(x >= b for x in bins)) and 10 ** (-b / 8) <= rate * n / len(bins)], default=97) for k, bins in classes.items()}
+    return [[(a, z) for j, a, z, k, b in found if j == i and b < limit[k]] for i in range(len(texts))]
+
+
+def ftrl(rows: list[tuple[list[int], int]], alpha: float, beta: float, l1: float, l2: float) -> dict[int, float]:
+    """The weights after one pass; feature 0 is not regularised by l1."""
+    z: dict[int, float] = {}
+    n: dict[int, float] = {}
+
+    def weight(k: int) -> float:
+        least = l1 if k else 0.0
+        if abs(z.get(k, 0.0)) <= least:
+            return 0.0
+        return -(z[k] - math.copysign(least, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for features, y in rows:
+        w = {k: weight(k) for k in features}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for k in features:
+            s = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha
+            z[k] = z.get(k, 0.0) + g - s * w[k]
+            n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z}
+
+
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 

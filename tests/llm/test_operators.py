@@ -10,6 +10,7 @@ from array import array
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -379,6 +380,50 @@ def test_secrets_after_an_equals_sign_and_without_a_digit(spark):
     assert got == {0: "random:12:44", 1: "random:11:43", 2: "random:4:35", 3: "random:6:37", 4: "random:2:36", 5: "random:0:34,random:34:66", 6: "", 7: "hex:4:24"}
 
 
+def test_battery_equals_the_plain_version(spark):
+    """Random strings of five encodings, and strings that people make, in texts with base secrets, nulls and repeated ids."""
+    rng = random.Random(12)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", brute.DIGITS + brute.UPPER + brute.LETTERS, brute.UPPER + brute.LETTERS + brute.DIGITS + "+/", brute.UPPER + brute.LETTERS + brute.DIGITS + "-_"]
+    parts = "get set User Account Manager factory Http Request 2024 item Value to string of main path File name test_case data/model".split()
+    random_ones = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice([20, 22, 28, 40, 64, 100]))) for _ in range(150)]
+    natural = ["".join(rng.choices(parts, k=rng.randint(5, 12))) for _ in range(150)] + ["A1" * rng.randint(10, 60) for _ in range(30)]
+    texts = [f"see {t}, or {u} = x" for t, u in zip(random_ones, natural, strict=False)] + [f"n {t} n" for t in natural[150:]] + [None, "", 'token = "0123456789abcdef0123"', "=" * 30]
+    df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter((r.doc_id, tuple((s.start, s.end) for s in r.spans if s.kind == "random")) for r in secret_scan.scan(df).collect())
+    want = brute.random_spans([t or "" for t in texts])
+    assert got == Counter((i if i % 9 else None, tuple(w)) for i, w in enumerate(want))
+    flagged = Counter()
+    for t, spans in zip(texts[:150], want, strict=False):
+        flagged.update("random" if t[a:z].rstrip("=") in random_ones else "natural" for a, z in spans)
+    assert flagged["random"] >= 140 and flagged["natural"] <= 30
+    for r in range(20):
+        token = "".join(rng.choices(alphabets[r % 5], k=30))
+        one = spark.range(1).selectExpr(f"{secret_scan._tested(repr(token))} as p").first().p
+        assert abs(one - brute.randomness(token)) < 1e-9
+
+
+def test_learner_equals_the_plain_version():
+    rng = random.Random(3)
+    rows = [(sorted({0, *rng.choices(range(1, 40), k=8)}), rng.randrange(2)) for _ in range(400)]
+    model = toxicity.Ftrl()
+    for features, y in rows:
+        model.learn(np.array(features), y)
+    want = brute.ftrl(rows, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    got = model.weights(np.arange(40))
+    assert all(abs(got[k] - want.get(k, 0.0)) < 1e-9 for k in range(40)) and any(want.values())
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    rows = [(1, f"text {i}") for i in range(50)] + [(1, None), (None, "x"), (2, "b"), (2, "a"), (3, "c"), (4, "d")]
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 0), (3, None, None), (None, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sorted(map(tuple, got.collect())) == [(1, "text 0", 1), (2, "a", 0), (4, "d", 1)]
+    assert toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, rows=2).count() == 2
+    scored = toxicity.judge(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(scored) == len(rows) and all(r.predicted == int(r.score >= 0.7) and r.score == round(r.score, 9) for r in scored)
+    assert all(not r.held_out for r in scored if r.doc_id is None)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://a.COM", "http://a.com/x?y", "https://www.Example.com/en/1", "http://example.com/en/1#f", "http://m.example.com/en/", "http://x.net/es/1", "ftp://net/fr/?q", "http://xnet/fr/", "http://casino-win.org/bonus", "http://library.org/books/a", "http://com?x/"]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
