@@ -5,11 +5,11 @@ Missing values are NULL. A panel has a row for every date and symbol, so row fra
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 
 def days():
@@ -51,13 +51,13 @@ def rolling_corr(x: Column, y: Column, n: int, least: int = 20) -> Column:
 
 def ewma(x: Column, span: float) -> Column:
     """Exponentially weighted mean with normalised weights; a gap ages weights and repeats the last value."""
-    keep = 1 - 2 / (span + 1)
-    rows = math.ceil(math.log(1e-17) / math.log(keep)) if keep > 0 else 0
-    seen = F.collect_list(F.struct(x.alias("x"))).over(days().rowsBetween(-rows, 0))
-    step = lambda s, v: F.struct(
-        (s["num"] * keep + F.coalesce(v["x"], F.lit(0.0))).alias("num"), (s["den"] * keep + v["x"].isNotNull().cast("double")).alias("den")
-    )
-    return F.aggregate(seen, F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")), step, lambda s: F.try_divide(s["num"], s["den"]))
+    return exponential_mean(x, 2 / (span + 1), days())
+
+
+def exponential_mean(x: Column, alpha: float, order: WindowSpec) -> Column:
+    """The window function behind ``ewm`` of the pandas API on Spark: two running sums, one pass over a partition."""
+    seen = F.count(x).over(order.rowsBetween(Window.unboundedPreceding, 0)) > 0
+    return F.when(seen, InternalFunction.ewm(x, alpha, False).over(order))
 
 
 def average_rank(x: Column, *keys: str) -> Column:
@@ -79,9 +79,3 @@ def zscore(x: Column, *keys: str) -> Column:
 def bounded_fill(x: Column, limit: int) -> Column:
     """The last value within ``limit`` rows before."""
     return F.last(x, ignorenulls=True).over(days().rowsBetween(-limit, 0))
-
-
-def correlation(df: DataFrame, x: str, y: str, *keys: str, least: int = 1) -> DataFrame:
-    """Grouped Pearson correlation by covariance and deviations, which ANSI mode allows for constants."""
-    r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r.alias("r")).filter(F.col("n") >= least)

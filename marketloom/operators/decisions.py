@@ -33,6 +33,7 @@ def gate(th: GateThresholds = GateThresholds(), existing: bool = True) -> Column
 
 
 def gate_reason(decision: str, th: GateThresholds = GateThresholds()) -> Column:
+    # fixed values: the texts of the reasons
     t, s = F.format_string("%.2f", C("ic_t_stat")), F.format_string("%.2f", C("ls_sharpe"))
     why = F.concat_ws(
         "; ",
@@ -61,6 +62,13 @@ def aggregate_linear(factors: DataFrame, names: list[str]) -> DataFrame:
     return scored.withColumn("value", F.try_divide(total, count)).drop(*[f"_z_{n}" for n in names])
 
 
+def composite_summary(scores: DataFrame) -> DataFrame:
+    """One row over (date, symbol, value): mean of the symbols' means, mean of their deviations, dates, symbols."""
+    by_symbol = scores.groupBy("symbol").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    counts = scores.agg(F.count_distinct("date").alias("n_dates"))
+    return by_symbol.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.avg("s"), 6).alias("std"), F.count(F.lit(1)).alias("n_symbols")).join(F.broadcast(counts))
+
+
 def aggregate_boosted(factors: DataFrame, names: list[str], target: str, train_end: str, least: int = 100, rounds: int = 200) -> DataFrame:
     """date, symbol, value: gradient-boosted trees fitted to complete rows up to ``train_end``."""
     rows = factors.dropna(subset=names)

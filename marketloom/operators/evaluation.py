@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,21 +102,24 @@ def monotonic(deciles: DataFrame) -> DataFrame:
 
 
 def turnover(df: DataFrame, share: float = 0.5) -> DataFrame:
-    """One row: mean over dates of the share of names that enter or leave the two legs."""
-    held = df.filter("f is not null").withColumn("_n", F.count(F.lit(1)).over(day())).filter("_n >= 10")
-    held = held.withColumn("_k", F.row_number().over(day().orderBy("f", "sym_ord"))).withColumn("_c", F.floor(C("_n") * share))
-    dates = held.select("date", "_c").distinct()
-    dates = dates.withColumns(
-        {"before": F.lag("date").over(Window.partitionBy(F.lit(1)).orderBy("date")), "_cb": F.lag("_c").over(Window.partitionBy(F.lit(1)).orderBy("date"))}
-    )
-    legs = held.select("date", "symbol", F.explode(F.array(F.when(C("_k") <= C("_c"), F.lit("low")), F.when(C("_k") > C("_n") - C("_c"), F.lit("high")))).alias("leg")).filter("leg is not null")
-    now = legs.join(dates.select("date", "before"), "date").filter("before is not null")
-    was = legs.select(C("date").alias("before"), "symbol", "leg")
-    both = now.join(was, ["before", "symbol", "leg"]).groupBy("date").agg(F.count(F.lit(1)).alias("stay"))
+    """One row: mean over dates of the share of names that enter or leave the two legs since the last valid date.
+
+    A symbol's own last row on a valid date tells where it was, so the panel is read once; what is left are
+    counts per (date, last date), of which only those of the date's true predecessor count as staying.
+    """
+    ranked = df.withColumn("_n", F.count("f").over(day())).filter("_n >= 10")
+    ranked = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("date", C("f").isNull()).orderBy("f", "sym_ord"))).withColumn("_c", F.floor(C("_n") * share))
+    leg = F.when(C("f").isNull(), 0).otherwise((C("_k") <= C("_c")).cast("int") + 2 * (C("_k") > C("_n") - C("_c")).cast("int"))  # 1 low, 2 high, 3 both
+    own = Window.partitionBy("symbol").orderBy("date")
+    moves = ranked.select("date", "symbol", "_c", leg.alias("_leg")).withColumns({"_was": F.lag("_leg").over(own), "_last": F.lag("date").over(own)})
+    kept = F.sum(F.bit_count(C("_leg").bitwiseAND(C("_was")))).alias("_kept")
+    pairs = moves.groupBy("date", "_last").agg(kept, F.max("_c").alias("_c"))
+    by_date = pairs.groupBy("date").agg(F.max("_c").alias("_c"), F.collect_list(F.struct("_last", "_kept")).alias("_pairs"))
+    order = Window.partitionBy(F.lit(1)).orderBy("date")  # a row per date
+    dates = by_date.withColumns({"_before": F.lag("date").over(order), "_cb": F.lag("_c").over(order)}).filter("_before is not null")
+    stay = F.aggregate(F.filter("_pairs", lambda p: p["_last"] == C("_before")), F.lit(0).cast("long"), lambda s, p: s + F.coalesce(p["_kept"], F.lit(0)))
     # |A xor B| = |A| + |B| - 2 |A and B|, for both legs together
-    days = dates.filter("before is not null").join(both, "date", "left")
-    moved = (2 * (C("_c") + C("_cb")) - 2 * F.coalesce("stay", F.lit(0))) / (4 * C("_c"))
-    return days.agg(F.coalesce(F.avg(moved), F.lit(0.0)).alias("turnover"))
+    return dates.agg(F.coalesce(F.avg((2 * (C("_c") + C("_cb")) - 2 * stay) / (4 * C("_c"))), F.lit(0.0)).alias("turnover"))
 
 
 def signal_decay(df: DataFrame, horizons: range = range(1, 8), share: float = 0.5) -> DataFrame:
@@ -132,30 +136,66 @@ def signal_decay(df: DataFrame, horizons: range = range(1, 8), share: float = 0.
     return stats.select("horizon", F.when(C("sd") > 0, F.sqrt(F.lit(float(YEAR)) / C("horizon")) * C("m") / C("sd")).otherwise(0.0).alias("sharpe"))
 
 
-def _global_rank(df: DataFrame, x: str) -> DataFrame:
-    """(x, rank): average ranks over the whole frame from counts of distinct values.
+#: Values in over a HOT-th of all cells are fewer than HOT.
+HOT = 1000
+
+
+def _counted(df: DataFrame, x: str) -> DataFrame:
+    """(x, _n, _part): how often each value occurs, in range partitions; kept, so that all uses see the same partitions."""
+    return df.groupBy(x).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(x).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+
+
+def _ranked(df: DataFrame, counts: DataFrame, x: str, cells: int) -> DataFrame:
+    """Adds the average rank of x over the whole frame, from counts of distinct values.
 
-    Counts are range-partitioned by value; a prefix sum runs within partitions and over the few
-    partition totals, so no task sorts everything.
+    A prefix sum runs within range partitions and over the few partition totals, so no task sorts
+    everything. Frequent values get their rank by broadcast, the others by a join.
     """
-    counts = df.groupBy(x).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(x).withColumn("_part", F.spark_partition_id())
     within = Window.partitionBy("_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_b", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t"), F.min(x).alias("_x"))
-    totals = totals.select("_part", F.coalesce(F.sum("_t").over(Window.partitionBy(F.lit(1)).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_f"))
-    return counts.join(totals, "_part").select(x, (C("_f") + C("_b") + (C("_n") + 1) / F.lit(2.0)).alias(f"_rank_{x}"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_f"))
+    below = C("_f") + F.coalesce(F.sum("_n").over(within), F.lit(0))
+    ranks = counts.join(F.broadcast(totals), "_part").select(x, "_n", (below + (C("_n") + 1) / F.lit(2.0)).alias(f"_rank_{x}"))
+    hot = F.broadcast(ranks.filter(C("_n") > cells / HOT).drop("_n"))
+    rest = df.join(hot.select(x), x, "left_anti").join(ranks.drop("_n"), x)
+    return df.join(hot, x).unionByName(rest)
 
 
 def redundancy(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: |Spearman| of two factors over all cells; 0 below 20 dates, 5 symbols or 100 cells."""
-    cells = df.select("date", "symbol", x, y)
-    size = cells.agg(F.count_distinct("date").alias("days"), F.count_distinct("symbol").alias("names"))
-    both = cells.filter(C(x).isNotNull() & C(y).isNotNull())
-    ranked = both.join(_global_rank(both, x), x).join(_global_rank(both, y), y)
-    a, b = f"_rank_{x}", f"_rank_{y}"
-    r = ranked.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias("r"))
-    ok = (C("days") >= 20) & (C("names") >= 5) & (C("n") >= 100)
-    return r.join(F.broadcast(size)).select(F.when(ok, F.coalesce(F.abs("r"), F.lit(0.0))).otherwise(0.0).alias("redundancy"))
+    """One row: |Spearman| of two columns over all cells; 0 below 20 dates, 5 symbols or 100 cells.
+
+    Worked out when called: both columns are kept on disk for the two ranks and released.
+    """
+    found, held = 0.0, [df.select("date", "symbol", x, y).persist(StorageLevel.DISK_ONLY)]
+    try:
+        complete = C(x).isNotNull() & C(y).isNotNull()
+        size = held[0].agg(F.count_distinct("date").alias("days"), F.count_distinct("symbol").alias("names"), F.count_if(complete).alias("n")).first()
+        if size.days >= 20 and size.names >= 5 and size.n >= 100:
+            both = held[0].filter(complete).select(x, y)
+            held += [_counted(both, x), _counted(both, y)]
+            ranked = _ranked(_ranked(both, held[1], x, size.n), held[2], y, size.n)
+            a, b = f"_rank_{x}", f"_rank_{y}"
+            found = ranked.agg(F.abs(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))).first()[0] or 0.0
+    finally:
+        for table in held:
+            table.unpersist()
+    return df.sparkSession.range(1).select(F.lit(float(found)).alias("redundancy"))
+
+
+def summary_text() -> Column:
+    """The metrics of ``evaluate`` in a line."""
+    percent = lambda c: F.format_string("%.2f%%", C(c) * 100)
+    # fixed values: labels and digits of the line
+    return F.concat(
+        F.format_string("IC: %.4f (t=%.2f, ICIR=%.2f) | LS Sharpe: %.2f, Ret: ", "ic_mean", "ic_t_stat", "icir", "ls_sharpe"), percent("ls_annual_return"),
+        F.lit(" | MaxDD: "), percent("ls_max_drawdown"), F.format_string(" | TO: %.2f | Mono: ", "turnover"), F.when(C("monotonic"), "True").otherwise("False"),
+        F.when(F.size("decay_sharpes") > 0, F.format_string(" | Decay H1→H7: %.2f→%.2f", F.element_at("decay_sharpes", 1), F.element_at("decay_sharpes", -1))).otherwise(""),
+    )
+
+
+def as_dict(metrics: DataFrame) -> dict:
+    """The one row of ``evaluate`` as a dict of plain values."""
+    return metrics.first().asDict(recursive=True)
 
 
 def evaluate(df: DataFrame, horizon: int = 1, prepare: bool = True, existing: list[str] | None = None) -> DataFrame:

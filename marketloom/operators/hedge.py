@@ -136,32 +136,78 @@ def backtest_stats(tested: DataFrame, cfg: VolTarget = VolTarget()) -> DataFrame
     )
 
 
-def as_of(exposed: DataFrame, dates: DataFrame) -> DataFrame:
-    """For each requested date (as_of): the last row of each series on or before it.
+def exposure_at(close: float, sma_fast: float, sma_slow: float, rv20: float, cfg: VolTarget = VolTarget()) -> dict:
+    """The exposure of a single bar, without debouncing."""
+    gate = {2: cfg.gate_both, 1: cfg.gate_one, 0: cfg.gate_none}[(close > sma_fast) + (close > sma_slow)]
+    raw = cfg.target_vol / rv20
+    w_vol = min(raw, cfg.leverage_cap)
+    return {"gate": gate, "w_vol": w_vol, "exposure": gate * w_vol, "cash": 1 - gate * w_vol, "leverage_capped": raw >= cfg.leverage_cap}
 
-    One pass: requests and rows are sorted together and the last row carries forward.
+
+def recent_exposures(exposed: DataFrame, n: int = 10) -> DataFrame:
+    """series_id, date, exposure (4 digits) of the last ``n`` rows of each series that have one."""
+    last = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("date")))
+    return exposed.filter("exposure is not null").withColumn("_k", last).filter(C("_k") <= n).select("series_id", "date", F.round("exposure", 4).alias("exposure"))
+
+
+def backtest_report(series: DataFrame, cfg: VolTarget = VolTarget(), cash_rate: float = 0.0) -> DataFrame:
+    """A row per series: the statistics of ``backtest_stats`` to 4 digits, the range of dates, their number and
+    the last ten exposures."""
+    tested = backtest(series, cfg, cash_rate)
+    stats = backtest_stats(tested, cfg)
+    stats = stats.select("series_id", *[F.round(c, 4).alias(c) for c in stats.columns if c != "series_id"])
+    span = tested.groupBy("series_id").agg(F.concat_ws(" to ", F.min("date"), F.max("date")).alias("data_range"), F.count(F.lit(1)).alias("n_trading_days"))
+    recent = recent_exposures(tested).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("date", "exposure"))).alias("recent_exposures"))
+    return stats.join(span, "series_id").join(recent, "series_id", "left").withColumn("vt", F.lit(cfg.target_vol * 100))
+
+
+def as_of(exposed: DataFrame, dates: DataFrame, missing: bool = False) -> DataFrame:
+    """For each requested date (as_of): the last row of each series on or before it; with ``missing`` also a
+    row of nulls where there is none.
+
+    Requests and rows of a series are sorted together and the last row carries forward. The requested dates
+    are one broadcast array, no longer than the calendar.
     """
     names = exposed.columns
-    row = F.struct(*names)
-    asked = dates.select("as_of").distinct().join(F.broadcast(exposed.select("series_id").distinct()))
-    both = exposed.select("series_id", C("date").alias("_t"), F.lit(0).alias("_k"), row.alias("_row"), F.lit(None).cast("date").alias("as_of"))
+    asked = dates.filter("as_of is not null").agg(F.collect_set(C("as_of").cast("date")).alias("_asked"))
+    asked = exposed.select("series_id").distinct().join(F.broadcast(asked)).select("series_id", F.explode("_asked").alias("as_of"))
+    both = exposed.select("series_id", C("date").alias("_t"), F.lit(0).alias("_k"), F.struct(*names).alias("_row"), F.lit(None).cast("date").alias("as_of"))
     both = both.unionByName(asked.select("series_id", C("as_of").alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), "as_of"))
     w = Window.partitionBy("series_id").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).filter("_k = 1 and _row is not null")
-    return filled.select("as_of", *[C(f"_row.{n}") for n in names])
+    filled = both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).filter("_k = 1")
+    if not missing:
+        filled = filled.filter("_row is not null")
+    return filled.select("as_of", *[C("series_id") if n == "series_id" else C(f"_row.{n}") for n in names])
+
 
+def hedge_parameters(
+    series: DataFrame, dates: DataFrame, vt: float = 15.0, rv_override: float | None = None, cfg: VolTarget | None = None, vol_source: str = "qqq", book: dict | None = None
+) -> DataFrame:
+    """The rounded report of each requested date; rows without a date or enough history have an error text.
 
-def hedge_parameters(series: DataFrame, dates: DataFrame, vt: float = 15.0, rv_override: float | None = None, cfg: VolTarget | None = None) -> DataFrame:
-    """The rounded report of each requested date; rows without enough history have an error text."""
+    With ``vol_source`` "portfolio" the volatility (``rv_override``) is a book's, is reported as such too, and
+    ``book`` (book_id, book_name, n_constituents, weighting, dropped_cash, cash_weight) labels it.
+    """
     cfg = cfg or VolTarget.from_vt(vt)
-    df = as_of(exposure(series, cfg, rv_override), dates)
+    df = as_of(exposure(series, cfg, rv_override), dates, missing=True)
     pct = lambda c: F.format_string("%.1f%%", c * 100)
+    # fixed values: labels and texts of the report
     regime = F.when(C("gate") == 1, "risk-on").when(C("gate") == 0.5, "half").when(C("gate") == 0, "cash").when(C("gate").isNotNull(), F.format_string("gate=%.2f", C("gate")))
     cash = F.when(C("cash") >= 0, F.concat(pct(C("cash")), F.lit(" cash"))).otherwise(F.concat(pct(-C("cash")), F.lit(" leverage")))
+    error = F.when(C("date").isNull(), F.concat(F.lit("No trading day on or before "), C("as_of").cast("string"))).when(
+        C("exposure").isNull(),
+        F.concat(F.lit("Insufficient history to compute the signal as of "), C("date").cast("string"), F.lit(f" (need >= {cfg.sma_slow} sessions of data).")),
+    )
+    ok = lambda c: F.when(C("exposure").isNotNull(), c)  # noqa: E731  a row with an error reports nothing else
+    report = {
+        "exposure": F.round("exposure", 4), "exposure_pct": F.concat(pct(C("exposure")), F.lit(" invested")), "cash": F.round("cash", 4), "cash_pct": cash,
+        "gate": C("gate"), "regime": regime, "w_vol": F.round("w_vol", 4), "leverage_capped": C("leverage_capped"), "rv20": F.round("rv20", 4), "rv20_pct": pct(C("rv20")),
+        "close": F.round("close", 2), "sma100": F.round("sma_fast", 2), "sma200": F.round("sma_slow", 2),
+    }
+    if vol_source == "portfolio":
+        report |= {"portfolio_vol": F.round("rv20", 4), "portfolio_vol_pct": pct(C("rv20"))}
+        report |= {new: F.lit(book[old]) for new, old in (("book_id", "book_id"), ("book_name", "book_name"), ("n_constituents", "n_constituents"), ("weighting", "weighting"), ("excluded_cash", "dropped_cash"), ("excluded_cash_weight", "cash_weight")) if book and book.get(old)}
     return df.select(
         "series_id", C("as_of").alias("requested_date"), C("date").alias("as_of_date"), F.lit(float(vt)).alias("vt"), F.lit(round(cfg.target_vol, 4)).alias("target_vol"),
-        F.round("exposure", 4).alias("exposure"), F.concat(pct(C("exposure")), F.lit(" invested")).alias("exposure_pct"), F.round("cash", 4).alias("cash"), cash.alias("cash_pct"),
-        "gate", regime.alias("regime"), F.round("w_vol", 4).alias("w_vol"), "leverage_capped", F.round("rv20", 4).alias("rv20"), pct(C("rv20")).alias("rv20_pct"),
-        F.round("close", 2).alias("close"), F.round("sma_fast", 2).alias("sma100"), F.round("sma_slow", 2).alias("sma200"),
-        F.when(C("exposure").isNull(), F.lit(f"insufficient history: needs {cfg.sma_slow} sessions")).alias("error"),
+        *[ok(c).alias(n) for n, c in report.items()], F.lit(vol_source).alias("vol_source"), error.alias("error"),
     )

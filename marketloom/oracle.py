@@ -150,11 +150,11 @@ expo AS (SELECT *, gate * w_vol AS exposure, 1 - gate * w_vol AS cash FROM (SELE
 def _stats(r: str, label: str) -> str:
     return f"""{label}_rows AS (SELECT date, {r} AS r, product(1 + {r}) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM tested WHERE {r} IS NOT NULL),
 {label}_dd AS (SELECT r, cum / NULLIF(max(cum) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd FROM {label}_rows),
-{label} AS (SELECT AVG(r) * 252 AS ret, stddev_samp(r) * sqrt(252.0) AS vol, min(dd) AS dd FROM {label}_dd)"""
+{label} AS (SELECT AVG(r) * 252 AS ret, stddev_samp(r) * sqrt(252.0) AS vol, min(dd) AS dd, (SELECT arg_max(cum, date) - 1 FROM {label}_rows) AS total FROM {label}_dd)"""
 
 
 def _backtest() -> str:
-    stat = lambda t: {f"{t}_annual_return": f"{t}.ret", f"{t}_annual_vol": f"{t}.vol", f"{t}_sharpe": f"CASE WHEN {t}.vol > 0 THEN {t}.ret / {t}.vol ELSE 0 END", f"{t}_max_dd": f"{t}.dd", f"{t}_calmar": f"CASE WHEN {t}.dd <> 0 THEN {t}.ret / abs({t}.dd) ELSE 0 END"}
+    stat = lambda t: {f"{t}_annual_return": f"{t}.ret", f"{t}_annual_vol": f"{t}.vol", f"{t}_sharpe": f"CASE WHEN {t}.vol > 0 THEN {t}.ret / {t}.vol ELSE 0 END", f"{t}_max_dd": f"{t}.dd", f"{t}_calmar": f"CASE WHEN {t}.dd <> 0 THEN {t}.ret / abs({t}.dd) ELSE 0 END", f"{t}_total_return": f"{t}.total"}
     use = {"mean_exposure": "u.e", "mean_w_vol": "u.w", "pct_in_cash": "u.lo", "pct_levered": "u.hi", "pct_at_leverage_cap": "u.cap"}
     more = {"dd_reduction": "buyhold.dd - portfolio.dd", "return_cost": "portfolio.ret - buyhold.ret", "target_vol": "CAST(3 AS DOUBLE)"}
     return f"""WITH {EXPOSURE},
@@ -165,37 +165,96 @@ u AS (SELECT AVG(exposure) AS e, AVG(w_vol) AS w, AVG((exposure < 1)::INT) AS lo
 SELECT 'market' AS series_id, {rounded(**stat('portfolio'), **stat('buyhold'), **use, **more)} FROM portfolio, buyhold, u"""
 
 
-POSITIONS = """
+def _positions(most: int) -> str:
+    return f"""
 pos AS (SELECT p_brand AS symbol, l_returnflag, SUM(l_extendedprice) AS mv, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) % 2 = 1 AS odd
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 4),
 act AS (SELECT * FROM pos WHERE symbol <> 'Brand#12'),
 net AS (SELECT upper(symbol) AS symbol, sum(CASE WHEN odd THEN -mv ELSE mv END / (SELECT sum(mv) FROM act)) AS w FROM act WHERE upper(symbol) <> 'BRAND#11' GROUP BY 1),
-top AS (SELECT * FROM net WHERE w <> 0 ORDER BY abs(w) DESC, symbol LIMIT 20),
+top AS (SELECT * FROM net WHERE w <> 0 ORDER BY abs(w) DESC, symbol LIMIT {most}),
 book AS (SELECT symbol, w / (SELECT sum(abs(w)) FROM top) AS weight, sign(w) / (SELECT count(*) FROM top) AS equal FROM top)"""
+
+
+POSITIONS = _positions(60)
 BOOK_RETURNS = PANEL + "," + POSITIONS + """,
 priced AS (SELECT b.symbol, weight / sum(abs(weight)) OVER () AS w, count(*) OVER () AS names, weight FROM book b SEMI JOIN panel p ON upper(p.symbol) = b.symbol),
-br AS (SELECT date, sum(w * ret) / 10 AS r FROM panel JOIN priced ON upper(panel.symbol) = priced.symbol GROUP BY date HAVING count(ret) = max(names)),
+br AS (SELECT date, sum(w * ret) AS r FROM panel JOIN priced ON upper(panel.symbol) = priced.symbol GROUP BY date HAVING count(ret) = max(names)),
 nav AS (SELECT date, product(1 + r) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) * 100 AS nav FROM br)"""
 MONTHS = "months AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS as_of FROM orders)"
 _RSI_G, _RSI_L = "(CASE WHEN ret IS NOT NULL THEN greatest(ret, 0.0) END)", "(CASE WHEN ret IS NOT NULL THEN greatest(-ret, 0.0) END)"
 _SMA = {n: roll("AVG", "price", n, m) for n, m in ((50, 30), (100, 60), (200, 120))}
 
 
-def _ewma(x: str, span: int, rows: int) -> str:
-    k = 1 - 2 / (span + 1)
-    return f"""WITH {PANEL}, w AS (SELECT date, symbol, list({x}) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {rows} PRECEDING AND CURRENT ROW) AS l FROM panel)
-SELECT date, symbol, round(list_sum(list_transform(l, lambda v, i: coalesce(v, 0) * pow({k!r}, len(l) - i))) / NULLIF(list_sum(list_transform(l, lambda v, i: CASE WHEN v IS NULL THEN 0 ELSE pow({k!r}, len(l) - i) END)), 0), 6) + 0.0 AS v FROM w"""
+def _ewma(x: str, span: int, y: str, span_y: int) -> str:
+    """By the recursion: weights age by a constant with every row, present or not."""
+    a, b = (f"CAST({1 - 2 / (s + 1)!r} AS DOUBLE)" for s in (span, span_y))
+    return f"""WITH RECURSIVE {PANEL}, p AS MATERIALIZED (SELECT date, symbol, {x} AS x, {y} AS y, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM panel),
+r AS (SELECT date, symbol, i, coalesce(x, 0.0) AS n, (x IS NOT NULL)::DOUBLE AS d, coalesce(y, 0.0) AS m, (y IS NOT NULL)::DOUBLE AS e FROM p WHERE i = 1
+  UNION ALL SELECT p.date, p.symbol, p.i, {a} * n + coalesce(x, 0.0), {a} * d + (x IS NOT NULL)::DOUBLE, {b} * m + coalesce(y, 0.0), {b} * e + (y IS NOT NULL)::DOUBLE FROM r JOIN p ON p.i = r.i + 1 AND p.symbol = r.symbol)
+SELECT date, symbol, {rounded(v='n / NULLIF(d, 0)', w='m / NULLIF(e, 0)')} FROM r"""
 
 
 _LS_STATS = f"""WITH {FACTOR}, l AS (SELECT * FROM {ls('fac')}), s AS (SELECT AVG(ls) AS m, stddev_samp(ls) AS sd, stddev_samp(CASE WHEN ls < 0 THEN ls END) AS dn FROM l),
 d AS (SELECT * FROM {drawdown('l', 'ls')})
-SELECT {rounded(ls_annual_return='m * 50.4', ls_annual_vol='sd * sqrt(50.4)', ls_sharpe='CASE WHEN sd > 0 THEN sqrt(50.4) * m / sd ELSE 0 END', ls_sortino='CASE WHEN dn > 0 THEN sqrt(50.4) * m / dn ELSE 0 END', ls_max_drawdown='max_drawdown', ls_calmar='CASE WHEN max_drawdown <> 0 THEN m * 50.4 / abs(max_drawdown) ELSE 0 END')} FROM s, d"""
+SELECT {rounded(ls_annual_return='m * 50.4', ls_annual_vol='sd * sqrt(50.4)', ls_sharpe='CASE WHEN sd > 0 THEN sqrt(50.4) * m / sd ELSE 0 END', ls_sortino='CASE WHEN dn > 0 THEN sqrt(50.4) * m / dn ELSE 0 END', ls_max_drawdown='round(max_drawdown, 3)', ls_calmar='CASE WHEN max_drawdown <> 0 THEN m * 50.4 / abs(max_drawdown) ELSE 0 END')} FROM s, d"""
+
+def _evaluated() -> str:
+    tall = " UNION ALL ".join(f"SELECT {h} AS horizon, date, f, {fwd(h)} AS fwd FROM prep" for h in range(1, 8))
+    one = lambda kind, by, n: ", ".join(f"max(CASE WHEN {by} = {i} THEN x END) AS {kind}_{i - n + 1}" for i in range(n, n + (10 if n == 0 else 7)))
+    ratio = lambda d: f"CASE WHEN {d} > 0 THEN sqrt(50.4) * m / {d} ELSE 0 END"
+    values = dict(
+        ic_mean="ic_mean", ic_std="ic_std", ic_t_stat="ic_t_stat", icir="icir", ls_annual_return="m * 50.4", ls_annual_vol="sd * sqrt(50.4)", ls_sharpe=ratio("sd"), ls_sortino=ratio("dn"),
+        ls_max_drawdown="round(max_drawdown, 3)", ls_calmar="CASE WHEN max_drawdown <> 0 THEN m * 50.4 / abs(max_drawdown) ELSE 0 END", turnover="turnover", n_stocks_avg="c", max_corr_with_existing="rho",
+        **{f"decile_{i}": f"decile_{i}" for i in range(1, 11)}, **{f"decay_{h}": f"decay_{h}" for h in range(1, 8)},
+    )
+    return f"""WITH {PREPARED}, i AS (SELECT * FROM {ic_stats('prep')}), lsr AS (SELECT * FROM {ls('prep')}),
+l AS (SELECT AVG(ls) AS m, stddev_samp(ls) AS sd, stddev_samp(CASE WHEN ls < 0 THEN ls END) AS dn FROM lsr), dd AS (SELECT * FROM {drawdown('lsr', 'ls')}),
+t AS (SELECT * FROM {turned('prep')}), n AS (SELECT AVG(c) AS c FROM (SELECT date, count(f) AS c FROM prep GROUP BY 1)),
+dec AS (SELECT bucket, ret, lag(ret) OVER (ORDER BY bucket) AS before FROM {deciles('prep')}),
+ten AS (SELECT {one('decile', 'bucket', 0)}, count(*) >= 3 AND sum((x < before)::INT) <= 1 AS monotonic FROM (SELECT bucket, ret AS x, before FROM dec)),
+tall AS ({tall}), ok AS (SELECT *, count(*) OVER (PARTITION BY horizon, date) AS n FROM tall WHERE f IS NOT NULL AND fwd IS NOT NULL),
+ranked AS (SELECT *, {avg_rank('f', 'horizon, date')} / n AS r FROM ok WHERE n >= 10),
+spread AS (SELECT horizon, date, AVG(CASE WHEN r > 0.5 THEN fwd END) - AVG(CASE WHEN r <= 0.5 THEN fwd END) AS ls FROM ranked GROUP BY 1, 2),
+seven AS (SELECT {one('decay', 'horizon', 1)} FROM (SELECT horizon, CASE WHEN stddev_samp(ls) > 0 THEN sqrt(252.0 / horizon) * AVG(ls) / stddev_samp(ls) ELSE 0 END AS x FROM spread GROUP BY 1)),
+o AS (SELECT date, symbol, round({roll('stddev_samp', 'ret', 20, 2)}, 10) + 0.0 AS g FROM panel), b AS (SELECT 1 AS one, f, g FROM prep JOIN o USING (date, symbol) WHERE f IS NOT NULL AND g IS NOT NULL),
+rk AS (SELECT {avg_rank('f', 'one')} AS rf, {avg_rank('g', 'one')} AS rg FROM b), rho AS (SELECT abs(covar_samp(rf, rg) / NULLIF(stddev_samp(rf) * stddev_samp(rg), 0)) AS rho FROM rk)
+SELECT n_days, monotonic, {rounded(**values)} FROM i, l, dd, t, n, ten, seven, rho"""
+
+
+def _report() -> str:
+    percent = lambda x: f"printf('%.1f%%', {x} * 100)"
+    digits = lambda x, n: f"CAST(round(CAST({x} AS DECIMAL(30, 10)), {n}) AS DOUBLE) + 0.0"  # noqa: E731  halves up, as written
+    fields = {
+        "exposure": digits("exposure", 4), "exposure_pct": percent("exposure") + " || ' invested'", "cash": digits("cash", 4),
+        "cash_pct": f"CASE WHEN cash >= 0 THEN {percent('cash')} || ' cash' ELSE {percent('-cash')} || ' leverage' END", "gate": "CAST(gate AS DOUBLE)",
+        "regime": "CASE gate WHEN 1 THEN 'risk-on' WHEN 0.5 THEN 'half' WHEN 0 THEN 'cash' END", "w_vol": digits("w_vol", 4), "leverage_capped": "leverage_capped", "rv20": digits("rv20", 4),
+        "rv20_pct": percent("rv20"), "close": digits("close", 2), "sma100": digits("sma_fast", 2), "sma200": digits("sma_slow", 2),
+    }
+    shown = ", ".join(f"CASE WHEN exposure IS NOT NULL THEN {x} END AS {n}" for n, x in fields.items())
+    exposure = EXPOSURE.replace("AVG(l_extendedprice) AS close", "round(AVG(l_extendedprice), 6) AS close")
+    return f"""WITH {exposure}, {MONTHS}, asked AS (SELECT as_of FROM months UNION ALL SELECT DATE '1900-01-01')
+SELECT 'market' AS series_id, as_of AS requested_date, date AS as_of_date, CAST(300 AS DOUBLE) AS vt, CAST(3 AS DOUBLE) AS target_vol, {shown}, 'qqq' AS vol_source,
+CASE WHEN date IS NULL THEN 'No trading day on or before ' || as_of WHEN exposure IS NULL THEN 'Insufficient history to compute the signal as of ' || date || ' (need >= 200 sessions of data).' END AS error
+FROM asked ASOF LEFT JOIN expo ON asked.as_of >= expo.date"""
+
+
+def _book_summary() -> str:
+    return f"""WITH {_positions(20)}, c AS (SELECT sum(mv) AS cash, (SELECT sum(mv) FROM act) AS whole FROM act WHERE upper(symbol) = 'BRAND#11')
+SELECT 1 AS book_id, CAST(NULL AS VARCHAR) AS book_name, (SELECT count(*) FROM top) AS n_constituents, (SELECT count(*) FROM pos WHERE symbol = 'Brand#12') AS n_dropped_options,
+  CAST(1 AS INTEGER) AS n_dropped_cash, 'BRAND#11' AS dropped_cash, greatest(0, (SELECT count(*) FROM net WHERE w <> 0) - 20) AS n_truncated,
+  {rounded(cash_weight='round(cash / whole, 4)', gross_market_value='round(whole, 2)', net_exposure='round((SELECT sum(weight) FROM book), 6)')}, CAST(NULL AS VARCHAR) AS error FROM c
+UNION ALL SELECT 2, NULL, 0, 0, 1, 'BRAND#11', 0, 1.0, round(cash, 2), NULL, 'book 2: no risk constituents after excluding cash [''BRAND#11''] (100% of gross)' FROM c
+UNION ALL SELECT 3, NULL, 0, 0, 0, NULL, 0, 0.0, NULL, NULL, 'book 3 has no active equity constituents'"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "panel_returns": on_panel(price="price", volume="volume", ret="ret", mkt="mkt"),
-    "sparse_prices": f"""WITH {PANEL}, enough AS (SELECT symbol FROM dense GROUP BY 1 HAVING count(price) >= 0.5 * count(*))
-SELECT date, symbol, {rounded(price='last_value(price IGNORE NULLS) OVER w', volume='coalesce(last_value(volume IGNORE NULLS) OVER w, 0)')} FROM dense SEMI JOIN enough USING (symbol)
-WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
+    "sparse_prices": f"""WITH {PANEL}, enough AS (SELECT symbol FROM dense GROUP BY 1 HAVING count(price) >= 0.5 * count(*)),
+filled AS (SELECT date, symbol, last_value(price IGNORE NULLS) OVER w AS price, coalesce(last_value(volume IGNORE NULLS) OVER w, 0) AS volume,
+  last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS whole FROM dense SEMI JOIN enough USING (symbol)
+  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+moved AS (SELECT *, whole / NULLIF(lag(whole) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS ret FROM filled)
+SELECT date, symbol, {rounded(price='price', volume='volume', ret='ret')} FROM moved WHERE date > (SELECT min(date) FROM dense)""",
     "prim_turnover": on_panel(turnover=f"volume / NULLIF({roll('AVG', 'volume', 60, 20)}, 0)"),
     "prim_volume_ratio": on_panel(volume_ratio=f"volume / NULLIF({roll('AVG', 'volume', 20, 5)}, 0)"),
     "prim_realized_vol": on_panel(realized_vol=roll("stddev_samp", "ret", 20, 5), high_low_range=f"{roll('stddev_samp', 'ret', 20, 5)} * sqrt(1 / 252.0)", market_vol=roll("stddev_samp", "mkt", 20, 5)),
@@ -214,7 +273,7 @@ WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURR
     "op_rolling_sum": on_panel(v=roll("sum", "volume", 10, 1)),
     "op_rolling_corr": on_panel(v=corr_value("price", "volume", 40, 20)),
     "op_diff": on_panel(v=f"price - {lag('price', 2)}"),
-    "op_ewma": _ewma("price", 10, 200),
+    "op_ewma": _ewma("price", 10, "ret", 252),
     "op_rank": on_panel(v=f"{avg_rank('volume', 'date')} / count(volume) OVER (PARTITION BY date)"),
     "op_zscore": on_panel(v=z("volume")),
     "op_ratio_log_sign_abs_neg": on_panel(a="volume / NULLIF(price, 0)", b="ln(abs(NULLIF(ret, 0)))", c="CAST(sign(ret) AS DOUBLE)", d="abs(ret)", e="-ret"),
@@ -229,7 +288,7 @@ WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURR
     "rank_ic_stats": f"WITH {FACTOR} SELECT n_days, {rounded(ic_mean='ic_mean', ic_std='ic_std', ic_t_stat='ic_t_stat', icir='icir')} FROM {ic_stats('fac')}",
     "ls_returns": f"WITH {FACTOR} SELECT date, {rounded(ls='ls')} FROM {ls('fac')}",
     "ls_stats": _LS_STATS,
-    "max_drawdown": f"WITH {FACTOR}, l AS (SELECT date, ls / 100 AS r FROM {ls('fac')}) SELECT {rounded(max_drawdown='max_drawdown')} FROM {drawdown('l', 'r')}",
+    "max_drawdown": f"WITH {FACTOR}, l AS (SELECT * FROM {ls('fac')}) SELECT {rounded(max_drawdown='round(max_drawdown, 3)')} FROM {drawdown('l', 'ls')}",
     "decile_returns": f"WITH {FACTOR} SELECT bucket, {rounded(ret='ret')} FROM {deciles('fac')}",
     "decile_monotonic": f"WITH {FACTOR} SELECT count(*) >= 3 AND sum((ret < before)::INT) <= 1 AS monotonic FROM (SELECT ret, lag(ret) OVER (ORDER BY bucket) AS before FROM {deciles('fac')})",
     "turnover": f"WITH {FACTOR} SELECT {rounded(turnover='turnover')} FROM {turned('fac')}",
@@ -237,12 +296,15 @@ WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURR
     "redundancy": f"""WITH {FACTOR}, o AS (SELECT date, symbol, round({roll('stddev_samp', 'ret', 20, 2)}, 10) + 0.0 AS g FROM panel),
 b AS (SELECT 1 AS one, f, g FROM fac JOIN o USING (date, symbol) WHERE f IS NOT NULL AND g IS NOT NULL), r AS (SELECT {avg_rank('f', 'one')} AS rf, {avg_rank('g', 'one')} AS rg FROM b)
 SELECT {rounded(redundancy='abs(covar_samp(rf, rg) / NULLIF(stddev_samp(rf) * stddev_samp(rg), 0))')} FROM r""",
-    "evaluate_factor": f"""WITH {PREPARED}, i AS (SELECT * FROM {ic_stats('prep')}), l AS (SELECT AVG(ls) AS m, stddev_samp(ls) AS sd FROM {ls('prep')}), t AS (SELECT * FROM {turned('prep')}),
-n AS (SELECT AVG(c) AS c FROM (SELECT date, count(f) AS c FROM prep GROUP BY 1))
-SELECT n_days, {rounded(ic_mean='ic_mean', ic_t_stat='ic_t_stat', ls_sharpe='sqrt(50.4) * m / sd', turnover='turnover', n_stocks_avg='c')} FROM i, l, t, n""",
+    "evaluate_factor": _evaluated(),
     "gate_decision": """WITH m AS (SELECT l_suppkey AS factor, round(AVG(l_quantity) / 8, 6) AS t, round(AVG(l_discount) * 25, 6) AS s, round(AVG(l_tax) * 14, 6) AS o, round(max(l_discount) * 7, 6) AS c FROM lineitem GROUP BY 1)
-SELECT factor, CASE WHEN t >= 3 AND s >= 1 THEN (CASE WHEN o > 0.6 OR c > 0.7 THEN 'hold' ELSE 'promote' END) WHEN t < 1 THEN 'retire' ELSE 'hold' END AS decision FROM m""",
+SELECT factor, decision, CASE decision WHEN 'promote' THEN printf('Promoted: t_IC=%.2f >= 3.0 AND Sharpe=%.2f >= 1.0', t, s) WHEN 'retire' THEN printf('Retired: t_IC=%.2f < 1.0 (below minimum statistical threshold)', t)
+  ELSE 'Hold: ' || coalesce(NULLIF(concat_ws('; ', CASE WHEN t < 3 THEN printf('t_IC=%.2f < 3.0', t) END, CASE WHEN s < 1 THEN printf('Sharpe=%.2f < 1.0', s) END, CASE WHEN o > 0.6 THEN printf('turnover=%.2f > 0.6', o) END,
+    CASE WHEN c > 0.7 THEN printf('redundant (corr=%.2f with existing factor)', c) END), ''), 'borderline') END AS reason
+FROM (SELECT factor, t, s, o, c, CASE WHEN t >= 3 AND s >= 1 THEN (CASE WHEN o > 0.6 OR c > 0.7 THEN 'hold' ELSE 'promote' END) WHEN t < 1 THEN 'retire' ELSE 'hold' END AS decision FROM m)""",
     "aggregate_linear": f"WITH {LINEAR} SELECT date, symbol, {rounded(value='value')} FROM combined",
+    "composite_summary": f"""WITH {LINEAR}, s AS (SELECT symbol, AVG(value) AS m, stddev_samp(value) AS s FROM combined GROUP BY 1)
+SELECT round(AVG(m), 6) AS mean, round(AVG(s), 6) AS std, count(*) AS n_symbols, (SELECT count(DISTINCT date) FROM combined) AS n_dates FROM s""",
     "topk_latest": f"""WITH {LINEAR}, r AS (SELECT *, row_number() OVER (ORDER BY value DESC, symbol) AS hi, row_number() OVER (ORDER BY value, symbol) AS lo FROM combined WHERE value IS NOT NULL AND date = (SELECT max(date) FROM panel))
 SELECT 'top' AS side, CAST(hi AS INTEGER) AS place, symbol, {rounded(value='value')} FROM r WHERE hi <= 5 UNION ALL SELECT 'bottom', CAST(lo AS INTEGER), symbol, {rounded(value='value')} FROM r WHERE lo <= 5""",
     "hedge_indicators": f"WITH {SERIES} SELECT date, {rounded(close='close', sma_fast='sma_fast', sma_slow='sma_slow', rv20='rv20')} FROM ind",
@@ -250,15 +312,18 @@ SELECT 'top' AS side, CAST(hi AS INTEGER) AS place, symbol, {rounded(value='valu
     "hedge_exposure": f"WITH {EXPOSURE} SELECT date, leverage_capped, {rounded(gate='CAST(gate AS DOUBLE)', w_vol='w_vol', exposure='exposure', cash='cash')} FROM expo",
     "hedge_backtest_stats": _backtest(),
     "hedge_asof": f"WITH {EXPOSURE}, {MONTHS} SELECT as_of, date, {rounded(exposure='exposure')} FROM months ASOF JOIN expo ON months.as_of >= expo.date",
-    "hedge_parameters": f"""WITH {EXPOSURE}, {MONTHS} SELECT as_of AS requested_date, date AS as_of_date, CASE gate WHEN 1 THEN 'risk-on' WHEN 0.5 THEN 'half' WHEN 0 THEN 'cash' END AS regime, CAST(gate AS DOUBLE) AS gate, leverage_capped,
-CASE WHEN exposure IS NULL THEN 'insufficient history: needs 200 sessions' END AS error FROM months ASOF JOIN expo ON months.as_of >= expo.date""",
+    "hedge_recent_exposures": f"WITH {EXPOSURE} SELECT 'market' AS series_id, date, round(exposure, 4) AS exposure FROM expo WHERE exposure IS NOT NULL ORDER BY date DESC LIMIT 10",
+    "hedge_parameters": _report(),
+    "book_weights_largest": f"WITH {_positions(20)} SELECT 1 AS book_id, symbol, {rounded(weight='weight')} FROM book",
+    "book_summary": _book_summary(),
     "book_weights_equal": f"WITH {POSITIONS} SELECT 1 AS book_id, symbol, {rounded(weight='equal')} FROM book",
     "book_weights_gross": f"WITH {POSITIONS} SELECT 1 AS book_id, symbol, {rounded(weight='weight')} FROM book",
     "portfolio_returns": f"WITH {BOOK_RETURNS} SELECT 1 AS book_id, date, {rounded(r='r')} FROM br",
-    "portfolio_nav": f"WITH {BOOK_RETURNS} SELECT 1 AS book_id, date, {rounded(log_nav='ln(nav)')} FROM nav",
-    "portfolio_vol30": f"""WITH {BOOK_RETURNS}, l AS (SELECT date, ln(nav) - ln(lag(nav) OVER (ORDER BY date)) AS lr FROM nav), last AS (SELECT lr FROM l WHERE lr IS NOT NULL ORDER BY date DESC LIMIT 30)
+    "portfolio_nav": f"WITH {BOOK_RETURNS} SELECT 1 AS book_id, date, {rounded(sign='CAST(sign(nav) AS DOUBLE)', log_nav='ln(abs(nav))')} FROM nav",
+    "portfolio_vol30": f"""WITH {BOOK_RETURNS}, g AS (SELECT date, CASE WHEN nav > 0 THEN ln(nav) END AS g FROM nav), l AS (SELECT date, g - lag(g) OVER (ORDER BY date) AS lr FROM g), last AS (SELECT lr FROM l WHERE lr IS NOT NULL ORDER BY date DESC LIMIT 30)
 SELECT 1 AS book_id, (SELECT max(date) FROM nav) AS as_of_date, (SELECT count(*) FROM nav) AS n_aligned_days, (SELECT count(*) FROM priced) AS n_priced,
-round((SELECT stddev_samp(lr) FROM last) * sqrt(252.0), 6) + 0.0 AS portfolio_vol, round(round((SELECT sum(weight) FROM priced), 6), 6) + 0.0 AS net_exposure""",
+CASE WHEN (SELECT count(*) FROM last) = 30 THEN round((SELECT stddev_samp(lr) FROM last) * sqrt(252.0), 6) + 0.0 END AS portfolio_vol, 1.0::DOUBLE AS coverage,
+CASE WHEN (SELECT count(*) FROM last) < 30 THEN 'too many non-finite returns' END AS error, round(round((SELECT sum(weight) FROM priced), 6), 6) + 0.0 AS net_exposure""",
     "portfolio_vol_ewma": f"""WITH RECURSIVE {BOOK_RETURNS}, n AS (SELECT date, r, row_number() OVER (ORDER BY date) AS i FROM br),
 v AS (SELECT i, date, r * r AS v FROM n WHERE i = 1 UNION ALL SELECT n.i, n.date, 0.94 * v.v + 0.06 * n.r * n.r FROM v JOIN n ON n.i = v.i + 1)
 SELECT 1 AS book_id, date, round(sqrt(v * 252), 6) + 0.0 AS vol FROM v""",

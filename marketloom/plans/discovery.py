@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import forward_sum
 from ..operators.decisions import GateThresholds, aggregate_boosted, aggregate_linear, gate, gate_reason
-from ..operators.evaluation import evaluate, preprocess
+from ..operators.evaluation import as_dict, evaluate, preprocess, summary_text
 from .compiler import with_formula
 from .grammar import FormulaError
 
@@ -69,19 +69,22 @@ def discover(panel: DataFrame, hypotheses: Iterable[str] = SEEDS, settings: Sett
     target = panel.withColumn("fwd", forward_sum(F.col("ret"), s.fwd_horizon))
     if s.purge:  # forward returns that reach beyond the sample are dropped, not only its later rows
         target = panel.join(target.filter(F.col("date") <= end).select("date", "symbol", "fwd"), ["date", "symbol"], "left")
-    target = target.cache()
     memory, promoted = Memory(), []
-    for k, formula in zip(range(s.max_rounds), hypotheses, strict=False):
-        try:
-            whole = with_formula(target, formula)
-            row = evaluate(whole.filter(F.col("date") <= end), s.fwd_horizon)
-            row = row.withColumn("decision", gate(s.thresholds(), existing=bool(promoted)))
-            found = row.withColumn("reason", gate_reason("decision", s.thresholds())).first().asDict(recursive=True)
-        except FormulaError as e:
-            found = {"decision": "error", "reason": str(e)}
-        memory.rounds.append({"round": k + 1, "formula": formula, **found})
-        if found["decision"] == "promote":
-            promoted.append((f"factor{len(promoted)}", formula))
+    target = target.cache()
+    try:
+        for k, formula in zip(range(s.max_rounds), hypotheses, strict=False):
+            try:
+                whole = with_formula(target, formula)
+                row = evaluate(whole.filter(F.col("date") <= end), s.fwd_horizon)
+                row = row.withColumn("decision", gate(s.thresholds(), existing=bool(promoted)))
+                found = as_dict(row.withColumn("reason", gate_reason("decision", s.thresholds())).withColumn("summary", summary_text()))
+            except FormulaError as e:
+                found = {"decision": "error", "reason": str(e)}
+            memory.rounds.append({"round": k + 1, "formula": formula, **found})
+            if found["decision"] == "promote":
+                promoted.append((f"factor{len(promoted)}", formula))
+    finally:
+        target.unpersist()
     if not promoted:
         return memory, None
     factors = target
@@ -93,5 +96,10 @@ def discover(panel: DataFrame, hypotheses: Iterable[str] = SEEDS, settings: Sett
     return memory, aggregate_boosted(factors, names, "fwd", s.is_end)
 
 
-def settings_dict(s: Settings) -> dict:
-    return asdict(s)
+def read_json(path: str, default):
+    """The library or log that an earlier run wrote, or ``default`` if there is none."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return default

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import forward_sum
 from ..operators import hedge, portfolio
-from ..operators.decisions import GateThresholds, aggregate_linear, gate, gate_reason
+from ..operators.decisions import GateThresholds, aggregate_linear, composite_summary, gate, gate_reason
 from ..operators.evaluation import evaluate, preprocess
 from ..operators.primitives import latest
-from . import grammar
+from . import discovery, grammar
 from .compiler import lookback, with_formula
 
 
@@ -51,16 +51,38 @@ class Engine:
 
     def aggregate(self, panel: DataFrame, formulas: list[str], top: int = 5) -> DataFrame:
         """The composite's highest and lowest names on the last date."""
+        return latest(self._composite(panel, formulas), "value", top)
+
+    def aggregate_summary(self, panel: DataFrame, formulas: list[str]) -> DataFrame:
+        """The composite in one row: mean, std, n_dates, n_symbols."""
+        return composite_summary(self._composite(panel, formulas))
+
+    def _composite(self, panel: DataFrame, formulas: list[str]) -> DataFrame:
         df = panel
         for i, formula in enumerate(formulas):
             df = preprocess(with_formula(df, formula, f"c{i}"), f"c{i}")
-        return latest(aggregate_linear(df, [f"c{i}" for i in range(len(formulas))]), "value", top)
+        return aggregate_linear(df, [f"c{i}" for i in range(len(formulas))])
+
+    def discover(self, panel: DataFrame, hypotheses: Iterable[str] = discovery.SEEDS, **settings) -> tuple[discovery.Memory, DataFrame | None]:
+        return discovery.discover(panel, hypotheses, discovery.Settings.load(**settings))
 
     def hedge(self, series: DataFrame, dates: DataFrame, vt: float = 15.0, rv_override: float | None = None) -> DataFrame:
         if not vt > 0:
             raise ValueError("vt must be positive")
         return hedge.hedge_parameters(series, dates, vt, rv_override)
 
+    def backtest(self, series: DataFrame, vt: float = 15.0, leverage_cap: float = 1.5, cash_rate: float = 0.0) -> DataFrame:
+        return hedge.backtest_report(series, hedge.VolTarget.from_vt(vt, leverage_cap=leverage_cap), cash_rate)
+
+    def hedge_book(self, series: DataFrame, dates: DataFrame, positions: DataFrame, panel: DataFrame, vt: float = 15.0, weighting: str = "equal", as_of: str | None = None) -> DataFrame:
+        """The report with the volatility of the one book of ``positions``; an error of the book is the only column if there is one."""
+        book = portfolio.book_summary(positions, weighting).first().asDict() | {"weighting": weighting}
+        vol = self.book_vol(positions, panel, weighting, as_of).first() if not book["error"] else None
+        if vol is None or vol.error:
+            return self.spark.range(1).select(F.lit(book["error"] or f"book {book['book_id']} vol: {vol.error}").alias("error"))
+        return hedge.hedge_parameters(series, dates, vt, vol.portfolio_vol, vol_source="portfolio", book=book)
+
     def book_vol(self, positions: DataFrame, panel: DataFrame, weighting: str = "equal", as_of: str | None = None) -> DataFrame:
         weights = portfolio.book_weights(positions, weighting)
-        return portfolio.realized_vol(portfolio.nav(portfolio.portfolio_returns(panel, weights)), weights, panel, as_of)
+        priced = panel.select("symbol").distinct()
+        return portfolio.realized_vol(portfolio.nav(portfolio.portfolio_returns(panel, weights, priced)), weights, priced, as_of)

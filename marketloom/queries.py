@@ -38,10 +38,14 @@ def _formula(**formulas: str):
     return query
 
 
-def _factor(spark: SparkSession, sf_dir: str, formula: str = FACTOR) -> DataFrame:
-    """The factor, rounded so that equal values tie on every engine, and its forward return."""
-    df = with_formula(market.panel(spark, sf_dir), formula)
-    return df.withColumns({"f": F.round("f", 10) + 0.0, "fwd": forward_sum(F.col("ret"), HORIZON)}).select("date", "symbol", "sym_ord", "ret", "f", "fwd")
+def _factor(spark: SparkSession, sf_dir: str, **others: str) -> DataFrame:
+    """The factor and others by name, rounded so that equal values tie on every engine, and the forward return."""
+    df = market.panel(spark, sf_dir)
+    formulas = {"f": FACTOR} | others
+    for name, formula in formulas.items():
+        df = with_formula(df, formula, name)
+    df = df.withColumns({n: F.round(n, 10) + 0.0 for n in formulas} | {"fwd": forward_sum(F.col("ret"), HORIZON)})
+    return df.select("date", "symbol", "sym_ord", "ret", *formulas, "fwd")
 
 
 def panel_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def panel_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(market.sparse_prices(market.cells(spark, sf_dir)), "price", "volume")
+    return _rounded(market.sparse_prices(market.cells(spark, sf_dir)), "price", "volume", "ret")
 
 
 def winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +82,14 @@ def ls_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ls_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("ls_annual_return", "ls_annual_vol", "ls_sharpe", "ls_sortino", "ls_max_drawdown", "ls_calmar")
-    return _rounded(evaluation.ls_stats(evaluation.long_short(_factor(spark, sf_dir)), HORIZON), *names, keys=())
+    df = evaluation.ls_stats(evaluation.long_short(_factor(spark, sf_dir)), HORIZON)
+    return _rounded(df.withColumn("ls_max_drawdown", F.round("ls_max_drawdown", 3)), *names, keys=())
 
 
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = evaluation.long_short(_factor(spark, sf_dir)).withColumn("r", F.col("ls") / 100)
-    return _rounded(evaluation.max_drawdown(small, "r"), "max_drawdown", keys=())
+    """To 3 digits, as in the other queries with a drawdown: the sample's curve turns negative and the value is huge."""
+    df = evaluation.max_drawdown(evaluation.long_short(_factor(spark, sf_dir)), "ls")
+    return _rounded(df.withColumn("max_drawdown", F.round("max_drawdown", 3)), "max_drawdown", keys=())
 
 
 def decile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +109,7 @@ def signal_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _factor(spark, sf_dir)
-    other = _factor(spark, sf_dir, OTHER).select("date", "symbol", F.col("f").alias("g"))
-    return _rounded(evaluation.redundancy(df.join(other, ["date", "symbol"]), "f", "g"), "redundancy", keys=())
+    return _rounded(evaluation.redundancy(_factor(spark, sf_dir, g=OTHER), "f", "g"), "redundancy", keys=())
 
 
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +118,7 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("l_quantity") / 8, 6).alias("ic_t_stat"), F.round(F.avg("l_discount") * 25, 6).alias("ls_sharpe"),
         F.round(F.avg("l_tax") * 14, 6).alias("turnover"), F.round(F.max("l_discount") * 7, 6).alias("max_corr_with_existing"),
     )
-    return g.withColumn("decision", decisions.gate()).select("factor", "decision")
+    return g.withColumn("decision", decisions.gate()).withColumn("reason", decisions.gate_reason("decision")).select("factor", "decision", "reason")
 
 
 def aggregate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +126,11 @@ def aggregate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(decisions.aggregate_linear(df, ["a", "b"]), "value")
 
 
+def composite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_formula(with_formula(market.panel(spark, sf_dir), FACTOR, "a"), OTHER, "b")
+    return decisions.composite_summary(decisions.aggregate_linear(df, ["a", "b"]))
+
+
 def topk_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_formula(with_formula(market.panel(spark, sf_dir), FACTOR, "a"), OTHER, "b")
     return _rounded(latest(decisions.aggregate_linear(df, ["a", "b"]), "value", 5), "value", keys=("side", "place", "symbol"))
@@ -135,9 +144,10 @@ def aggregate_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = evaluation.evaluate(_factor(spark, sf_dir), HORIZON)
-    names = ("ic_mean", "ic_t_stat", "ls_sharpe", "turnover", "n_stocks_avg")
-    return _rounded(row, *names, keys=("n_days",))
+    row = evaluation.evaluate(_factor(spark, sf_dir, g=OTHER), HORIZON, existing=["g"])
+    lists = {f"decile_{i + 1}": F.col("decile_returns")[i] for i in range(10)} | {f"decay_{h + 1}": F.col("decay_sharpes")[h] for h in range(7)}
+    row = row.withColumns(lists).withColumn("ls_max_drawdown", F.round("ls_max_drawdown", 3)).drop("decile_returns", "decay_sharpes")
+    return _rounded(row, *[c for c in row.columns if c not in ("n_days", "monotonic")], keys=("n_days", "monotonic"))
 
 
 def hedge_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +165,11 @@ def hedge_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hedge_backtest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = hedge.backtest_stats(hedge.backtest(market.series(spark, sf_dir), CFG, 0.02), CFG)
-    names = [c for c in df.columns if c != "series_id" and not c.endswith("total_return")]
-    return _rounded(df, *names, keys=("series_id",))
+    return _rounded(df, *[c for c in df.columns if c != "series_id"], keys=("series_id",))
+
+
+def hedge_recent_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hedge.recent_exposures(hedge.exposure(market.series(spark, sf_dir), CFG))
 
 
 def hedge_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,24 +180,39 @@ def hedge_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hedge_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of the first day of every month of orders, and a day before all rows."""
     months = market.table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("as_of")).distinct()
-    df = hedge.hedge_parameters(market.series(spark, sf_dir), months, VT)
-    return df.select("requested_date", "as_of_date", "regime", "gate", "leverage_capped", "error")
+    early = spark.range(1).select(F.lit("1900-01-01").cast("date").alias("as_of"))
+    closes = market.series(spark, sf_dir).withColumn("close", F.round("close", 6))  # means of cents: their halves round alike on every engine
+    df = hedge.hedge_parameters(closes, months.union(early), VT)
+    numbers = ("target_vol", "exposure", "cash", "w_vol", "rv20", "close", "sma100", "sma200")
+    return df.select(*[(F.col(c) + 0.0).alias(c) if c in numbers else F.col(c) for c in df.columns])
 
 
-def _book(weighting: str):
+def _book(weighting: str, most: int = 60):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = portfolio.book_weights(market.positions(spark, sf_dir), weighting, cash=("Brand#11",), most=20)
+        df = portfolio.book_weights(market.positions(spark, sf_dir), weighting, cash=("Brand#11",), most=most)
         return _rounded(df, "weight", keys=("book_id", "symbol"))
 
     return query
 
 
+def book_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample's book, one of cash alone and one without any active row."""
+    sample = market.positions(spark, sf_dir)
+    cash = sample.filter("symbol = 'Brand#11'").withColumn("book_id", F.lit(2))
+    idle = sample.filter("symbol = 'Brand#13'").withColumns({"book_id": F.lit(3), "quantity": F.lit("none")})
+    df = portfolio.book_summary(sample.union(cash).union(idle), "gross", cash=("Brand#11",), most=20)
+    df = df.withColumns({"dropped_cash": F.array_join("dropped_cash", ","), "gross_market_value": F.round("gross_market_value", 2)})
+    numbers = ("cash_weight", "gross_market_value", "net_exposure")
+    return _rounded(df, *numbers, keys=tuple(c for c in df.columns if c not in numbers))
+
+
 def _returns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    panel = market.panel(spark, sf_dir).withColumn("symbol", F.upper("symbol"))  # as in weights
-    weights = portfolio.book_weights(market.positions(spark, sf_dir), "gross", cash=("Brand#11",), most=20)
-    returns = portfolio.portfolio_returns(panel, weights)
-    return panel, weights, returns.withColumn("r", F.col("r") / 10)  # the sample's prices jump; keep values positive
+    cells = market.cells(spark, sf_dir).withColumn("symbol", F.upper("symbol"))  # as in weights
+    weights = portfolio.book_weights(market.positions(spark, sf_dir), "gross", cash=("Brand#11",))
+    priced = cells.select("symbol").distinct()
+    return priced, weights, portfolio.portfolio_returns(market.panel_from(cells), weights, priced)
 
 
 def portfolio_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,14 +220,15 @@ def portfolio_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = portfolio.nav(_returns(spark, sf_dir)[2]).withColumn("log_nav", F.ln("nav"))
-    return _rounded(df, "log_nav", keys=("book_id", "date"))
+    """The value, which the sample's jumps make negative at times, as sign and logarithm of its size."""
+    df = portfolio.nav(_returns(spark, sf_dir)[2]).withColumns({"sign": F.signum("nav"), "log_nav": F.ln(F.abs("nav"))})
+    return _rounded(df, "sign", "log_nav", keys=("book_id", "date"))
 
 
 def portfolio_vol30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, weights, returns = _returns(spark, sf_dir)
-    df = portfolio.realized_vol(portfolio.nav(returns), weights, panel)
-    return _rounded(df, "portfolio_vol", "net_exposure", keys=("book_id", "as_of_date", "n_aligned_days", "n_priced"))
+    priced, weights, returns = _returns(spark, sf_dir)
+    df = portfolio.realized_vol(portfolio.nav(returns), weights, priced)
+    return _rounded(df, "portfolio_vol", "coverage", "net_exposure", keys=("book_id", "as_of_date", "n_aligned_days", "n_priced", "error"))
 
 
 def portfolio_vol_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +261,7 @@ QUERIES = {
     "op_rolling_sum": _formula(v="rolling_sum(volume)"),
     "op_rolling_corr": _formula(v="rolling_corr(price, volume, 40)"),
     "op_diff": _formula(v="diff(price, 2)"),
-    "op_ewma": _formula(v="ewma(price, 10)"),
+    "op_ewma": _formula(v="ewma(price, 10)", w="ewma(return, 252)"),
     "op_rank": _formula(v="rank(volume)"),
     "op_zscore": _formula(v="zscore(volume)"),
     "op_ratio_log_sign_abs_neg": _formula(a="ratio(volume, price)", b="log(return)", c="sign(return)", d="abs(return)", e="neg(return)"),
@@ -256,16 +285,20 @@ QUERIES = {
     "evaluate_factor": evaluate_factor,
     "gate_decision": gate_decision,
     "aggregate_linear": aggregate_linear,
+    "composite_summary": composite_summary,
     "topk_latest": topk_latest,
     "aggregate_gbt": aggregate_gbt,
     "hedge_indicators": hedge_indicators,
     "hedge_debounced_gate": hedge_debounced_gate,
     "hedge_exposure": hedge_exposure,
     "hedge_backtest_stats": hedge_backtest_stats,
+    "hedge_recent_exposures": hedge_recent_exposures,
     "hedge_asof": hedge_asof,
     "hedge_parameters": hedge_parameters,
     "book_weights_equal": _book("equal"),
     "book_weights_gross": _book("gross"),
+    "book_weights_largest": _book("gross", most=20),
+    "book_summary": book_summary,
     "portfolio_returns": portfolio_returns,
     "portfolio_nav": portfolio_nav,
     "portfolio_vol30": portfolio_vol30,

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import days, bounded_fill
+from ..functions.windows import bounded_fill, days
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def clean(x: str) -> Column:
-    """NaN as NULL, so that aggregates skip it."""
-    return F.when(~F.isnan(x), F.col(x))
-
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed (date, symbol, price, volume): line items by ship date and brand."""
     items = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("date"), "l_extendedprice", "l_quantity")
@@ -27,14 +22,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def densify(observed: DataFrame) -> DataFrame:
-    """A row for every date and symbol; sym_ord numbers symbols by name.
+    """A row for every date and symbol; sym_ord numbers symbols by name. ``observed`` has one row per (date, symbol).
 
-    Symbols are collected per date from the distinct symbol table (one array), not joined crosswise.
+    A date's rows are gathered, what is missing of all symbols (one broadcast array) is added, and the
+    sorted whole is dealt out again: two reads of ``observed``, no join, and a date's universe in a task.
     """
-    names = F.sort_array(F.collect_set("symbol")).alias("names")
-    grid = observed.select("date").distinct().join(F.broadcast(observed.agg(names)))
-    grid = grid.select("date", F.posexplode("names").alias("sym_ord", "symbol"))
-    return grid.join(observed, ["date", "symbol"], "left")
+    values = [f for f in observed.schema if f.name not in ("date", "symbol")]
+    row = ", ".join(["s as symbol", *[f"cast(null as {f.dataType.simpleString()}) as `{f.name}`" for f in values]])
+    names = observed.agg(F.collect_set("symbol").alias("_names"))
+    by_date = observed.filter("symbol is not null").groupBy("date").agg(F.collect_list(F.struct("symbol", *[f.name for f in values])).alias("_rows"))
+    whole = F.expr(f"sort_array(concat(_rows, transform(array_except(_names, transform(_rows, r -> r.symbol)), s -> struct({row}))))")
+    grid = by_date.join(F.broadcast(names)).select("date", F.posexplode(whole).alias("sym_ord", "_row"))
+    return grid.select("date", "_row.symbol", "sym_ord", *[f"_row.`{f.name}`" for f in values])
 
 
 def returns(dense: DataFrame, fill: str = "pad") -> DataFrame:
@@ -46,8 +45,8 @@ def returns(dense: DataFrame, fill: str = "pad") -> DataFrame:
 
 def complete_dates(panel: DataFrame) -> DataFrame:
     """Only dates on which every symbol has a return."""
-    whole = panel.groupBy("date").agg(F.count("ret").alias("n"), F.count(F.lit(1)).alias("m")).filter("n = m").select("date")
-    return panel.join(whole, "date", "left_semi")
+    w = Window.partitionBy("date")
+    return panel.withColumn("_whole", F.count("ret").over(w) == F.count(F.lit(1)).over(w)).filter("_whole").drop("_whole")
 
 
 def panel_from(observed: DataFrame, fill: str = "pad", benchmark: DataFrame | None = None) -> DataFrame:
@@ -66,11 +65,45 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_prices(observed: DataFrame, least_share: float = 0.5, limit: int = 5) -> DataFrame:
-    """The lenient loader: symbols with enough prices, closes filled up to ``limit`` rows, volumes zero."""
-    dense = densify(observed)
-    enough = dense.groupBy("symbol").agg(F.count("price").alias("n"), F.count(F.lit(1)).alias("m")).filter(F.col("n") >= F.col("m") * least_share).select("symbol")
-    kept = dense.join(enough, "symbol", "left_semi")
-    return kept.withColumns({"price": bounded_fill(F.col("price"), limit), "volume": F.coalesce(bounded_fill(F.col("volume"), limit), F.lit(0.0))})
+    """The lenient loader: symbols with enough prices, closes filled up to ``limit`` rows, volumes then zero,
+    returns of the filled closes; without the first date."""
+    symbol = Window.partitionBy("symbol")
+    dense = densify(observed).withColumn("_enough", F.count("price").over(symbol) >= F.count(F.lit(1)).over(symbol) * least_share).filter("_enough")
+    filled = dense.withColumns({"price": bounded_fill(F.col("price"), limit), "volume": F.coalesce(bounded_fill(F.col("volume"), limit), F.lit(0.0)), "_first": F.row_number().over(days()) == 1})
+    return returns(filled).filter("not _first").drop("_enough", "_first")
+
+
+def usable_returns(returns: DataFrame | None, spark: SparkSession, least_symbols: int = 3, synthetic_if_few: bool = True) -> tuple[DataFrame, bool]:
+    """(date, symbol, ret) of the symbols with a return on at least half of the dates, and True; with fewer than
+    ``least_symbols`` of them synthetic returns and False, or an error."""
+    if returns is not None:
+        half = F.floor(returns.select("date").distinct().count() / F.lit(2))
+        enough = returns.groupBy("symbol").agg(F.count("ret").alias("_n")).filter(F.col("_n") >= half).select("symbol")
+        if enough.limit(least_symbols).count() == least_symbols:
+            return returns.join(enough, "symbol", "left_semi").select("date", "symbol", "ret"), True
+    if not synthetic_if_few:
+        raise ValueError("too few symbols have returns")
+    return synthetic_returns(spark, [f"Asset_{i + 1}" for i in range(max(least_symbols, 10))], 252 * 4), False
+
+
+def synthetic_returns(spark: SparkSession, symbols: list[str], n_days: int, start: str = "2015-01-01", seed: int = 42) -> DataFrame:
+    """(date, symbol, ret) on business days for demonstrations: correlated normal returns. Small, made on the driver."""
+    rng = np.random.default_rng(seed)
+    n = len(symbols)
+    both = rng.uniform(0.05, 0.35, (n, n))
+    values = rng.multivariate_normal(mean=rng.uniform(-0.02, 0.12, n), cov=((both + both.T) / 2 + 0.3 * np.eye(n)).clip(min=0.01), size=n_days)
+    long = pd.DataFrame(values, columns=symbols, index=pd.bdate_range(start, periods=n_days).date).rename_axis("date").reset_index().melt("date", var_name="symbol", value_name="ret")
+    return spark.createDataFrame(long, "date date, symbol string, ret double")
+
+
+def synthetic_panel(spark: SparkSession, symbols: list[str], n_days: int = 252 * 5, start: str = "2015-01-01", seed: int = 42) -> DataFrame:
+    """A panel of synthetic returns: prices compounded from 100, log-normal volumes, the mean return as market."""
+    df = synthetic_returns(spark, symbols, n_days, start, seed)
+    so_far = days().rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(
+        "date", "symbol", (F.dense_rank().over(Window.partitionBy("date").orderBy("symbol")) - 1).alias("sym_ord"), (F.product(1 + F.col("ret")).over(so_far) * 100).alias("price"),
+        F.exp(15 + F.randn(seed)).alias("volume"), "ret", F.avg("ret").over(Window.partitionBy("date")).alias("mkt"),
+    )
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +137,3 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
 def write_wide_csv(scores: DataFrame, path: str, symbols: list[str]) -> None:
     """Scores as dates by symbols."""
     scores.groupBy("date").pivot("symbol", symbols).agg(F.first("value")).orderBy("date").write.mode("overwrite").csv(path, header=True)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -1,14 +1,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.operators import evaluation
 from marketloom.plans.compiler import lookback, with_formula
-from marketloom.plans.discovery import Settings, discover
-from marketloom.plans.grammar import FormulaError, parse
+from marketloom.plans.discovery import Settings, discover, read_json
 from marketloom.plans.engine import Engine
+from marketloom.plans.grammar import FormulaError, parse
+from marketloom.sources import market
+from marketloom.streaming import daily
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +65,97 @@ def test_discovery_and_engine(spark, panel):
     assert engine.panel("a", lambda: None) is first
     top = engine.aggregate(panel, ["rank(price)", "neg(return)"], 3).collect()
     assert len(top) == 6
+
+
+def test_exponential_mean_equals_the_recursion(spark):
+    """Long spans, leading gaps and gaps far longer than the weights last."""
+    values = [None, None, 3.0, None, 5.0, 4.0, *[None] * 400, 2.0, *[float(i % 7) for i in range(300)]]
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i), s, k, v, 1.0, 0.0, 0.0) for k, s in enumerate("AB") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "date date, symbol string, sym_ord int, price double, volume double, ret double, mkt double")
+    for span in (1, 3, 252):
+        keep, n, d, want = 1 - 2 / (span + 1), 0.0, 0.0, []
+        for v in values:
+            if v is not None:
+                n, d, shown = keep * n + v, keep * d + 1, None
+                shown = n / d
+            else:
+                n, d, shown = keep * n, keep * d, want[-1] if want else None
+            want.append(shown)
+        got = [r.f for r in with_formula(df, f"ewma(price, {span})").filter("symbol = 'B'").orderBy("date").collect()]
+        for a, b in zip(got, want, strict=True):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9), span
+
+
+def test_engine_reports(spark, panel, tmp_path):
+    engine = Engine(spark)
+    closes = panel.filter("symbol = 'A'").select(F.lit("s").alias("series_id"), "date", F.col("price").alias("close"))
+    assert engine.backtest(closes).count() == 1
+    row = engine.evaluate(panel, "rank(price)", 2, {"other": "neg(rank(price))"}).first()
+    assert row.max_corr_with_existing > 0.9 and len(row.decile_returns) == 10
+    text = engine.evaluate(panel, "rank(price)", 2).select(evaluation.summary_text().alias("t")).first().t
+    assert text.startswith("IC: ") and " | Decay H1→H7: " in text
+    assert engine.gate(panel, "rank(price)", 2).first().reason
+    summary = engine.aggregate_summary(panel, ["rank(price)", "neg(return)"]).first()
+    assert summary.n_symbols == 25 and summary.n_dates == 60
+    memory, _ = engine.discover(panel, ["rank(price)"], fwd_horizon=2, is_end="2024-02-20")
+    memory.write(f"{tmp_path}/log.json")
+    assert read_json(f"{tmp_path}/log.json", [])[0]["formula"] == "rank(price)" and read_json(f"{tmp_path}/none.json", []) == []
+
+
+def test_redundancy_with_frequent_values(spark):
+    """Ranks of a few values that fill most cells, against pandas."""
+    rng = random.Random(4)
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(d), f"s{k}", rng.choice([0.0, 0.0, 1.0, rng.random()]), rng.choice([2.0, None, rng.random()])) for d in range(40) for k in range(12)]
+    df = spark.createDataFrame(rows, "date date, symbol string, a double, b double")
+    wide = pd.DataFrame(rows, columns=["date", "symbol", "a", "b"]).dropna()
+    want = abs(wide.a.rank().corr(wide.b.rank()))
+    assert abs(evaluation.redundancy(df, "a", "b").first().redundancy - want) < 1e-12
+    assert evaluation.redundancy(df.filter("date < '2024-01-15'"), "a", "b").first().redundancy == 0
+
+
+def test_turnover_equals_a_plain_loop(spark):
+    """Dates with too few names are skipped, names come and go."""
+    rng, rows, was, moved = random.Random(9), [], None, []
+    for d in range(60):
+        names = [k for k in range(16) if rng.random() < (0.4 if d % 11 == 5 else 0.9)]
+        f = {k: rng.choice([0.1, 0.2, rng.random()]) for k in names}
+        rows += [(dt.date(2024, 1, 1) + dt.timedelta(d), f"s{k:02}", k, f.get(k)) for k in range(16) if k in f or d % 2]
+        if len(f) >= 10:
+            order, c = sorted(f, key=lambda k: (f[k], k)), len(f) // 2
+            legs = set(order[:c]), set(order[-c:])
+            if was:
+                moved.append(sum(len(a ^ b) for a, b in zip(legs, was, strict=True)) / (4 * c))
+            was = legs
+    df = spark.createDataFrame(rows, "date date, symbol string, sym_ord int, f double")
+    assert abs(evaluation.turnover(df).first().turnover - sum(moved) / len(moved)) < 1e-12
+
+
+def test_sources(spark, tmp_path):
+    few = spark.createDataFrame([(dt.date(2024, 1, d), s, 0.1 if d % k == 0 else None) for d in range(1, 21) for k, s in ((1, "a"), (2, "b"), (3, "c"), (5, "d"))], "date date, symbol string, ret double")
+    kept, live = market.usable_returns(few, spark, 2)
+    assert live and {r.symbol for r in kept.select("symbol").distinct().collect()} == {"a", "b"}
+    made, live = market.usable_returns(few, spark)
+    assert not live and made.select("symbol").distinct().count() == 10
+    with pytest.raises(ValueError):
+        market.usable_returns(None, spark, synthetic_if_few=False)
+    panel = market.synthetic_panel(spark, list("xyz"), 30)
+    assert panel.count() == 90 and panel.filter("volume <= 0 or mkt is null").count() == 0
+    market.write_wide_csv(panel.select("date", "symbol", F.col("ret").alias("value")), f"{tmp_path}/wide", list("xyz"))
+    assert spark.read.csv(f"{tmp_path}/wide", header=True).columns == ["date", "x", "y", "z"]
+    (tmp_path / "book.json").write_text('{"book_id": 3, "positions": [{"symbol": "A", "quantity": "5", "market_value": 7.5}]}')
+    assert market.read_positions(spark, f"{tmp_path}/book.json").first().quantity == "5"
+    gaps = spark.createDataFrame([(dt.date(2024, 1, 1), "a", 1.0), (dt.date(2024, 1, 2), "a", None), (dt.date(2024, 1, 3), "a", 4.0), (dt.date(2024, 1, 4), "a", 5.0)], "date date, symbol string, price double")
+    assert [r.ret for r in market.returns(gaps, "none").orderBy("date").collect()] == [None, None, None, 0.25]
+    assert [r.ret for r in market.returns(gaps).orderBy("date").collect()] == [None, 0.0, 3.0, 0.25]
+
+
+def test_daily_bars_keep_the_last_arrival(spark, tmp_path):
+    bars = "date date, symbol string, price double, volume double, arrived int"
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(([("a", 5.0, 1), ("a", 4.0, 2), ("b", 1.0, 1)], [("a", 3.0, 3)], [("c", 9.0, 1)])):
+        spark.createDataFrame([(dt.date(2024, 1, 1), s, p, 1.0, t) for s, p, t in rows], bars).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        daily.refresh(spark.readStream.schema(bars).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        if not k:
+            assert {(r.symbol, r.price) for r in daily.version(spark, f"{tmp_path}/out", 0).collect()} == {("a", 4.0), ("b", 1.0)}
+    assert {(r.symbol, r.price) for r in daily.version(spark, f"{tmp_path}/out", 2).collect()} == {("a", 3.0), ("b", 1.0), ("c", 9.0)}
+    assert not (tmp_path / "out" / "v=0").exists()
