@@ -142,7 +142,7 @@ HOT = 1000
 
 def _counted(df: DataFrame, x: str) -> DataFrame:
     """(x, _n, _part): how often each value occurs, in range partitions; kept, so that all uses see the same partitions."""
-    return df.groupBy(x).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(x).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    return df.groupBy(x).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(x).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _ranked(df: DataFrame, counts: DataFrame, x: str, cells: int) -> DataFrame:
@@ -156,6 +156,8 @@ def _ranked(df: DataFrame, counts: DataFrame, x: str, cells: int) -> DataFrame:
     totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_f"))
     below = C("_f") + F.coalesce(F.sum("_n").over(within), F.lit(0))
     ranks = counts.join(F.broadcast(totals), "_part").select(x, "_n", (below + (C("_n") + 1) / F.lit(2.0)).alias(f"_rank_{x}"))
+    if counts.agg(F.max("_n")).first()[0] <= cells / HOT:
+        return df.join(ranks.drop("_n"), x)
     hot = F.broadcast(ranks.filter(C("_n") > cells / HOT).drop("_n"))
     rest = df.join(hot.select(x), x, "left_anti").join(ranks.drop("_n"), x)
     return df.join(hot, x).unionByName(rest)
@@ -166,10 +168,11 @@ def redundancy(df: DataFrame, x: str, y: str) -> DataFrame:
 
     Worked out when called: both columns are kept on disk for the two ranks and released.
     """
-    found, held = 0.0, [df.select("date", "symbol", x, y).persist(StorageLevel.DISK_ONLY)]
+    found, held = 0.0, [df.select("date", "symbol", x, y).persist(StorageLevel.MEMORY_AND_DISK)]
     try:
         complete = C(x).isNotNull() & C(y).isNotNull()
-        size = held[0].agg(F.count_distinct("date").alias("days"), F.count_distinct("symbol").alias("names"), F.count_if(complete).alias("n")).first()
+        # the calendar and the universe are bounded
+        size = held[0].agg(F.size(F.collect_set("date")).alias("days"), F.size(F.collect_set("symbol")).alias("names"), F.count_if(complete).alias("n")).first()
         if size.days >= 20 and size.names >= 5 and size.n >= 100:
             both = held[0].filter(complete).select(x, y)
             held += [_counted(both, x), _counted(both, y)]
