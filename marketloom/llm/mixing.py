@@ -37,7 +37,7 @@ from .shared import SPACES, saved
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, FINE, SHARDS, SEED = 32, 64, 16, 7
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 2048
 #: Tables of sources and of buckets up to so many rows are broadcast (100 bytes a bucket, 500 a source).
 BROADCAST_SOURCES, BROADCAST_BUCKETS = 20_000, 500_000
 #: Rows that are equal to more than a HOT-th of all rows are dealt out; there are fewer than HOT kinds of them.
