@@ -48,6 +48,14 @@ def _factor(spark: SparkSession, sf_dir: str, **others: str) -> DataFrame:
     return df.select("date", "symbol", "sym_ord", "ret", *formulas, "fwd")
 
 
+def prim_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of cents over 50 to 200 days have exact halves in the seventh digit: a hundred-millionth more, far above the
+    noise of a sum and far below the next digit, rounds them up on every engine."""
+    means, ratios = ["sma_50", "sma_100", "sma_200"], ["price_to_sma50", "price_to_sma100", "price_to_sma200", "sma50_to_sma200"]
+    df = with_primitives(market.panel(spark, sf_dir), means + ratios)
+    return _rounded(df.withColumns({n: F.col(n) + 1e-8 for n in means}), *means, *ratios)
+
+
 def panel_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(market.panel(spark, sf_dir), "price", "volume", "ret", "mkt")
 
@@ -247,7 +255,7 @@ QUERIES = {
     "prim_volume_ratio": _primitives("volume_ratio"),
     "prim_realized_vol": _primitives("realized_vol", "high_low_range", "market_vol"),
     "prim_price_to_ma": _primitives("price_to_ma"),
-    "prim_sma": _primitives("sma_50", "sma_100", "sma_200", "price_to_sma50", "price_to_sma100", "price_to_sma200", "sma50_to_sma200"),
+    "prim_sma": prim_sma,
     "prim_rsi14": _primitives("rsi_14"),
     "prim_momentum": _primitives("return_10d", "return_20d", "return_60d"),
     "prim_beta60": _primitives("beta_60d"),
