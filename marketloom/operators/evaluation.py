@@ -138,6 +138,8 @@ def signal_decay(df: DataFrame, horizons: range = range(1, 8), share: float = 0.
 
 #: Values in over a HOT-th of all cells are fewer than HOT.
 HOT = 1000
+#: Up to so many complete cells are ranked by one window, in a task of bounded size.
+SMALL = 1_000_000
 
 
 def _counted(df: DataFrame, x: str) -> DataFrame:
@@ -163,10 +165,11 @@ def _ranked(df: DataFrame, counts: DataFrame, x: str, cells: int) -> DataFrame:
     return df.join(hot, x).unionByName(rest)
 
 
-def redundancy(df: DataFrame, x: str, y: str) -> DataFrame:
+def redundancy(df: DataFrame, x: str, y: str, small: int = SMALL) -> DataFrame:
     """One row: |Spearman| of two columns over all cells; 0 below 20 dates, 5 symbols or 100 cells.
 
-    Worked out when called: both columns are kept on disk for the two ranks and released.
+    Worked out when called: both columns are kept on disk for the two ranks and released. More than ``small``
+    cells are ranked by counts of distinct values; the ranks are the same.
     """
     found, held = 0.0, [df.select("date", "symbol", x, y).persist(StorageLevel.MEMORY_AND_DISK)]
     try:
@@ -175,9 +178,12 @@ def redundancy(df: DataFrame, x: str, y: str) -> DataFrame:
         size = held[0].agg(F.size(F.collect_set("date")).alias("days"), F.size(F.collect_set("symbol")).alias("names"), F.count_if(complete).alias("n")).first()
         if size.days >= 20 and size.names >= 5 and size.n >= 100:
             both = held[0].filter(complete).select(x, y)
-            held += [_counted(both, x), _counted(both, y)]
-            ranked = _ranked(_ranked(both, held[1], x, size.n), held[2], y, size.n)
             a, b = f"_rank_{x}", f"_rank_{y}"
+            if size.n <= small:
+                ranked = both.select(average_rank(C(x)).alias(a), average_rank(C(y)).alias(b))
+            else:
+                held += [_counted(both, x), _counted(both, y)]
+                ranked = _ranked(_ranked(both, held[1], x, size.n), held[2], y, size.n)
             found = ranked.agg(F.abs(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))).first()[0] or 0.0
     finally:
         for table in held:
