@@ -24,6 +24,8 @@ STOP_WORDS = (
     "der die das und den von zu mit sich auf für im dem nicht ein eine als ist "
     "el los las y se del con para su al lo como una por es"
 ).split()
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 #: Symbols without the bar, which also draws tables.
 MARKS = SYMBOLS.replace("|", "")
@@ -69,7 +71,13 @@ COUNTS = (
 
 
 def _occurrences(text: str, chars: str) -> str:
-    return f"char_length({text}) - char_length(translate({text}, '{chars}', ''))"
+    return f"regexp_count({text}, '[{chars}]')"
+
+
+def _beside(sorted_rows: str, field: str) -> str:
+    """A lambda: whether a row of a sorted array has a neighbour with an equal field."""
+    near = (f"coalesce(x.{field} = get({sorted_rows}, k {step} 1).{field}, false)" for step in "-+")
+    return f"(x, k) -> {' or '.join(near)}"
 
 
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -81,27 +89,27 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "t
         *held,
         "_text",
         F.filter(F.split("_text", SPACES), lambda w: w != "").alias("_words"),
-        F.filter(F.split("_text", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "").alias("_lines"),
+        F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(WORD))).alias("_lines"),
     )
-    # 3-word windows in order of their words: equal ones stand side by side, so one pass finds repeats.
-    grams = split.withColumn(
-        "_grams",
-        F.expr(
-            "if(size(_words) < 3, cast(array() as array<struct<g: string, i: int>>), sort_array(transform("
-            "sequence(0, size(_words) - 3), i -> struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) as g, i as i))))"
-        ),
+    # Most texts repeat no window: distinct hashes prove it. Of the others only windows whose hash occurs
+    # again are compared by their words, in order, so that equal ones stand side by side.
+    hashed = split.withColumn(
+        "_hashes",
+        F.expr("if(size(_words) < 3, cast(array() as array<bigint>), transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])))"),
     )
-    starts = grams.withColumn(
-        "_starts",
-        F.expr(
-            "sort_array(transform(filter(transform(_grams, (x, k) -> if(coalesce(x.g = get(_grams, k - 1).g, false) or "
-            "coalesce(x.g = get(_grams, k + 1).g, false), x.i, -1)), p -> p >= 0), p -> p))"
-        ),
+    ordered = hashed.withColumn(
+        "_ordered",
+        F.expr("if(size(array_distinct(_hashes)) = size(_hashes), cast(array() as array<struct<h: bigint, i: int>>), sort_array(transform(_hashes, (h, i) -> struct(h as h, i as i))))"),
+    )
+    grams = ordered.withColumn(
+        "_grams",
+        F.expr(f"sort_array(transform(filter(_ordered, {_beside('_ordered', 'h')}), x -> struct(concat_ws(' ', _words[x.i], _words[x.i + 1], _words[x.i + 2]) as g, x.i as i)))"),
     )
+    starts = grams.withColumn("_starts", F.expr(f"sort_array(transform(filter(_grams, {_beside('_grams', 'g')}), x -> x.i))"))
     return starts.select(
         *[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)],
         F.expr("cast(size(_words) as bigint)").alias("n_words"),
-        F.expr("cast(char_length(translate(_text, ' \\t\\n\\u000b\\u000c\\r', '')) as bigint)").alias("word_chars"),
+        F.expr("cast(char_length(array_join(_words, '')) as bigint)").alias("word_chars"),
         F.expr(f"cast({_occurrences('_text', SYMBOLS)} as bigint)").alias("n_symbols"),
         F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)").alias("n_dup_lines"),
         # a window that starts at p covers words p to p + 2; last is the start before it
