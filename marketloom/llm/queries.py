@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, quality_rules, secret_scan, sstable, token_counts, toxicity, url_filter, warc
+from . import (
+    decontaminate, fill_in_middle, mixing, near_dedup, periodic_runs, quality_rules, rank_bpe, secret_scan, sstable, token_counts, toxicity, url_filter, warc,
+)
 from .oracle import ORACLE_SQL  # noqa: F401  read by __spark_entry__
 from .shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.rearrange(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.with_loops(table(spark, sf_dir, "documents"))))
+
+
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    return rank_bpe.digest(rank_bpe.decode(rank_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_near_dedup, op3_sstable_shards, op4_warc_segments, op5_sainte_lague_mix, op6_decontaminate,
-    op7_token_counts, op8_secret_scan, op9_url_filter, op10_toxicity,
+    op7_token_counts, op8_secret_scan, op9_url_filter, op10_toxicity, op11_fill_in_middle, op12_periodic_runs, op13_rank_bpe,
 )}
