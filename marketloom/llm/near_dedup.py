@@ -8,7 +8,7 @@ sets of shingles.
 
 Scale: texts with equal sets are one class from the start. A band's bucket is named by its smallest
 document; documents meet once per such name, not once per band. A large group is dealt into blocks of
-about ``BLOCK`` documents; each block meets itself and the name's document, and only members that this
+about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles; each block meets itself and the name's document, and only members that this
 leaves unconnected meet the other blocks. A task returns a spanning forest of its links, at most a row
 per document, never all pairs. No bucket is capped.
 
@@ -16,8 +16,9 @@ Defined cases: texts without words (null, empty, white space) have n_shingles 0
 nothing; fewer words than a shingle form one shingle; rows of an id are one vertex, returned as often as
 given, so an id with several texts joins all that any of them is linked with; a null id is linked with
 nothing, has no component and is kept; an empty table gives an empty result; extra columns are ignored.
-``drop_near_duplicates`` judges rows instead: the texts of an id are not joined through it, a row stays if
-its id is the smallest of its own text's component, and repeated rows stay or go together.
+``drop_near_duplicates`` judges rows instead: every class of equal sets is a vertex of its own, so the texts
+of an id are not joined through it; a row stays if its id is the smallest of its own text's component, and
+repeated rows stay or go together.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, saved, small_batches
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, BITS, BLOCK = 32, 5, 512, 256
+#: Shingles of a block, 8 bytes each; a longer text makes a block that much larger.
+BLOCK_SHINGLES = 1 << 20
 K = BANDS * ROWS
 #: Bytes of a text that are hashed at once; some eighty bytes of memory each.
 STRETCH = 1 << 18
@@ -167,8 +170,9 @@ def _signatures(width: int):
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t or b"", width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_set(t or b"", width) for t in batch.column(0).to_pylist()]
+            ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
     return run
 
@@ -272,18 +276,25 @@ def _links(percent: int):
     return run
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(id, component) for every id in ``links`` (a, b): the smallest id reachable.
+def connected(links: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(id, component) for every id in ``links`` (a, b): the smallest id reachable, or with ``names`` (id, name)
+    the struct (name, id) with the smallest name.
 
     Labels move along links and then to their own label's label, until none changes; labels are
     written each round. Both joins meet a table with one row per id, so hot ids can be split.
     """
     both = saved(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    if names is None:
+        first = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
+        target = F.col("to")
+    else:
+        first = both.select(F.col("a").alias("id")).distinct().join(names, "id").select("id", F.struct("name", "id").alias("label"))
+        target = F.col("to.id")
+    labels = saved(first, "labels")
     while True:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))
         moved = labels.join(seen, "id").select("id", "label", F.least("label", "seen").alias("to"))
-        jumped = moved.join(labels.select(F.col("id").alias("to"), F.col("label").alias("further")), "to", "left")
+        jumped = moved.join(labels.select(F.col("id").alias("_at"), F.col("label").alias("further")), target == F.col("_at"), "left")
         new = saved(jumped.select("id", F.least("to", F.coalesce("further", "to")).alias("label"), F.col("label").alias("old")), "labels")
         discard(labels)
         labels = new.select("id", "label")
@@ -291,19 +302,21 @@ def connected(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _confirmed(texts: DataFrame, dealt: DataFrame, width: int, similarity: float) -> DataFrame:
+def _confirmed(texts: DataFrame, classes: DataFrame, dealt: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (hub, a, b) of the tasks (hub, lo, hi) in ``dealt``: a forest per task, a its smallest id."""
     order = ["hub", "lo", "hi"]
     near = saved(
         dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_close_by_sketch(similarity), "hub long, lo int, hi int, doc_id long, block int"),
         "candidates",
     )
-    wanted = near.select("doc_id").distinct()
+    # a class's texts are found by its smallest document; an id can have other texts, so their sets are matched
+    wanted = saved(near.select("doc_id").distinct().join(classes.select(F.col("vertex").alias("doc_id"), "set_id", F.col("least.doc_id").alias("rep")), "doc_id"), "wanted")
+    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id", "shingles"])
+        reps, wanted = F.broadcast(reps), F.broadcast(wanted)
+    sets = texts.join(reps, "doc_id", "left_semi").select("text").mapInArrow(_shingles(width), "set_id binary, shingles array<long>").dropDuplicates(["set_id"])
     return saved(
-        near.join(sets, "doc_id")
+        near.join(sets.join(wanted.select("doc_id", "set_id"), "set_id"), "doc_id")
         .select("hub", "lo", "hi", "doc_id", "block", "shingles")
         .repartition(*order)
         .sortWithinPartitions(*order)
@@ -317,30 +330,36 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _candidate_links(texts: DataFrame, reps: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join all that reach each other within a bucket.
+def _blocks(when: Column | None = None) -> Column:
+    """How many blocks some members of a group take, by their number and their shingles."""
+    here = F.lit(True) if when is None else when
+    count, size = F.count_if(here) / BLOCK, F.coalesce(F.sum(F.when(here, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES
+    return F.ceil(F.greatest(count, F.least(size, F.count_if(here)))).cast("int")
+
+
+def _candidate_links(texts: DataFrame, classes: DataFrame, members: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all that reach each other within a bucket; ``members``: hub, doc_id, n_shingles.
 
     First each block of a group meets itself and the group's hub. Members joined to the hub are settled:
     links among them would add nothing. Only the others then meet the rest of their group, so a large
     group of near copies costs its size and not its square.
     """
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
-    large = saved(members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    sketches = classes.select(F.col("vertex").alias("doc_id"), "least.n_shingles", "least.sketch")
+    large = saved(members.groupBy("hub").agg(_blocks().alias("blocks")).filter("blocks > 1"), "large")
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
     every = F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)
+    names = members.select("hub", "doc_id")
     first = (
-        members.join(_small(large), "hub", "left")
+        names.join(_small(large), "hub", "left")
         .withColumn("block", F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(own)))
         .join(sketches, "doc_id")
         .select("hub", F.col("block").alias("lo"), F.col("block").alias("hi"), "doc_id", "block", "n_shingles", "sketch")
     )
-    links = _confirmed(texts, first, width, similarity)
-    settled = links.filter("a = hub").select("hub", F.col("b").alias("doc_id"), F.lit(True).alias("_joined")).distinct()
+    links = _confirmed(texts, classes, first, width, similarity)
+    settled = links.filter("a = hub or b = hub").select("hub", F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("doc_id"), F.lit(True).alias("_joined")).distinct()
     state = members.join(_small(large), "hub", "left_semi").join(settled, ["hub", "doc_id"], "left")
-    state = saved(state.select("hub", "doc_id", (F.col("_joined").isNotNull() | (F.col("doc_id") == F.col("hub"))).alias("settled")), "state")
-    parts = state.groupBy("hub").agg(
-        F.ceil(F.count_if(~F.col("settled")) / BLOCK).cast("int").alias("open"), F.ceil(F.count_if("settled") / BLOCK).cast("int").alias("closed")
-    )
+    state = saved(state.select("hub", "doc_id", "n_shingles", (F.col("_joined").isNotNull() | (F.col("doc_id") == F.col("hub"))).alias("settled")), "state")
+    parts = state.groupBy("hub").agg(_blocks(when=~F.col("settled")).alias("open"), _blocks(when=F.col("settled")).alias("closed"))
     parts = saved(parts.filter("open > 0"), "open")
     if not parts.limit(1).count():
         return links.select("a", "b")
@@ -348,13 +367,13 @@ def _candidate_links(texts: DataFrame, reps: DataFrame, members: DataFrame, widt
     number = F.when(F.col("settled"), F.col("open") + F.pmod(F.xxhash64("doc_id"), "closed")).otherwise(F.pmod(F.xxhash64("doc_id"), "open")).cast("int")
     last = F.when(F.col("settled"), F.col("open")).otherwise(F.col("open") + F.col("closed")) - 1
     second = (
-        state.join(_small(parts), "hub")
+        state.drop("n_shingles").join(_small(parts), "hub")
         .withColumns({"block": number, "last": last})
         .join(sketches, "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
         .select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "block", "n_shingles", "sketch")
     )
-    return links.union(_confirmed(texts, second, width, similarity)).select("a", "b")
+    return links.union(_confirmed(texts, classes, second, width, similarity)).select("a", "b")
 
 
 def _text_keys(text) -> tuple:
@@ -380,17 +399,21 @@ def _judged(docs: DataFrame, width: int, similarity: float, by_id: bool) -> Data
     # equal sets have equal signatures, so the smallest row of a class is its smallest document
     least = F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("least")
     filled = signed.filter("doc_id is not null and set_id is not null")
-    classes = saved(filled.groupBy("set_id").agg(least, F.count("*").alias("copies")), "classes")
-    reps = classes.select("least.*")
-    keys = reps.select(F.explode("bands").alias("key"), "doc_id")
+    # vertices are ids, or else classes, which are numbered as they are written
+    vertex = F.col("least.doc_id") if by_id else F.monotonically_increasing_id()
+    classes = saved(filled.groupBy("set_id").agg(least, F.count("*").alias("copies")).withColumn("vertex", vertex), "classes")
+    keys = classes.select(F.explode("least.bands").alias("key"), F.col("vertex").alias("doc_id"), "least.n_shingles")
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("key", "hub")
-    members = saved(keys.join(buckets, "key").select("hub", "doc_id").distinct(), "members")
-    links = _candidate_links(texts, reps, members, width, similarity)
+    members = saved(keys.join(buckets, "key").select("hub", "doc_id", "n_shingles").distinct(), "members")
+    links = _candidate_links(texts, classes, members, width, similarity)
     if by_id:
-        links = links.union(_same_id(filled, classes))
-    found = connected(links)
-    named = classes.select("set_id", "copies", F.col("least.doc_id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    named = saved(named.select("set_id", "copies", F.coalesce("component", "rep").alias("component")), "named")
+        found = connected(links.union(_same_id(filled, classes)))
+        component = F.col("component")
+    else:
+        found = connected(links, classes.select(F.col("vertex").alias("id"), F.col("least.doc_id").alias("name")))
+        component = F.col("component.name")
+    named = classes.select("set_id", "copies", "vertex", F.col("least.doc_id").alias("rep")).join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
+    named = saved(named.select("set_id", "copies", F.coalesce(component, "rep").alias("component")), "named")
     # classes of over a HOT-th of all rows are fewer than HOT: they are broadcast, so no task gets a hot class
     hot = F.broadcast(named.filter(F.col("copies") > signed.count() / HOT).drop("copies"))
     rows = signed.select("doc_id", "n_shingles", "set_id", "key_a", "key_b")

@@ -93,6 +93,54 @@ def test_an_id_with_several_texts(spark):
     assert sorted((r.doc_id or 0, r.text) for r in near_dedup.drop_near_duplicates(df, 4).collect()) == [(0, b), (3, a), (5, b)]
 
 
+def judged_by_rows(rows: list[tuple[int | None, str | None]], width: int) -> list[tuple[int | None, str | None]]:
+    """What stays: rows whose id is the smallest of all rows that their own text reaches."""
+    texts = sorted({t for i, t in rows if i is not None and brute.shingles(t, width)})
+    own = {t: min(i for i, x in rows if i is not None and x == t) for t in texts}
+    found = brute.components(list(enumerate(texts)), width)
+    least: dict[int, int] = {}
+    for k, t in enumerate(texts):
+        root = found[k][1]
+        least[root] = min(least.get(root, own[t]), own[t])
+    name = {t: least[found[k][1]] for k, t in enumerate(texts)}
+    return [(i, t) for i, t in rows if i is None or t not in name or i == name[t]]
+
+
+def with_repeated_ids(seed: int) -> list[tuple[int | None, str | None]]:
+    """Near copies, exact copies and other texts under few ids, so that most ids have several texts."""
+    rng = random.Random(seed)
+    rows: list[tuple[int | None, str | None]] = [(None, "a b c d e f"), (4, None), (4, ""), (4, " ")]
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(rng.randint(1, 7)):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                copy[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
+            rows.append((rng.choice([None, *range(12)]), " ".join(copy)))
+    return rows + rows[5:9]
+
+
+def test_no_text_of_a_repeated_id_is_lost(spark):
+    a = [f"w{k}" for k in range(60)]
+    near, other = " ".join(["n", *a[1:]]), " ".join(f"v{k}" for k in range(60))
+    df = spark.createDataFrame([(3, near), (5, " ".join(a)), (5, other)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.drop_near_duplicates(df, 4).collect())) == [(3, near), (5, other)]
+    for seed in range(3):
+        rows = with_repeated_ids(seed)
+        got = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, judged_by_rows(rows, 5)))
+
+
+def test_small_blocks_by_shingles(spark, monkeypatch):
+    """Blocks bounded by their shingles give the same classes."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 700)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rng.random() > 0.008 else f"n{i}" for w in base)) for i in range(60)]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute.components(rows, 4)
+
+
 def test_long_texts(spark):
     """Texts of several MB, and one of a single word, beside short ones."""
     rng = random.Random(6)
