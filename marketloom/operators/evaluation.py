@@ -7,13 +7,12 @@ follows is a row per date.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import day, average_rank, forward_sum, percent_rank, zscore
+from ..functions.windows import average_rank, day, forward_sum, percent_rank, zscore
+from .scoring import evaluate_factors, rank_correlations
 
 C = F.col
 YEAR = 252
@@ -123,72 +122,37 @@ def turnover(df: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def signal_decay(df: DataFrame, horizons: range = range(1, 8), share: float = 0.5) -> DataFrame:
-    """horizon, sharpe of the long-short return over sums of ``ret``; all horizons in one pass by date."""
-    wide = df
-    for h in horizons:
-        wide = wide.withColumn(f"_h{h}", forward_sum(C("ret"), h))
-    tall = wide.select("date", "symbol", "f", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"_h{h}").alias("fwd")) for h in horizons])).alias("x"))
-    tall = tall.select("date", "f", "x.horizon", "x.fwd").filter("f is not null and fwd is not null")
-    keys = Window.partitionBy("date", "horizon")
-    ranked = tall.withColumn("_n", F.count(F.lit(1)).over(keys)).filter("_n >= 10").withColumn("_r", percent_rank(C("f"), "date", "horizon"))
-    ls = ranked.groupBy("date", "horizon").agg((F.avg(F.when(C("_r") > 1 - share, C("fwd"))) - F.avg(F.when(C("_r") <= share, C("fwd")))).alias("ls"))
-    stats = ls.groupBy("horizon").agg(F.avg("ls").alias("m"), F.stddev_samp("ls").alias("sd"))
-    return stats.select("horizon", F.when(C("sd") > 0, F.sqrt(F.lit(float(YEAR)) / C("horizon")) * C("m") / C("sd")).otherwise(0.0).alias("sharpe"))
+    """horizon, sharpe of the long-short return over sums of ``ret``; all horizons share one order of a date's values.
 
+    A rank within a horizon's complete pairs is the number of them not above, less half of the other ties.
+    """
+    hs = {f"_h{h}": h for h in horizons}
+    out = df.withColumns({k: forward_sum(C("ret"), h) for k, h in hs.items()}).filter("f is not null").select("date", "f", *hs)
+    out = out.withColumns({f"{k}_le": F.count(k).over(day().orderBy("f")) for k in hs})
+    out = out.withColumns({f"{k}_eq": F.count(k).over(Window.partitionBy("date", "f")) for k in hs} | {f"{k}_n": F.count(k).over(day()) for k in hs})
 
-#: Values in over a HOT-th of all cells are fewer than HOT.
-HOT = 1000
-#: Up to so many complete cells are ranked by one window, in a task of bounded size.
-SMALL = 1_000_000
-
+    def spread(k: str) -> Column:
+        r = F.try_divide(C(f"{k}_le") - (C(f"{k}_eq") - 1) / F.lit(2.0), C(f"{k}_n"))
+        return F.when(F.max(f"{k}_n") >= 10, F.avg(F.when(r > 1 - share, C(k))) - F.avg(F.when(r <= share, C(k)))).alias(k)
 
-def _counted(df: DataFrame, x: str) -> DataFrame:
-    """(x, _n, _part): how often each value occurs, in range partitions; kept, so that all uses see the same partitions."""
-    return df.groupBy(x).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(x).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ls = out.groupBy("date").agg(*[spread(k) for k in hs])
+    stats = ls.agg(*[f(k).alias(f"{k}_{n}") for k in hs for n, f in (("m", F.avg), ("s", F.stddev_samp), ("c", F.count))])
+    ratio = lambda k, h: F.when(C(f"{k}_s") > 0, math.sqrt(YEAR / h) * C(f"{k}_m") / C(f"{k}_s")).otherwise(0.0)
+    rows = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), ratio(k, h).alias("sharpe"), C(f"{k}_c").alias("_c")) for k, h in hs.items()])).alias("_x")
+    return stats.select(rows).select("_x.*").filter("_c > 0").drop("_c")
 
 
-def _ranked(df: DataFrame, counts: DataFrame, x: str, cells: int) -> DataFrame:
-    """Adds the average rank of x over the whole frame, from counts of distinct values.
+def redundancy(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: |Spearman| of two columns over all cells; 0 below 20 dates, 5 symbols on a date or 100 complete cells.
 
-    A prefix sum runs within range partitions and over the few partition totals, so no task sorts
-    everything. Frequent values get their rank by broadcast, the others by a join.
-    """
-    within = Window.partitionBy("_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_f"))
-    below = C("_f") + F.coalesce(F.sum("_n").over(within), F.lit(0))
-    ranks = counts.join(F.broadcast(totals), "_part").select(x, "_n", (below + (C("_n") + 1) / F.lit(2.0)).alias(f"_rank_{x}"))
-    if counts.agg(F.max("_n")).first()[0] <= cells / HOT:
-        return df.join(ranks.drop("_n"), x)
-    hot = F.broadcast(ranks.filter(C("_n") > cells / HOT).drop("_n"))
-    rest = df.join(hot.select(x), x, "left_anti").join(ranks.drop("_n"), x)
-    return df.join(hot, x).unionByName(rest)
-
-
-def redundancy(df: DataFrame, x: str, y: str, small: int = SMALL) -> DataFrame:
-    """One row: |Spearman| of two columns over all cells; 0 below 20 dates, 5 symbols or 100 cells.
-
-    Worked out when called: both columns are kept on disk for the two ranks and released. More than ``small``
-    cells are ranked by counts of distinct values; the ranks are the same.
+    Nothing runs until the row is asked for; ranks come from ``scoring.pooled_ranks``.
     """
-    found, held = 0.0, [df.select("date", "symbol", x, y).persist(StorageLevel.MEMORY_AND_DISK)]
-    try:
-        complete = C(x).isNotNull() & C(y).isNotNull()
-        # the calendar and the universe are bounded
-        size = held[0].agg(F.size(F.collect_set("date")).alias("days"), F.size(F.collect_set("symbol")).alias("names"), F.count_if(complete).alias("n")).first()
-        if size.days >= 20 and size.names >= 5 and size.n >= 100:
-            both = held[0].filter(complete).select(x, y)
-            a, b = f"_rank_{x}", f"_rank_{y}"
-            if size.n <= small:
-                ranked = both.select(average_rank(C(x)).alias(a), average_rank(C(y)).alias(b))
-            else:
-                held += [_counted(both, x), _counted(both, y)]
-                ranked = _ranked(_ranked(both, held[1], x, size.n), held[2], y, size.n)
-            found = ranked.agg(F.abs(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))).first()[0] or 0.0
-    finally:
-        for table in held:
-            table.unpersist()
-    return df.sparkSession.range(1).select(F.lit(float(found)).alias("redundancy"))
+    by_date = df.groupBy("date").agg(F.collect_list(F.struct(C(x).alias("x"), C(y).alias("y"))).alias("_rows"))
+    size = by_date.agg(F.count(F.lit(1)).alias("_days"), F.max(F.size("_rows")).alias("_names"))
+    cells = by_date.select(F.lit(0).alias("k"), F.explode("_rows").alias("_r")).select("k", "_r.*")
+    found = size.join(rank_correlations(cells, "k", "x", ["y"]), how="left")
+    enough = (C("_days") >= 20) & (C("_names") >= 5) & (C("n") >= 100)
+    return found.select(F.when(enough, F.coalesce(F.abs("rho"), F.lit(0.0))).otherwise(0.0).alias("redundancy"))
 
 
 def summary_text() -> Column:
@@ -209,20 +173,4 @@ def as_dict(metrics: DataFrame) -> dict:
 
 def evaluate(df: DataFrame, horizon: int = 1, prepare: bool = True, existing: list[str] | None = None) -> DataFrame:
     """One row of all metrics of ``f`` against ``fwd``; ``ret`` gives the decay, ``existing`` names columns."""
-    if prepare:
-        df = preprocess(df)
-    deciles = decile_returns(df)
-    parts = [
-        ic_stats(daily_rank_ic(df)),
-        ls_stats(long_short(df), horizon),
-        turnover(df),
-        deciles.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "ret"))), lambda s: s["ret"]).alias("decile_returns")),
-        monotonic(deciles),
-        signal_decay(df).agg(F.transform(F.sort_array(F.collect_list(F.struct("horizon", "sharpe"))), lambda s: s["sharpe"]).alias("decay_sharpes")),
-        df.groupBy("date").agg(F.count("f").alias("n")).agg(F.avg("n").alias("n_stocks_avg")),
-    ]
-    found = [redundancy(df, "f", e).select(C("redundancy").alias(f"_c{i}")) for i, e in enumerate(existing or [])]
-    row = reduce(lambda a, b: a.join(F.broadcast(b)), parts + found)  # one row each
-    names: list[Column] = [C(f"_c{i}") for i in range(len(found))]
-    most = F.greatest(*names) if len(names) > 1 else names[0] if names else F.lit(0.0)
-    return row.withColumn("max_corr_with_existing", most).drop(*[f"_c{i}" for i in range(len(found))])
+    return evaluate_factors(df, ["f"], horizon, prepare, existing).drop("factor")

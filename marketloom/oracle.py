@@ -247,7 +247,62 @@ UNION ALL SELECT 2, NULL, 0, 0, 1, 'BRAND#11', 0, 1.0, round(cash, 2), NULL, 'bo
 UNION ALL SELECT 3, NULL, 0, 0, 0, NULL, 0, 0.0, NULL, NULL, 'book 3 has no active equity constituents'"""
 
 
+def prepared(i: int, x: str, h: int, digits: int | None = None, end: str | None = None) -> str:
+    """CTEs fac{i}, win{i} and prep{i} of one factor."""
+    value = f"round({x}, {digits}) + 0.0" if digits else x
+    sample = f" WHERE date <= DATE '{end}'" if end else ""
+    return f"""
+fac{i} AS (SELECT * FROM (SELECT date, symbol, sym_ord, ret, {value} AS f, {fwd(h)} AS fwd FROM panel){sample}),
+win{i} AS (SELECT date, symbol, sym_ord, ret, {_WIN} AS f, fwd FROM fac{i}),
+prep{i} AS MATERIALIZED (SELECT date, symbol, sym_ord, ret, {z('f')} AS f, fwd FROM win{i})"""
+
+
+def _board() -> str:
+    std20 = roll("stddev_samp", "ret", 20, 2)
+    board = {
+        "mean20": roll("AVG", "ret", 20, 1), "std20": std20, "lag3": lag("price", 3), "momentum20": roll("sum", "ret", 20, 10), "momentum60": roll("sum", "ret", 60, 30),
+        "vol": roll("stddev_samp", "ret", 20, 5), "to_ma": f"price / NULLIF({roll('AVG', 'price', 20, 5)}, 0)", "volume_rank": f"{avg_rank('volume', 'date')} / count(volume) OVER (PARTITION BY date)",
+        "change": f"price - {lag('price', 2)}", "calm": "-" + std20,
+    }
+    one = []
+    for i, name in enumerate(board):
+        values = rounded(ic_mean="ic_mean", ic_t_stat="ic_t_stat", ls_annual_return="m * 50.4", ls_sharpe="CASE WHEN sd > 0 THEN sqrt(50.4) * m / sd ELSE 0 END", turnover="turnover", n_stocks_avg="c")
+        one.append(f"""SELECT '{name}' AS factor, n_days, {values} FROM {ic_stats(f'prep{i}')}, (SELECT AVG(ls) AS m, stddev_samp(ls) AS sd FROM {ls(f'prep{i}')}), {turned(f'prep{i}')},
+  (SELECT AVG(c) AS c FROM (SELECT date, count(f) AS c FROM prep{i} GROUP BY 1))""")
+    return f"WITH {PANEL}, {', '.join(prepared(i, x, 5, 10) for i, x in enumerate(board.values()))} " + " UNION ALL ".join(one)
+
+
+def _rounds() -> str:
+    mean = roll("AVG", "ret", 20, 1)
+    tried = (mean, mean, roll("stddev_samp", "ret", 20, 2), roll("sum", "ret", 60, 30))
+    metrics = " UNION ALL ".join(
+        f"SELECT {i + 1} AS k, ic_t_stat AS t, CASE WHEN sd > 0 THEN sqrt(50.4) * m / sd ELSE 0 END AS s FROM {ic_stats(f'prep{i}')}, (SELECT AVG(ls) AS m, stddev_samp(ls) AS sd FROM {ls(f'prep{i}')})" for i in range(len(tried))
+    )
+    pairs = " UNION ALL ".join(
+        f"SELECT {i + 1} AS k, {j + 1} AS j, a.f AS x, b.f AS y FROM prep{i} a JOIN prep{j} b USING (date, symbol) WHERE a.f IS NOT NULL AND b.f IS NOT NULL" for i in range(len(tried)) for j in range(i)
+    )
+    return f"""WITH RECURSIVE {PANEL}, {', '.join(prepared(i, x, 5, end='1996-12-31') for i, x in enumerate(tried))}, m AS MATERIALIZED ({metrics}), p AS ({pairs}),
+c AS MATERIALIZED (SELECT k, j, abs(covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0)) AS rho FROM (SELECT k, j, {avg_rank('x', 'k, j')} AS rx, {avg_rank('y', 'k, j')} AS ry FROM p) GROUP BY 1, 2),
+-- the rounds in turn; held: those promoted so far
+r AS (
+  SELECT 0 AS k, [0] AS held, CAST(NULL AS VARCHAR) AS decision, 0.0::DOUBLE AS t, 0.0::DOUBLE AS s, 0.0::DOUBLE AS x
+  UNION ALL
+  SELECT k, CASE WHEN decision = 'promote' THEN list_append(held, k) ELSE held END, decision, t, s, x
+  FROM (SELECT k, held, t, s, x, CASE WHEN t >= -50 AND s >= -50 THEN (CASE WHEN x > 0.7 THEN 'hold' ELSE 'promote' END) WHEN t < -60 THEN 'retire' ELSE 'hold' END AS decision
+    FROM (SELECT m.k, r.held, m.t, m.s, coalesce(max(c.rho), 0.0) AS x FROM r JOIN m ON m.k = r.k + 1 LEFT JOIN c ON c.k = m.k AND list_contains(r.held, c.j) GROUP BY ALL)))
+SELECT CAST(k AS INTEGER) AS round, decision, {rounded(ic_t_stat='t', ls_sharpe='s', max_corr_with_existing='x')} FROM r WHERE k > 0
+UNION ALL SELECT {len(tried) + 1}, 'error', NULL, NULL, NULL"""
+
+
+_BENCHMARK = PANEL.replace("dense AS (", "names25 AS (SELECT symbol, sym_ord FROM names WHERE symbol <> 'Brand#11'), own AS (SELECT * FROM cells WHERE symbol <> 'Brand#11'), dense AS (").replace(
+    "(SELECT DISTINCT date FROM cells) d CROSS JOIN names n\n          LEFT JOIN cells c", "(SELECT DISTINCT date FROM own) d CROSS JOIN names25 n\n          LEFT JOIN own c"
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "panel_benchmark": f"""WITH {_BENCHMARK}, b AS (SELECT date, price / NULLIF(lag(price) OVER (ORDER BY date), 0) - 1 AS m FROM cells WHERE symbol = 'Brand#11' AND price IS NOT NULL)
+SELECT date, symbol, {rounded(ret='ret', mkt='m')} FROM panel LEFT JOIN b USING (date)""",
+    "factor_board": _board(),
+    "discovery_rounds": _rounds(),
     "panel_returns": on_panel(price="price", volume="volume", ret="ret", mkt="mkt"),
     "sparse_prices": f"""WITH {PANEL}, enough AS (SELECT symbol FROM dense GROUP BY 1 HAVING count(price) >= 0.5 * count(*)),
 filled AS (SELECT date, symbol, last_value(price IGNORE NULLS) OVER w AS price, coalesce(last_value(volume IGNORE NULLS) OVER w, 0) AS volume,

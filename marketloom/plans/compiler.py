@@ -114,16 +114,15 @@ def lookback(node: Node) -> int:
     return below
 
 
-def with_formula(panel: DataFrame, formula: str | Node, name: str = "f", start: str | None = None) -> DataFrame:
-    """``panel`` with the formula's value as column ``name``; from ``start`` on if given."""
-    tree = parse(formula) if isinstance(formula, str) else formula
-    kept = panel.columns
-    if start is not None:
-        days = panel.select("date").distinct().filter(F.col("date") < F.lit(start).cast("date"))
-        first = days.orderBy(F.desc("date")).limit(lookback(tree) + 1).agg(F.min("date")).first()[0]
-        if first is not None:
-            panel = panel.filter(F.col("date") >= F.lit(first))
-    df = with_primitives(panel, sorted(primitives_of(tree)))
+def with_formulas(panel: DataFrame, formulas: dict[str, str | Node]) -> DataFrame:
+    """``panel`` with the value of each formula as a column of that name.
+
+    The formulas are one forest: an equal subtree is one column, whichever of them holds it, and a primitive is
+    derived once.
+    """
+    trees = {name: parse(f) if isinstance(f, str) else f for name, f in formulas.items()}
+    kept = [c for c in panel.columns if c not in trees]
+    df = with_primitives(panel, sorted(set().union(*(primitives_of(t) for t in trees.values()))))
     made: dict[str, str] = {}
 
     def column(node: Node) -> Column:
@@ -137,6 +136,17 @@ def with_formula(panel: DataFrame, formula: str | Node, name: str = "f", start:
             df = df.withColumn(made[key], _expression(node, args))
         return F.col(made[key])
 
-    value = column(tree)
-    out = df.select(*[F.col(c) for c in kept if c != name], value.cast("double").alias(name))
+    values = {name: column(tree) for name, tree in trees.items()}
+    return df.select(*kept, *[v.cast("double").alias(n) for n, v in values.items()])
+
+
+def with_formula(panel: DataFrame, formula: str | Node, name: str = "f", start: str | None = None) -> DataFrame:
+    """``panel`` with the formula's value as column ``name``; from ``start`` on if given."""
+    tree = parse(formula) if isinstance(formula, str) else formula
+    if start is not None:
+        days = panel.select("date").distinct().filter(F.col("date") < F.lit(start).cast("date"))
+        first = days.orderBy(F.desc("date")).limit(lookback(tree) + 1).agg(F.min("date")).first()[0]
+        if first is not None:
+            panel = panel.filter(F.col("date") >= F.lit(first))
+    out = with_formulas(panel, {name: tree})
     return out.filter(F.col("date") >= F.lit(start).cast("date")) if start is not None else out

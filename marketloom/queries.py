@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .functions.windows import forward_sum
 from .operators import decisions, evaluation, hedge, portfolio
 from .operators.primitives import latest, with_primitives
-from .plans.compiler import with_formula
+from .operators.scoring import evaluate_factors
+from .plans import discovery
+from .plans.compiler import with_formula, with_formulas
 from .sources import market
 
 HORIZON, VT = 5, 300.0
@@ -40,10 +42,8 @@ def _formula(**formulas: str):
 
 def _factor(spark: SparkSession, sf_dir: str, **others: str) -> DataFrame:
     """The factor and others by name, rounded so that equal values tie on every engine, and the forward return."""
-    df = market.panel(spark, sf_dir)
     formulas = {"f": FACTOR} | others
-    for name, formula in formulas.items():
-        df = with_formula(df, formula, name)
+    df = with_formulas(market.panel(spark, sf_dir), formulas)
     df = df.withColumns({n: F.round(n, 10) + 0.0 for n in formulas} | {"fwd": forward_sum(F.col("ret"), HORIZON)})
     return df.select("date", "symbol", "sym_ord", "ret", *formulas, "fwd")
 
@@ -158,6 +158,41 @@ def evaluate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(row, *[c for c in row.columns if c not in ("n_days", "monotonic")], keys=("n_days", "monotonic"))
 
 
+#: Ten formulas of one forest: some share subtrees.
+BOARD = {
+    "mean20": "rolling_mean(return, 20)", "std20": "rolling_std(return, 20)", "lag3": "lag(price, 3)", "momentum20": "return_20d", "momentum60": "return_60d",
+    "vol": "realized_vol", "to_ma": "price_to_ma", "volume_rank": "rank(volume)", "change": "diff(price, 2)", "calm": "neg(rolling_std(return, 20))",
+}
+
+
+def factor_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of ten formulas, evaluated in one pass over one panel."""
+    df = with_formulas(market.panel(spark, sf_dir).withColumn("fwd", forward_sum(F.col("ret"), HORIZON)), BOARD)
+    df = df.withColumns({n: F.round(n, 10) + 0.0 for n in BOARD})
+    return _rounded(evaluate_factors(df, list(BOARD), HORIZON), "ic_mean", "ic_t_stat", "ls_annual_return", "ls_sharpe", "turnover", "n_stocks_avg", keys=("factor", "n_days"))
+
+
+#: Rounds of a discovery run: the second repeats the first one's factor, the last cannot be read.
+ROUNDS = ("rolling_mean(return, 20)", "rolling_mean(return, 20)", "rolling_std(return, 20)", "return_60d", "nothing(")
+ROUNDS_END = "1996-12-31"
+
+
+def discovery_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per round of a run with thresholds that the sample's noise can pass: what is redundant is held."""
+    settings = discovery.Settings(is_end=ROUNDS_END, fwd_horizon=HORIZON, gate_t_ic_promote=-50.0, gate_sharpe_promote=-50.0, gate_t_ic_retire=-60.0, gate_max_turnover=1.0)
+    found = discovery.discover(market.panel(spark, sf_dir), ROUNDS, settings)
+    names = ("ic_t_stat", "ls_sharpe", "max_corr_with_existing")
+    rows = [(r["round"], r["decision"], *[r.get(n) for n in names]) for r in found.memory.rounds]
+    return _rounded(spark.createDataFrame(rows, "round int, decision string, " + ", ".join(f"{n} double" for n in names)), *names, keys=("round", "decision"))
+
+
+def panel_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel without one brand, whose return is the market's."""
+    cells = market.cells(spark, sf_dir)
+    df = market.panel_from(cells.filter("symbol <> 'Brand#11'"), benchmark=market.benchmark_returns(cells, "Brand#11"))
+    return _rounded(df, "ret", "mkt")
+
+
 def hedge_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(hedge.indicators(market.series(spark, sf_dir), CFG), "close", "sma_fast", "sma_slow", "rv20", keys=("date",))
 
@@ -250,6 +285,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "panel_returns": panel_returns,
+    "panel_benchmark": panel_benchmark,
     "sparse_prices": sparse_prices,
     "prim_turnover": _primitives("turnover"),
     "prim_volume_ratio": _primitives("volume_ratio"),
@@ -291,6 +327,8 @@ QUERIES = {
     "signal_decay": signal_decay,
     "redundancy": redundancy,
     "evaluate_factor": evaluate_factor,
+    "factor_board": factor_board,
+    "discovery_rounds": discovery_rounds,
     "gate_decision": gate_decision,
     "aggregate_linear": aggregate_linear,
     "composite_summary": composite_summary,

@@ -60,6 +60,12 @@ def panel_from(observed: DataFrame, fill: str = "pad", benchmark: DataFrame | No
     return ready.join(benchmark.select("date", "mkt"), "date", "left")
 
 
+def benchmark_returns(observed: DataFrame, symbol: str) -> DataFrame:
+    """(date, mkt): the returns of one symbol on its own dates."""
+    closes = observed.filter(F.col("symbol") == symbol).filter("price is not null")
+    return closes.select("date", (F.try_divide("price", F.lag("price").over(days())) - 1).alias("mkt"))
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_from(cells(spark, sf_dir))
 

@@ -7,8 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import evaluation
-from marketloom.plans.compiler import lookback, with_formula
+from marketloom.functions.windows import forward_sum
+from marketloom.operators import evaluation, scoring
+from marketloom.plans.compiler import lookback, with_formula, with_formulas
+from marketloom.plans import discovery
 from marketloom.plans.discovery import Settings, discover, read_json
 from marketloom.plans.engine import Engine
 from marketloom.plans.grammar import FormulaError, parse
@@ -56,17 +58,75 @@ def test_lookback_filter_keeps_values(panel):
 
 
 def test_discovery_and_engine(spark, panel):
-    memory, _ = discover(panel, ["rank(price)", "broken(", "neg(return)"], Settings.load(fwd_horizon=2, is_end="2024-02-20", unknown=1))
+    memory, _ = discover(panel, ["neg(return)", "broken("], Settings.load(fwd_horizon=2, is_end="2024-02-20", unknown=1))
     assert [r["decision"] for r in memory.rounds][1] == "error"
     assert all(r["decision"] in ("promote", "hold", "retire", "error") for r in memory.rounds)
     assert len(memory.rounds[0]["decile_returns"]) == 10 and len(memory.rounds[0]["decay_sharpes"]) == 7
-    engine = Engine(spark, panels=1)
-    first = engine.panel("a", lambda: panel)
-    assert engine.panel("a", lambda: None) is first
+    engine = Engine(spark, panels=1, most=3)
+    cells = panel.select("date", "symbol", "price", "volume")
+    first = engine.panel(cells, ["C", "A", "B", "D"], "X", "2024-01-01", "2024-02-01")
+    assert engine.panel(cells, ["B", "A", "C"], "X", "2024-01-01", "2024-02-01") is first
+    assert {r.symbol for r in first.select("symbol").distinct().collect()} == {"A", "B", "C"}
+    x = {r.date: r.mkt for r in market.benchmark_returns(cells, "X").collect()}
+    assert all(r.mkt == x[r.date] for r in first.collect())
+    assert engine.panel(cells, ["A"], "none", "2024-01-01", "2024-02-01").filter("mkt is null").count() == 0
+    assert engine.panel(cells, ["A", "B", "C"], "X", "2024-01-01", "2024-02-01") is not first
     top = engine.aggregate(panel, ["rank(price)", "neg(return)"], 3).collect()
     assert len(top) == 6
 
 
+def test_discovery_holds_what_it_has(panel):
+    """The same factor again correlates fully with the promoted one; a failure of any kind is recorded."""
+    free = dict(fwd_horizon=2, is_end="2024-02-20", gate_t_ic_promote=-1e9, gate_sharpe_promote=-1e9, gate_t_ic_retire=-2e9, gate_max_turnover=1.0)
+    found = discover(panel.drop("volume"), iter(["rank(volume)", "rank(price)", "rank(price)"]), Settings.load(**free, aggregation_method="lgbm"))
+    assert [r["decision"] for r in found.memory.rounds] == ["error", "promote", "hold"] and found.method == "linear"
+    assert found.memory.rounds[1]["max_corr_with_existing"] == 0 and abs(found.memory.rounds[2]["max_corr_with_existing"] - 1) < 1e-9
+    assert "redundant (corr=1.00 with existing factor)" in found.memory.rounds[2]["reason"]
+    assert list(found.library) == ["factor_1"] and found.library["factor_1"]["round"] == 2 and "factor_1" in found.factors.columns
+
+
+def test_library_and_fall_back(spark, panel, tmp_path, monkeypatch):
+    """Two promoted factors, too few rows for boosting: the composite is linear; the files tell what was found."""
+    names = ("ic_mean", "ic_t_stat", "icir", "ls_sharpe", "ls_annual_return", "ls_max_drawdown", "turnover", "max_corr_with_existing")
+    row = spark.range(1).select(*[F.lit(0.5).alias(n) for n in names], F.lit(True).alias("monotonic"), F.array(F.lit(1.0)).alias("decay_sharpes"))
+    monkeypatch.setattr(discovery, "evaluate", lambda *args, **more: row)
+    easy = dict(fwd_horizon=2, is_end="2024-01-03", gate_t_ic_promote=0.0, gate_sharpe_promote=0.0, aggregation_method="lgbm")
+    found = discover(panel, ["rank(price)", "neg(return)"], Settings.load(**easy))
+    assert found.method == "linear" and list(found.library) == ["factor_1", "factor_2"]
+    found.write(f"{tmp_path}/out")
+    assert read_json(f"{tmp_path}/out/factor_library.json", {})["factor_2"]["formula"] == "neg(return)" and len(read_json(f"{tmp_path}/out/factor_discovery_log.json", [])) == 2
+    assert spark.read.csv(f"{tmp_path}/out/composite_scores", header=True).count() == 60
+
+
+def test_many_factors_in_one_pass(spark, panel):
+    """Each factor's metrics are those of the single functions; null values and empty factors included."""
+    df = with_formulas(panel.withColumn("fwd", forward_sum(F.col("ret"), 2)), {"a": "rank(mul(return, volume))", "b": "rolling_std(return, 5)", "c": "log(sub(price, price))"})
+    df = df.withColumn("b", F.when(F.hash("date", "symbol") % 9 != 0, F.col("b"))).cache()
+    got = {r.factor: r for r in scoring.evaluate_factors(df, ["a", "b", "c"], 2, existing=["a", "volume"]).collect()}
+    for name in "b":
+        one = evaluation.preprocess(df.withColumn("f", F.col(name))).withColumn("f", F.round("f", scoring.SCORE_DIGITS)).cache()
+        want = evaluation.ic_stats(evaluation.daily_rank_ic(one)).first().asDict() | evaluation.ls_stats(evaluation.long_short(one), 2).first().asDict()
+        want |= evaluation.turnover(one).first().asDict() | {"monotonic": evaluation.monotonic(evaluation.decile_returns(one)).first().monotonic}
+        lists = {
+            "decile_returns": [r.ret for r in evaluation.decile_returns(one).orderBy("bucket").collect()],
+            "decay_sharpes": [r.sharpe for r in evaluation.signal_decay(one).orderBy("horizon").collect()],
+        }
+        for k, v in want.items():
+            assert got[name][k] == v or abs(got[name][k] - v) < 1e-9 * max(1, abs(v)), (name, k)
+        for k, v in lists.items():
+            assert len(got[name][k]) == len(v) and all(abs(x - y) < 1e-9 * max(1, abs(y)) for x, y in zip(got[name][k], v, strict=True)), (name, k)
+        pair = [evaluation.redundancy(one, "f", e).first().redundancy for e in ("a", "volume")]
+        assert abs(got[name].max_corr_with_existing - max(pair)) < 1e-12
+    assert got["c"].n_days == 0 and got["c"].ls_sharpe == 0 and got["c"].decile_returns == [] and got["c"].max_corr_with_existing == 0
+
+
+def test_a_forest_shares_its_subtrees(panel):
+    df = with_formulas(panel, {"x": "rank(rolling_mean(return, 5))", "y": "neg(rank(rolling_mean(return, 5)))", "z": "add(rolling_mean(return, 5), price)"})
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("rowframe, -4") <= 2 and df.columns == [*panel.columns, "x", "y", "z"]
+    a = df.select("date", "symbol", F.col("y").alias("f")).exceptAll(with_formula(panel, "neg(rank(rolling_mean(return, 5)))").select("date", "symbol", "f"))
+    assert a.count() == 0
+
+
 def test_exponential_mean_equals_the_recursion(spark):
     """Long spans, leading gaps and gaps far longer than the weights last."""
     values = [None, None, 3.0, None, 5.0, 4.0, *[None] * 400, 2.0, *[float(i % 7) for i in range(300)]]
@@ -96,7 +156,12 @@ def test_engine_reports(spark, panel, tmp_path):
     assert text.startswith("IC: ") and " | Decay H1→H7: " in text
     assert engine.gate(panel, "rank(price)", 2).first().reason
     summary = engine.aggregate_summary(panel, ["rank(price)", "neg(return)"]).first()
-    assert summary.n_symbols == 25 and summary.n_dates == 60
+    assert summary.n_symbols == 25 and summary.n_dates == 60 and summary.method == "linear" and summary.n_factors == 2
+    assert engine.composite(panel, ["rank(price)"], "lgbm")[1] == "linear"
+    with pytest.raises(ValueError):
+        engine.aggregate(panel, [])
+    with pytest.raises(ValueError):
+        engine.aggregate(panel, ["rank(price)"], method="other")
     memory, _ = engine.discover(panel, ["rank(price)"], fwd_horizon=2, is_end="2024-02-20")
     memory.write(f"{tmp_path}/log.json")
     assert read_json(f"{tmp_path}/log.json", [])[0]["formula"] == "rank(price)" and read_json(f"{tmp_path}/none.json", []) == []
@@ -109,8 +174,12 @@ def test_redundancy_with_frequent_values(spark):
     df = spark.createDataFrame(rows, "date date, symbol string, a double, b double")
     wide = pd.DataFrame(rows, columns=["date", "symbol", "a", "b"]).dropna()
     want = abs(wide.a.rank().corr(wide.b.rank()))
-    for small in (evaluation.SMALL, 0):  # by one window, and by counts of values
-        assert abs(evaluation.redundancy(df, "a", "b", small).first().redundancy - want) < 1e-12
+    assert abs(evaluation.redundancy(df, "a", "b").first().redundancy - want) < 1e-12
+    for splitters in (1, 4, 64):  # values in many buckets, and buckets without values
+        cells = df.withColumn("k", F.lit("all"))
+        found = scoring.rank_correlations(cells, "k", "a", ["b", "a"], splitters).collect()
+        rho = {r.other: r.rho for r in found}
+        assert abs(abs(rho["b"]) - want) < 1e-12 and abs(rho["a"] - 1) < 1e-12
     assert evaluation.redundancy(df.filter("date < '2024-01-15'"), "a", "b").first().redundancy == 0
 
 
