@@ -4,9 +4,13 @@ The model is fitted by ``pyspark.ml`` on a small labelled table of URLs and beco
 weights, so judging is one projection of built-in functions. The rule table (bounded by ``MAX_RULES``)
 is compiled into one CASE, longest rule first.
 
+The table is general knowledge: words of wanted and unwanted sites, in shapes of host and path that both have
+and in shapes typical of either.
+
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is judged by
-the model like any other; rows are judged one by one, so repeated rows and null ids pass through; extra
-columns are ignored.
+the model like any other; rows are judged one by one, so repeated rows and null ids pass through, and a url of any
+length is judged whole; of rules of equal length that fit, the first by name wins; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,31 +28,35 @@ MAX_RULES = 1000
 N_GRAMS, BUCKETS, CUTOFF = (3, 4), 4096, 0.5
 #: The ridge penalty against the whole log loss, so that it does not depend on the number of labelled URLs; 0.05 at 60 of them.
 PENALTY = 3.0
-#: General vocabulary of unwanted and of plain sites, not taken from any table.
-BAD_WORDS = """casino poker slots bet bets betting jackpot roulette lottery gamble bonus spins win prize winner claim
-pills viagra cialis pharmacy meds drugs diet miracle xxx sex sexy porn adult cams nude escort dating hookup singles
-spam farm clickbait ads adserver banner popup track tracker pixel affiliate phish phishing login-verify malware virus trojan
-drop hack crack keygen warez torrent serial cheap free replica fake loan payday cash money profit crypto-double hot""".split()
-GOOD_WORDS = """news weather library museum university school college research science physics biology history language
-dictionary wiki encyclopedia journal article archive government council parliament court police hospital clinic health
-medicine dentist nursing bank insurance tax office post parcel railway train bus airport airline hotel restaurant recipe
-kitchen bakery garden flower farmer forest river mountain travel tourism guide map city village house window
-winter wine music concert theatre opera film cinema painting gallery photo camera book author poetry story novel reader
-sport football tennis running cycling swimming chess children family teacher student lesson course exam manual docs
-support software hardware computer linux python developer forum community meeting conference event calendar contact
-letter better alphabet beta tracks cheddar pillow address advice adviser sextant phone
-physician hotline freedom cashmere moneta market shop store garage repair car bicycle furniture clothing shoes""".split()
-#: The same shapes for both labels, so that neither subdomain, top level nor path tells them apart.
-SHAPES = ("{a}-{b}.com/en/12", "www.{b}{a}.org/de/345.html", "{a}.net/fr/678/", "m.{a}-{c}.net/es/90", "blog.{c}-{a}.com/{b}", "{a}{c}.org/index.html", "my-{a}.info/2021/{c}")
-
-
-def urls_of(words: list[str]) -> list[str]:
+#: General vocabulary of unwanted sites (gambling, medicines, pornography, fraud, malware, unlicensed copies).
+BAD_WORDS = """casino poker roulette slots jackpot betting gambling lottery bingo viagra cialis pills pharmacy steroids
+slimming diet porn xxx sex nude escort hookup camgirls milf fetish payday loan credit forex bitcoin giveaway winner prize
+voucher freebie discount replica rolex counterfeit crack keygen warez torrent serial hack cheats malware trojan phishing
+spam clickbait popup adserver scam mlm ponzi unlimited miracle""".split()
+#: General vocabulary of wanted sites.
+GOOD_WORDS = """university school library museum hospital clinic parliament ministry council court police embassy news weather
+science physics chemistry biology history geography language dictionary encyclopedia archive journal research institute
+theatre orchestra gallery cinema festival football athletics cycling chess railway airport harbour bus hotel restaurant
+bakery garden kitchen recipe travel map city village church architecture engineering software linux python database
+hardware electronics support manual forum community charity insurance bank post family teacher student children health""".split()
+#: Shapes of either kind of site, and those that are typical of unwanted and of wanted ones.
+SHARED_SHAPES = ("www.{a}.com/", "{a}{b}.net/{c}/12", "{a}-{b}.com/en/index.html")
+BAD_SHAPES = (
+    "{a}-{b}-{c}.top/", "best-{a}-online.xyz/?aff=12", "{a}24.click/go/{b}", "{a}-{b}.win/signup?bonus=100", "x{a}777.info/promo/{b}.php?id=9", "free-{a}-{b}.biz/download.exe", "get{a}now.site/offer?ref=88", "{a}.{b}-{c}.club/redirect?u=1",
+)
+GOOD_SHAPES = (
+    "www.{a}.org/{b}/", "{a}.edu/{b}/{c}.html", "www.{a}-{b}.gov/news/2019/05/{c}", "docs.{a}.org/en/{b}.html", "{b}.{a}.ac.uk/about", "blog.{a}.com/2021/03/{b}-{c}", "en.{a}.org/articles/{b}", "www.{a}.de/{b}/345.html",
+    "m.{a}.net/de/25", "{a}.com/{b}/{c}", "blog.{a}{b}.net/", "www.{b}{a}.com/fr/7.html", "{a}.net/{b}/", "shop.{a}-{b}.com/es/list",
+)
+
+
+def urls_of(words: list[str], shapes: tuple[str, ...]) -> list[str]:
     """URLs without scheme: every word in every shape, each time beside other words of the list."""
     n = len(words)
-    return [shape.format(a=w, b=words[(i + 5 * k + 7) % n], c=words[(i + 11 * k + 17) % n]) for i, w in enumerate(words) for k, shape in enumerate(SHAPES)]
+    return [shape.format(a=w, b=words[(i + 5 * k + 7) % n], c=words[(i + 11 * k + 17) % n]) for i, w in enumerate(words) for k, shape in enumerate(shapes)]
 
 
-BAD, GOOD = urls_of(BAD_WORDS), urls_of(GOOD_WORDS)
+BAD, GOOD = urls_of(BAD_WORDS, SHARED_SHAPES + BAD_SHAPES), urls_of(GOOD_WORDS, SHARED_SHAPES + GOOD_SHAPES)
 
 
 def parts(pages: DataFrame) -> DataFrame:
