@@ -314,7 +314,9 @@ SELECT date, symbol, {rounded(price='price', volume='volume', ret='ret')} FROM m
     "prim_volume_ratio": on_panel(volume_ratio=f"volume / NULLIF({roll('AVG', 'volume', 20, 5)}, 0)"),
     "prim_realized_vol": on_panel(realized_vol=roll("stddev_samp", "ret", 20, 5), high_low_range=f"{roll('stddev_samp', 'ret', 20, 5)} * sqrt(1 / 252.0)", market_vol=roll("stddev_samp", "mkt", 20, 5)),
     "prim_price_to_ma": on_panel(price_to_ma=f"price / NULLIF({roll('AVG', 'price', 20, 5)}, 0)"),
-    "prim_sma": on_panel(**{f"sma_{n}": f"{s} + 1e-8" for n, s in _SMA.items()}, **{f"price_to_sma{n}": f"price / NULLIF({s}, 0)" for n, s in _SMA.items()}, sma50_to_sma200=f"{_SMA[50]} / NULLIF({_SMA[200]}, 0)"),
+    "prim_sma": f"WITH {PANEL} SELECT date, symbol, "
+    + ", ".join(f"CAST(round(CAST({x} AS DECIMAL(30, 10)), 6) AS DOUBLE) AS sma_{n}" for n, x in _SMA.items()) + ", "
+    + rounded(**{f"price_to_sma{n}": f"price / NULLIF({x}, 0)" for n, x in _SMA.items()}, sma50_to_sma200=f"{_SMA[50]} / NULLIF({_SMA[200]}, 0)") + " FROM panel",
     "prim_rsi14": on_panel(rsi_14=f"100 - 100.0 / NULLIF(1 + {roll('AVG', _RSI_G, 14, 10)} / NULLIF({roll('AVG', _RSI_L, 14, 10)}, 0), 0)"),
     "prim_momentum": on_panel(return_10d=roll("sum", "ret", 10, 5), return_20d=roll("sum", "ret", 20, 10), return_60d=roll("sum", "ret", 60, 30)),
     "prim_beta60": on_panel(beta_60d=f"(CASE WHEN count(ret) {over(60)} >= 30 THEN covar_samp(ret, mkt) {over(60)} END) / NULLIF({roll('var_samp', 'mkt', 60, 30)}, 0)"),

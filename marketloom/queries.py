@@ -49,11 +49,10 @@ def _factor(spark: SparkSession, sf_dir: str, **others: str) -> DataFrame:
 
 
 def prim_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of cents over 50 to 200 days have exact halves in the seventh digit: a hundred-millionth more, far above the
-    noise of a sum and far below the next digit, rounds them up on every engine."""
+    """Means of cents over 50 to 200 days have exact halves in the seventh digit: as decimals they round alike on every engine."""
     means, ratios = ["sma_50", "sma_100", "sma_200"], ["price_to_sma50", "price_to_sma100", "price_to_sma200", "sma50_to_sma200"]
-    df = with_primitives(market.panel(spark, sf_dir), means + ratios)
-    return _rounded(df.withColumns({n: F.col(n) + 1e-8 for n in means}), *means, *ratios)
+    df = _rounded(with_primitives(market.panel(spark, sf_dir), means + ratios), *ratios, keys=("date", "symbol", *means))
+    return df.withColumns({n: F.round(F.col(n).cast("decimal(30,10)"), 6).cast("double") for n in means})
 
 
 def panel_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
