@@ -44,6 +44,8 @@ ENCODINGS = (
 )
 #: Lower bounds of the length classes, the false-discovery rate, and p bins per factor of 10 up to 10^-MOST.
 LENGTHS, RATE, BINS, MOST = (20, 24, 32, 48, 80), 0.05, 8, 12
+#: Matches of a text that are folded at once.
+STRETCH = 256
 _SPAN = "array<struct<start: int, kind_no: int, kind: string, end: int>>"
 
 
@@ -51,16 +53,21 @@ def _spans(text: str, pattern: str, group: int, least: int, kind_no: int, kind:
     """SQL for the spans of a pattern's matches, leftmost and non-overlapping, whose group is long enough."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     checked = f"regexp_extract_all({text}, {p}, {group})"
-    # fold over (gap before, match): at is where the last match ended
+    # fold over (gap before, match): at is where the last match ended, o where a stretch of matches begins
     steps = (
         f"zip_with(regexp_extract_all({text}, {p}, 0), {checked}, (m, g) -> struct(char_length(m) as m, char_length(g) as g))"
     )
     fold = (
-        f"aggregate(zip_with(slice(gaps, 1, size(found)), found, (a, f) -> struct(char_length(a) as gap, f.m as m, f.g as g)), "
-        f"struct(0 as at, cast(array() as {_SPAN}) as spans), "
+        f"aggregate(c, struct(o as at, cast(array() as {_SPAN}) as spans), "
         f"(s, x) -> struct(s.at + x.gap + x.m as at, if(x.g >= {least}, concat(s.spans, array(struct(s.at + x.gap as start, {kind_no} as kind_no, '{kind}' as kind, s.at + x.gap + x.m as end))), s.spans) as spans), "
         f"s -> s.spans)"
     )
+    # stretches of matches are folded one by one, so that a text's spans are not copied for each match
+    items = "zip_with(slice(gaps, 1, size(found)), found, (a, f) -> struct(char_length(a) as gap, f.m as m, f.g as g))"
+    cut = f"transform(sequence(0, (size(items) - 1) div {STRETCH}), k -> slice(items, k * {STRETCH} + 1, {STRETCH}))"
+    begun = "aggregate(transform(cs, c -> aggregate(c, 0, (s, x) -> s + x.gap + x.m)), struct(0 as at, cast(array() as array<int>) as o), (s, n) -> struct(s.at + n as at, concat(s.o, array(s.at)) as o), s -> s.o)"
+    spans = f"flatten(zip_with(cs, {begun}, (c, o) -> {fold}))"
+    fold = f"element_at(transform(array({items}), items -> element_at(transform(array({cut}), cs -> {spans}), 1)), 1)"
     # let found = steps and gaps = split(...)
     return (
         f"if({text} rlike {p}, element_at(transform(array({steps}), found -> element_at(transform(array(split({text}, {p}, -1)), gaps -> {fold}), 1)), 1), "

@@ -429,6 +429,18 @@ def test_secrets_after_an_equals_sign_and_without_a_digit(spark):
     assert got == {0: "random:12:44", 1: "random:11:43", 2: "random:4:35", 3: "random:6:37", 4: "random:2:36", 5: "random:0:34,random:34:66", 6: "", 7: "hex:4:24"}
 
 
+def test_many_secrets_in_one_text(spark):
+    """More matches than are folded at once, some too short to count, with nothing or much between."""
+    rng = random.Random(13)
+    pieces = [f"token={'ab1' * rng.randint(1, 8)}{k}" + rng.choice([" ", "é ", " words between. "]) for k in range(3 * secret_scan.STRETCH + 5)]
+    texts = ["".join(pieces), "".join(pieces[: secret_scan.STRETCH]), "deadbeef" * 2 + " " + "".join(pieces[:1])]
+    got = by_id(secret_scan.digest(secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    for i, t in enumerate(texts):
+        spans = brute.secrets(t)
+        assert got[i].n_assign == sum(s[1] == 0 for s in spans) > 0
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, _, k, z in spans).encode()).hexdigest()
+
+
 def test_battery_equals_the_plain_version(spark):
     """Random strings of five encodings, and strings that people make, in texts with base secrets, nulls and repeated ids."""
     rng = random.Random(12)
