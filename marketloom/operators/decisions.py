@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import zscore
+from . import boosting
 
 C = F.col
 
@@ -70,11 +69,9 @@ def composite_summary(scores: DataFrame) -> DataFrame:
 
 
 def aggregate_boosted(factors: DataFrame, names: list[str], target: str, train_end: str, least: int = 100, rounds: int = 200) -> DataFrame:
-    """date, symbol, value: gradient-boosted trees fitted to complete rows up to ``train_end``."""
-    rows = factors.dropna(subset=names)
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    """date, symbol, value: gradient-boosted trees fitted to complete rows up to ``train_end``, for complete rows."""
+    ready = factors.select("date", "symbol", *names, target).dropna(subset=names)
     train = ready.filter(C(target).isNotNull() & (C("date") <= F.lit(train_end).cast("date")))
     if train.limit(least).count() < least:
         raise ValueError(f"fewer than {least} rows to learn from")
-    model = GBTRegressor(labelCol=target, maxIter=rounds, stepSize=0.05, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42).fit(train)
-    return model.transform(ready).select("date", "symbol", C("prediction").alias("value"))
+    return boosting.transform(boosting.fit(train, names, target, rounds), ready, names, ["date", "symbol"])

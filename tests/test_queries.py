@@ -61,10 +61,15 @@ def test_only_the_boosted_composite_lacks_sql():
 
 def test_the_boosted_composite_runs_all_rounds(spark, monkeypatch):
     seen = {}
-    monkeypatch.setattr(queries.decisions.GBTRegressor, "fit", lambda self, df: seen.update(rounds=self.getMaxIter()) or self.stop)
-    with pytest.raises(AttributeError):
+
+    def fit(train, names, target, rounds):
+        seen.update(rounds=rounds, rows=train.count())
+        raise InterruptedError
+
+    monkeypatch.setattr(queries.decisions.boosting, "fit", fit)
+    with pytest.raises(InterruptedError):
         queries.QUERIES["aggregate_gbt"](spark, SF)
-    assert seen == {"rounds": 200}
+    assert seen["rounds"] == 200 and seen["rows"] > 10_000
 
 
 def test_a_panel_reads_its_table_twice(spark):
