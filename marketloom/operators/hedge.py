@@ -102,32 +102,35 @@ def backtest(series: DataFrame, cfg: VolTarget = VolTarget(), cash_rate: float =
     return df.withColumn("portfolio_ret", held * C("ret") + (1 - held) * (cash_rate / cfg.annualization)).drop("_c")
 
 
-def series_stats(df: DataFrame, r: str, label: str, cfg: VolTarget = VolTarget()) -> DataFrame:
-    """Per series: annual return, volatility, Sharpe, drawdown, Calmar and total return of ``r``; at least 10 rows."""
-    rows = df.filter(C(r).isNotNull()).withColumn("_cum", F.product(1 + C(r)).over(so_far()))
-    rows = rows.withColumn("_dd", F.try_divide("_cum", F.max("_cum").over(so_far())) - 1)
-    g = rows.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("_n"), (F.avg(r) * cfg.annualization).alias("ret"), (F.stddev_samp(r) * cfg.annualization**0.5).alias("vol"),
-        F.min("_dd").alias("dd"), (F.max_by("_cum", "date") - 1).alias("total"),
-    ).filter("_n >= 10")
-    return g.select(
-        "series_id", C("ret").alias(f"{label}_annual_return"), C("vol").alias(f"{label}_annual_vol"),
-        F.when(C("vol") > 0, C("ret") / C("vol")).otherwise(0.0).alias(f"{label}_sharpe"), C("dd").alias(f"{label}_max_dd"),
-        F.when(C("dd") != 0, C("ret") / F.abs("dd")).otherwise(0.0).alias(f"{label}_calmar"), C("total").alias(f"{label}_total_return"),
-    )
+def leg_stats(tested: DataFrame, legs: dict[str, str], more: dict[str, Column] | None = None, cfg: VolTarget = VolTarget()) -> DataFrame:
+    """A row per series, all from one pass: for each leg (label: column of returns) with at least 10 of them annual
+    return, volatility, Sharpe, drawdown, Calmar and total return, and what else is aggregated."""
+    df = tested.withColumns({f"_cum_{k}": F.product(1 + C(r)).over(so_far()) for k, r in legs.items()})
+    df = df.withColumns({f"_dd_{k}": F.try_divide(f"_cum_{k}", F.max(f"_cum_{k}").over(so_far())) - 1 for k in legs})
+    sums = dict(more or {})
+    for k, r in legs.items():
+        sums |= {f"_n_{k}": F.count(r), f"_r_{k}": F.avg(r) * cfg.annualization, f"_v_{k}": F.stddev_samp(r) * cfg.annualization**0.5, f"_d_{k}": F.min(f"_dd_{k}"), f"_t_{k}": F.max_by(f"_cum_{k}", "date") - 1}
+    out = df.groupBy("series_id").agg(*[c.alias(n) for n, c in sums.items()])
+    shown = {n: C(n) for n in more or {}}
+    for k in legs:
+        ret, vol, dd = C(f"_r_{k}"), C(f"_v_{k}"), C(f"_d_{k}")
+        stats = {
+            "annual_return": ret, "annual_vol": vol, "sharpe": F.when(vol > 0, ret / vol).otherwise(0.0), "max_dd": dd,
+            "calmar": F.when(dd != 0, ret / F.abs(dd)).otherwise(0.0), "total_return": C(f"_t_{k}"),
+        }
+        shown |= {f"{k}_{n}": F.when(C(f"_n_{k}") >= 10, c) for n, c in stats.items()}
+    return out.select("series_id", *[c.alias(n) for n, c in shown.items()])
 
 
 def backtest_stats(tested: DataFrame, cfg: VolTarget = VolTarget()) -> DataFrame:
     """A row per series: overlay, buy-and-hold, and how exposure was spent."""
-    share = lambda c: F.avg(c.cast("double"))
-    use = tested.groupBy("series_id").agg(
-        F.coalesce(F.avg("exposure"), F.lit(0.0)).alias("mean_exposure"), F.coalesce(F.avg("w_vol"), F.lit(0.0)).alias("mean_w_vol"),
-        F.coalesce(share(C("exposure") < 1), F.lit(0.0)).alias("pct_in_cash"), F.coalesce(share(C("exposure") > 1), F.lit(0.0)).alias("pct_levered"),
-        F.coalesce(share(C("leverage_capped")), F.lit(0.0)).alias("pct_at_leverage_cap"),
-    )
-    both = use.join(series_stats(tested, "portfolio_ret", "portfolio", cfg), "series_id", "left").join(series_stats(tested, "ret", "buyhold", cfg), "series_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return both.withColumns(
+    share = lambda c: zero(F.avg(c.cast("double")))
+    use = {
+        "mean_exposure": zero(F.avg("exposure")), "mean_w_vol": zero(F.avg("w_vol")), "pct_in_cash": share(C("exposure") < 1), "pct_levered": share(C("exposure") > 1),
+        "pct_at_leverage_cap": share(C("leverage_capped")),
+    }
+    return leg_stats(tested, {"portfolio": "portfolio_ret", "buyhold": "ret"}, use, cfg).withColumns(
         {
             "dd_reduction": zero(C("buyhold_max_dd")) - zero(C("portfolio_max_dd")),
             "return_cost": zero(C("portfolio_annual_return")) - zero(C("buyhold_annual_return")),
