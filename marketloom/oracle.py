@@ -368,6 +368,9 @@ SELECT 'top' AS side, CAST(hi AS INTEGER) AS place, symbol, {rounded(value='valu
     "hedge_debounced_gate": f"WITH {SERIES}, {debounced('sma_fast', 'af')} SELECT ind.date, af.above FROM ind LEFT JOIN af USING (date)",
     "hedge_exposure": f"WITH {EXPOSURE} SELECT date, leverage_capped, {rounded(gate='CAST(gate AS DOUBLE)', w_vol='w_vol', exposure='exposure', cash='cash')} FROM expo",
     "hedge_backtest_stats": _backtest(),
+    "hedge_scans": f"""WITH {SERIES}, {debounced('sma_fast', 'af')}, t AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS ret FROM series),
+c AS (SELECT date, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS curve FROM t), d AS (SELECT date, curve, curve / max(curve) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM c)
+SELECT 'market' AS series_id, date, above, {rounded(curve='curve', drawdown='dd')} FROM d LEFT JOIN af USING (date)""",
     "hedge_asof": f"WITH {EXPOSURE}, {MONTHS} SELECT as_of, date, {rounded(exposure='exposure')} FROM months ASOF JOIN expo ON months.as_of >= expo.date",
     "hedge_recent_exposures": f"WITH {EXPOSURE} SELECT 'market' AS series_id, date, round(exposure, 4) AS exposure FROM expo WHERE exposure IS NOT NULL ORDER BY date DESC LIMIT 10",
     "hedge_parameters": _report(),

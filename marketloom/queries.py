@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scans
 from .functions.windows import forward_sum
 from .operators import decisions, evaluation, hedge, portfolio
 from .operators.primitives import latest, with_primitives
@@ -214,6 +215,13 @@ def hedge_recent_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hedge.recent_exposures(hedge.exposure(market.series(spark, sf_dir), CFG))
 
 
+def hedge_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debounced gate, compounded returns and drawdown of the series in blocks of a year, each in tasks of its own."""
+    df = hedge.backtest(market.series(spark, sf_dir), CFG).withColumn("raw", F.when(F.col("sma_fast").isNotNull(), (F.col("close") > F.col("sma_fast")).cast("int")))
+    df = scans.compounded(scans.settled(df, "raw", "above", CFG.confirm_days, 365), "ret", 365)
+    return _rounded(df.withColumn("drawdown", F.col("curve") / F.col("peak") - 1), "curve", "drawdown", keys=("series_id", "date", "above"))
+
+
 def hedge_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exposure as of the first day of every month of orders."""
     months = market.table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("as_of")).distinct()
@@ -338,6 +346,7 @@ QUERIES = {
     "hedge_exposure": hedge_exposure,
     "hedge_backtest_stats": hedge_backtest_stats,
     "hedge_recent_exposures": hedge_recent_exposures,
+    "hedge_scans": hedge_scans,
     "hedge_asof": hedge_asof,
     "hedge_parameters": hedge_parameters,
     "book_weights_equal": _book("equal"),

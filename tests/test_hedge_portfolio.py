@@ -7,8 +7,10 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marketloom.functions import scans
 from marketloom.operators import hedge, portfolio
 
 START = dt.date(2021, 3, 1)
@@ -129,3 +131,28 @@ def test_portfolio_vol_closed_form(spark):
         want.append(math.sqrt(v * 252))
     vol = [x.vol for x in portfolio.ewma_vol(returns.filter("book_id = 1")).orderBy("date").collect()]
     assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(vol, want, strict=True))
+
+
+def test_scans_in_blocks_equal_whole_windows(spark):
+    """Gaps, missing values, returns below -1 that turn the curve negative, one-day and long blocks, short series."""
+    rng, rows = random.Random(21), []
+    for k, n in ((1, 300), (2, 40), (3, 1), (4, 80)):
+        state, day = 0, 0
+        for _ in range(n):
+            day += rng.choice([1, 1, 1, 2, 9])
+            state = 1 - state if rng.random() < 0.35 else state
+            r = None if rng.random() < 0.2 or (k == 4 and day < 60) else rng.choice([-1.4, 0.5, -0.3, 0.02, 0.1])
+            rows.append((f"s{k}", dt.date(2020, 1, 1) + dt.timedelta(day), r, None if rng.random() < 0.15 or (k == 4 and day < 90) else state))
+    df = spark.createDataFrame(rows, "series_id string, date date, r double, raw int").repartition(3).cache()
+    so_far = Window.partitionBy("series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("curve", F.product(1 + F.col("r")).over(so_far)).withColumn("peak", F.max("curve").over(so_far))
+    want = hedge.debounced_above(want.withColumns({"close": F.col("raw").cast("double"), "sma": F.when(F.col("raw").isNotNull(), 0.5)}), "sma", "above", 3)
+    expected = {(r.series_id, r.date): r for r in want.collect()}
+    for days in (1, 7, 30, 5000):
+        got = scans.compounded(scans.settled(df, "raw", "above", 3, days), "r", days).collect()
+        assert len(got) == len(expected)
+        for r in got:
+            w = expected[r.series_id, r.date]
+            assert r.above == w.above, (days, r, w)
+            for a, b in ((r.curve, w.curve), (r.peak, w.peak)):
+                assert (a is None) == (b is None) and (a is None or abs(a - b) <= 1e-9 * abs(b)), (days, r, w)
