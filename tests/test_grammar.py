@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.windows import forward_sum
 from marketloom.operators import evaluation, scoring
 from marketloom.plans.compiler import lookback, with_formula, with_formulas
-from marketloom.plans import discovery
+from marketloom.plans import discovery, store
 from marketloom.plans.discovery import Settings, discover, read_json
 from marketloom.plans.engine import Engine
 from marketloom.plans.grammar import FormulaError, parse
@@ -120,6 +120,24 @@ def test_many_factors_in_one_pass(spark, panel):
     assert got["c"].n_days == 0 and got["c"].ls_sharpe == 0 and got["c"].decile_returns == [] and got["c"].max_corr_with_existing == 0
 
 
+def test_store_extends_by_new_dates(spark, panel, tmp_path, monkeypatch):
+    formula, other = "rank(rolling_mean(lag(price, 3), 5))", "rank( rolling_mean( lag(price,3), 5) )"
+    early, seen = panel.filter("date <= '2024-02-10'"), []
+    made = store.with_formula
+    monkeypatch.setattr(store, "with_formula", lambda df, f, **more: seen.append(more.get("start")) or made(df, f, **more))
+    kept = store.FactorStore(spark, f"{tmp_path}/store")
+    assert kept.kept(formula) is None
+    whole = with_formula(panel, formula).select("date", "symbol", "f")
+    assert kept.values(early, formula).exceptAll(whole).count() == 0
+    assert kept.values(early, other).count() == early.count() and seen == [None]
+    got = kept.values(panel, other)
+    assert seen == [None, "2024-02-11"] and got.exceptAll(whole).count() == 0 and got.count() == panel.count()
+    assert {r.date for r in spark.read.parquet(f"{tmp_path}/store/*/from=2024-02-11").select("date").distinct().collect()} == {dt.date(2024, 2, 11) + dt.timedelta(k) for k in range(19)}
+    (tmp_path / "store" / kept._path(formula).rsplit("/", 1)[1] / "from=2024-02-11" / "_SUCCESS").unlink()  # as if the write had not ended
+    assert kept.values(panel, formula).count() == panel.count() and len(seen) == 3
+    assert kept.values(panel.filter("date < '2000-01-01'"), "rank(price)").count() == 0
+
+
 def test_a_forest_shares_its_subtrees(panel):
     df = with_formulas(panel, {"x": "rank(rolling_mean(return, 5))", "y": "neg(rank(rolling_mean(return, 5)))", "z": "add(rolling_mean(return, 5), price)"})
     assert df._jdf.queryExecution().optimizedPlan().toString().count("rowframe, -4") <= 2 and df.columns == [*panel.columns, "x", "y", "z"]
