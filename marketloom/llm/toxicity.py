@@ -24,8 +24,8 @@ from .decontaminate import _NORMAL
 from .near_dedup import _mix, word_hashes
 from .shared import small_batches
 
-BUCKETS, TRAIN_ROWS, EPOCHS = 1 << 22, 10_000, 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+BUCKETS, TRAIN_ROWS, EPOCHS = 1 << 22, 10_000, 8
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 10.0, 0.1
 CUTOFF = 0.7
 _LETTERS = np.ones(256, bool)
 _LETTERS[32] = False
