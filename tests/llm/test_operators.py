@@ -132,6 +132,19 @@ def test_no_text_of_a_repeated_id_is_lost(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, judged_by_rows(rows, 5)))
 
 
+def test_the_pipelines_stage_keeps_texts_of_repeated_ids(spark, tmp_path):
+    """The stage on documents with all their columns, null ones too; what it keeps reaches the next stage."""
+    rows = with_repeated_ids(7)
+    df = spark.createDataFrame([(i, t, None, None if k % 3 else "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "words of no document at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.dedup(spark, df.repartition(3), "")
+    assert kept.columns == df.columns
+    want = sorted(map(repr, judged_by_rows(rows, 5)))
+    assert sorted(map(repr, map(tuple, kept.select("doc_id", "text").collect()))) == want
+    clean = corpus_pipeline.decontamination(spark, kept, str(tmp_path))
+    assert sorted(map(repr, map(tuple, clean.select("doc_id", "text").collect()))) == want
+
+
 def test_small_blocks_by_shingles(spark, monkeypatch):
     """Blocks bounded by their shingles give the same classes."""
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 700)
