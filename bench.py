@@ -14,7 +14,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "panel_returns", "prim_sma", "prim_beta60", "op_ewma", "op_rolling_corr", "formula_depth4", "preprocess", "rank_ic_stats", "ls_stats", "decile_returns",
-    "turnover", "signal_decay", "redundancy", "aggregate_linear", "hedge_exposure", "hedge_backtest_stats", "portfolio_vol30", "portfolio_vol_ewma",
+    "turnover", "signal_decay", "redundancy", "evaluate_factor", "aggregate_linear", "hedge_exposure", "hedge_backtest_stats", "portfolio_vol30", "portfolio_vol_ewma",
 )
 
 
