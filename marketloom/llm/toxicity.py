@@ -2,7 +2,7 @@
 
 Features of a text are the distinct hashed words, neighbours, and pairs one and two words apart. The
 learner sees a bounded sample of labelled texts (``TRAIN_ROWS``, those with the lowest seeded hash of
-their id; one text an id, whatever its rows) as a stream, ``EPOCHS`` times in seeded orders; its state is two arrays of ``BUCKETS`` numbers.
+their id; one text an id, whatever its rows) ``EPOCHS`` times in seeded orders; its state is two arrays of ``BUCKETS`` numbers.
 Per-coordinate rates and L1 leave few non-zero weights, which are broadcast. Every text is scored whole.
 
 Defined cases: a null or empty text has the model's base rate as score; labels that are null are not
@@ -60,25 +60,35 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, seen = Ftrl(), 0
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            model.learn(features(text), y)
-            seen += 1
-    if seen:
+        found = pa.array([features(t).astype(np.int32) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([found, batch.column("toxic"), batch.column("orders")], names=["buckets", "toxic", "orders"])
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows are held as their features, at most TRAIN_ROWS of them, and learned from in each epoch's order."""
+    rows = [(np.asarray(at), y, orders) for b in batches for at, y, orders in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    model = Ftrl()
+    for epoch in range(EPOCHS):
+        for at, y, _ in sorted(rows, key=lambda r: r[2][epoch]):  # noqa: B023
+            model.learn(at, y)
+    if rows:
         w = model.weights(np.arange(BUCKETS))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["bucket", "weight"])
 
 
 def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) that are not zero, from ``labelled`` (doc_id, text, toxic), at most TRAIN_ROWS rows."""
+    """(buckets, weights) that are not zero, from ``labelled`` (doc_id, text, toxic), at most TRAIN_ROWS rows.
+
+    Texts are hashed where they lie; one task gets their features, some two bytes a byte of text.
+    """
     small_batches(labelled.sparkSession)
-    order = F.xxhash64("doc_id", "epoch")
-    stream = labelled.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    stream = stream.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS)))).repartition(1).sortWithinPartitions("epoch", order, "doc_id", "text")
-    rows = stream.select("text", "toxic").mapInArrow(_train, "bucket long, weight double").toArrow()
+    orders = F.array(*[F.xxhash64("doc_id", F.lit(e)) for e in range(1, EPOCHS + 1)])
+    given = labelled.select(F.col("text").cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic"), orders.alias("orders"), "doc_id")
+    hashed = given.mapInArrow(_features, "buckets array<int>, toxic int, orders array<long>")
+    rows = hashed.repartition(1).sortWithinPartitions("orders").mapInArrow(_train, "bucket long, weight double").toArrow()
     return rows.column("bucket").to_numpy().astype(np.int32), rows.column("weight").to_numpy()
 
 
