@@ -333,6 +333,8 @@ SELECT date, symbol, {rounded(price='price', volume='volume', ret='ret')} FROM m
     "op_ewma": _ewma("price", 10, "ret", 252),
     "op_rank": on_panel(v=f"{avg_rank('volume', 'date')} / count(volume) OVER (PARTITION BY date)"),
     "op_zscore": on_panel(v=z("volume")),
+    "sql_factor": f"""WITH {PANEL}, v AS (SELECT date, symbol, {avg_rank('volume', 'date')} / count(volume) OVER (PARTITION BY date) AS f1, price - {lag('price', 2)} AS f2, {roll('MAX', 'price', 10, 1)} AS f FROM panel)
+SELECT symbol, count(*) AS n_dates, {rounded(mean_place='AVG(f1)', mean_diff='AVG(f2)', top_price='MAX(f)')} FROM v WHERE f1 > 0.5 GROUP BY symbol""",
     "op_ratio_log_sign_abs_neg": on_panel(a="volume / NULLIF(price, 0)", b="ln(abs(NULLIF(ret, 0)))", c="CAST(sign(ret) AS DOUBLE)", d="abs(ret)", e="-ret"),
     "op_add_sub_mul": on_panel(a="price + volume", b="price - volume", c="ret * volume", d="ret + 2"),
     "op_clip": on_panel(v="CASE WHEN ret IS NOT NULL THEN greatest(-1.0, least(2.0, ret)) END", w="CASE WHEN ret IS NOT NULL THEN greatest(-3.0, least(3.0, ret)) END"),

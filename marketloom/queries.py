@@ -12,6 +12,7 @@ from .operators.primitives import latest, with_primitives
 from .operators.scoring import evaluate_factors
 from .plans import discovery
 from .plans.compiler import with_formula, with_formulas
+from .plans.sql import sql
 from .sources import market
 
 HORIZON, VT = 5, 300.0
@@ -144,6 +145,14 @@ def topk_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(latest(decisions.aggregate_linear(df, ["a", "b"]), "value", 5), "value", keys=("side", "place", "symbol"))
 
 
+def sql_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas within SQL: a row per symbol, over the dates on which its volume stands in the upper half."""
+    text = """SELECT a.symbol, count(*) AS n_dates, avg(a.f1) AS mean_place, avg(a.f2) AS mean_diff, max(b.f) AS top_price
+              FROM factor('rank(volume)', 'diff(price, 2)') a JOIN factor('rolling_max(price, 10)') b ON a.date = b.date AND a.symbol = b.symbol
+              WHERE a.f1 > :least GROUP BY a.symbol"""
+    return _rounded(sql(spark, text, market.panel(spark, sf_dir), {"least": 0.5}), "mean_place", "mean_diff", "top_price", keys=("symbol", "n_dates"))
+
+
 def aggregate_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_formula(with_formula(market.panel(spark, sf_dir), FACTOR, "a"), OTHER, "b")
     df = df.withColumn("fwd", forward_sum(F.col("ret"), HORIZON)).dropna(subset=["a", "b"])
@@ -320,6 +329,7 @@ QUERIES = {
     "op_clip": _formula(v="clip(return, 1, 2)", w="clip(return)"),
     "op_minmax": _formula(v="max_op(return, market_return)", w="min_op(return, market_return)"),
     "formula_depth4": _formula(v="neg(zscore(rolling_mean(ratio(volume, price), 5)))"),
+    "sql_factor": sql_factor,
     "forward_returns": forward_returns,
     "winsorize": winsorize,
     "preprocess": preprocess,
