@@ -9,9 +9,10 @@ with the windows of the items. That is a tenth of the states that the windows th
 Hits are turned to word numbers and to character offsets of the original text.
 
 The items are cut into parts of at most ``PART`` words that overlap by a window less one, and dealt into
-blocks of about ``BLOCK_BYTES``. A block is one broadcast automaton and one pass over the documents; with
-several blocks each pass but the last is written to the shared folder before the next begins, so one
-automaton is alive in a worker at a time, whatever the size of the benchmark.
+blocks of about ``BLOCK_BYTES``. A block is one broadcast automaton and one pass. With several blocks a
+Bloom filter of all pieces (of at most ``FILTER_BITS``, whatever the benchmark) comes first: only texts with a
+run of words that it holds are written, and each pass reads and writes those; all others are known to have
+no hit and stream by once. One automaton is alive in a worker at a time, whatever the size of the benchmark.
 
 Defined cases: a null or empty text has no words; null items and items without words are ignored; items
 with the same words are both reported; a repeated item id counts once; repeated rows and null doc ids
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,6 +39,8 @@ from .shared import discard, saved, small_batches
 WINDOW = 10
 #: Words of a part of an item, and benchmark text of a block; a worker holds some 70 bytes for each byte of a block.
 PART, BLOCK_BYTES = 4096, 3 << 20
+#: Bits of the filter of pieces: two for each byte of the benchmark, as a power of two, at most 64 MB; and its probes.
+FILTER_BITS, PROBES = 1 << 29, 8
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BUILT: dict[str, Finder] = {}
@@ -50,6 +54,54 @@ def _spaced(w: list[bytes]) -> str:
     return (b" " + b" ".join(w) + b" ").decode("latin-1")  # a letter per byte
 
 
+def pieces_of(w: list[bytes], window: int) -> list[tuple[int, int]]:
+    """(first word, words) of the pieces of an item or part; a short one is its own piece."""
+    n = (window + 1) // 2
+    if len(w) < window:
+        return [(0, len(w))] if w else []
+    return [(i, n) for i in range(0, len(w) - n + 1, n)]
+
+
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` words, from the words' codes."""
+    most = max(0, len(codes) - n + 1)
+    h = np.zeros(most, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + most]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _codes(w: list[bytes]) -> np.ndarray:
+    return np.array([zlib.crc32(x) for x in w], np.uint64)
+
+
+def _probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return ((h + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
+class Sieve:
+    """A Bloom filter of pieces: texts without a run of words in it have no hit."""
+
+    def __init__(self, words_: np.ndarray, bits: int, lengths: list[int]) -> None:
+        self.table, self.bits, self.lengths = words_, bits, lengths
+
+    def passes(self, w: list[bytes]) -> bool:
+        """Whether a piece may occur in the words of a text."""
+        codes = _codes(w)
+        for n in self.lengths:
+            h = _grams(codes, n)
+            for k in range(PROBES):
+                at = _probe(h, k, self.bits)
+                h = h[(self.table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                if not len(h):
+                    break
+            if len(h):
+                return True
+        return False
+
+
 class Finder:
     """The windows of some items and the automaton of their pieces."""
 
@@ -61,11 +113,12 @@ class Finder:
             w = words(text)
             for i in range(len(w) - window + 1):
                 self._own(b" ".join(w[i : i + window]), item)
-            for i in range(0, len(w) - self.piece + 1, self.piece) if len(w) >= window else ():
-                pieces.setdefault(_spaced(w[i : i + self.piece]), self.piece)
-            if w and len(w) < window:
-                self._own(b" ".join(w), item)
-                pieces[_spaced(w)] = -len(w)
+            for i, n in pieces_of(w, window):
+                if len(w) < window:
+                    self._own(b" ".join(w), item)
+                    pieces[_spaced(w)] = -n
+                else:
+                    pieces.setdefault(_spaced(w[i : i + n]), n)
         self.automaton = ahocorasick.Automaton()
         for piece, n in pieces.items():
             self.automaton.add_word(piece, (n, len(piece)))
@@ -123,21 +176,64 @@ def _parts(window: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
-    """(whether it is the last, [(item id as string, words)]) of about the bound; one is on the driver at a time."""
+def _dealt(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, int, int]:
+    """(parts of the items with the number of their block, blocks, bytes)."""
     rows = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
     parts = rows.mapInArrow(_parts(window), "i string, k long, t binary")
     total = parts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = -(-total // block_bytes) or 1
     dealt = parts.withColumn("b", F.pmod(F.xxhash64("i", "k"), F.lit(n)))
-    if n > 1:
-        dealt = saved(dealt, "items")
+    return (saved(dealt, "items") if n > 1 else dealt), n, total
+
+
+def _blocks(dealt: DataFrame, n: int) -> Iterator[tuple[bool, list[tuple[str, bytes]]]]:
+    """(whether it is the last, [(item id as string, words)]) of about the bound; one is on the driver at a time."""
     for b in range(n):
         yield b == n - 1, [(r.i, bytes(r.t)) for r in dealt.filter(F.col("b") == b).toLocalIterator()]
     if n > 1:
         discard(dealt)
 
 
+def sieve(dealt: DataFrame, total: int, window: int) -> Sieve:
+    """The filter of the pieces of all parts: the tasks' bits are joined by words of 64, of which there are FILTER_BITS / 64 at most."""
+    bits = min(FILTER_BITS, 1 << max(16, (2 * total - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[int, list[np.ndarray]] = {}
+            for text in batch.column(0).to_pylist():
+                w = words(text)
+                at = pieces_of(w, window)
+                h = _grams(_codes(w), at[0][1])
+                held.setdefault(at[0][1], []).append(h[[i for i, _ in at]])
+            for n, found in held.items():
+                h = np.concatenate(found)
+                at = np.unique(np.concatenate([_probe(h, k, bits) for k in range(PROBES)]))
+                place, first = np.unique(at >> 6, return_index=True)
+                masks = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(masks, pa.int64()), pa.array([n] * len(place), pa.int32())], names=["place", "mask", "n"])
+
+    made = dealt.select("t").mapInArrow(run, "place long, mask long, n int")
+    joined = saved(made.groupBy("place").agg(F.bit_or("mask").alias("mask"), F.collect_set("n").alias("n")), "sieve")
+    lengths = sorted(r.n for r in joined.select(F.explode("n").alias("n")).distinct().collect())
+    table = np.zeros(bits >> 6, np.int64)
+    for r in joined.select("place", "mask").toLocalIterator():
+        table[r.place] = r.mask
+    discard(joined)
+    return Sieve(table.view(np.uint64), bits, lengths)
+
+
+def _sieved(sent: Broadcast, at: int, wanted: bool):
+    """Batches of the rows whose text passes the filter, or of those whose does not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (t if isinstance(t, bytes) else (t or "").encode() for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([sent.value.passes(words(t)) == wanted for t in texts], pa.bool_()))
+
+    return run
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (first word, last word + 1; merged, in order), offsets (their characters in the
     original text, end exclusive) and items (sorted) per row of ``docs``."""
@@ -147,8 +243,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     pairs, listed = pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())
     shape = f"doc_id {kind}, text binary, n_words long, spans array<array<int>>, items array<string>, offsets array<array<int>>"
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<array<int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    written = None
-    for last, block in _blocks(benchmark, window, block_bytes):
+    written, rest = None, None
+    dealt, n, total = _dealt(benchmark, window, block_bytes)
+    if n > 1:
+        held = spark.sparkContext.broadcast(sieve(dealt, total, window))
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _sieved(held, 1, False)(batches):
+                none = [[]] * len(batch)
+                n_words = [len(words(t or b"")) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(none, pairs), pa.array(none, pairs), pa.array(none, listed)], names=["doc_id", "n_words", "spans", "offsets", "items"])
+
+        rest = found.select("doc_id", "text").mapInArrow(counted, f"doc_id {kind}, n_words long, spans array<array<int>>, offsets array<array<int>>, items array<string>")
+        written = found = saved(found.mapInArrow(_sieved(held, 1, True), found.schema), "suspects")
+    for last, block in _blocks(dealt, n):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], name: str = uuid.uuid4().hex, sent=sent, last=last) -> Iterator[pa.RecordBatch]:
@@ -178,7 +286,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
             if written is not None:
                 discard(written)
             written = found
-    return found.select("doc_id", "n_words", "spans", "offsets", "items")
+    found = found.select("doc_id", "n_words", "spans", "offsets", "items")
+    return found if rest is None else rest.unionAll(found)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -218,8 +327,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index("text")
-    written = None
-    for last, block in _blocks(benchmark, window, block_bytes):
+    written, rest = None, None
+    dealt, n, total = _dealt(benchmark, window, block_bytes)
+    if n > 1:
+        held = spark.sparkContext.broadcast(sieve(dealt, total, window))
+        rest = docs.mapInArrow(_sieved(held, at, False), docs.schema)
+        written = docs = saved(docs.mapInArrow(_sieved(held, at, True), docs.schema), "suspects")
+    for last, block in _blocks(dealt, n):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], name: str = uuid.uuid4().hex, sent=sent) -> Iterator[pa.RecordBatch]:
@@ -235,4 +349,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
             if written is not None:
                 discard(written)
             written = docs
-    return docs
+    return docs if rest is None else rest.unionAll(docs)

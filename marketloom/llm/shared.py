@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that ends a word; every other character belongs to one.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Files of shards or archives, which have a stated size, that a task reads one after the other.
+FILES_PER_TASK = 8
 _OWN: dict[str, str] = {}
 
 
@@ -75,6 +77,11 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(name, str(most))
 
 
+def tasks_for(spark: SparkSession, files: int) -> int:
+    """Tasks that read ``files`` files: ``FILES_PER_TASK`` files each, but no fewer than a few tasks a core."""
+    return max(1, -(-files // FILES_PER_TASK), min(files, 4 * spark.sparkContext.defaultParallelism))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -36,10 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import filesystem, new_folder, saved, shared_dir, small_batches
+from .shared import filesystem, new_folder, saved, shared_dir, small_batches, tasks_for
 
 MAGIC, FORMAT = b"MLSSTBL1", 1
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 64 << 20
+#: Rows of a file of the second index, and of its list of files that a lookup sends to the workers at most.
+INDEX_ROWS, MOST_INDEX_FILES = 4096, 100_000
 SALTS, SEED = 1024, 11
 _FOOTER = struct.Struct("<8sIIQQQIQII")
 _INDEX = struct.Struct("<9s9sQII")
@@ -235,8 +237,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     if rows[0]:
                         yield _batch(rows)
 
-    # a task per shard: a stated number is not merged, however few bytes the paths are
-    shards = manifest.select("path", "start").repartitionByRange(max(1, manifest.count()), "path")
+    # a stated number of tasks is not merged, however few bytes the paths are
+    shards = manifest.select("path", "start").repartitionByRange(tasks_for(spark, manifest.count()), "path")
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -244,28 +246,72 @@ def _batch(rows: tuple[list, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def lookup(manifest: DataFrame, ids: DataFrame) -> DataFrame:
+def write_index(manifest: DataFrame, rows: int = INDEX_ROWS) -> DataFrame:
+    """Writes the manifest in order of key to files of about ``rows`` rows; one row per file: first_key, last_key, path."""
+    spark = manifest.sparkSession
+    folder = new_folder(spark, "index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            whole = pa.Table.from_batches(held).select(["first_key", "last_key", "path"])
+            fs, root = filesystem(folder)
+            fs.create_dir(root, recursive=True)
+            task = TaskContext.get()
+            path = f"{root}/index-{task.partitionId():06d}.arrow"
+            with fs.open_output_stream(f"{path}.{task.taskAttemptId()}") as out, pa.ipc.new_file(out, whole.schema) as writer:
+                writer.write_table(whole)
+            if fs.get_file_info(path).is_file:
+                fs.delete_file(path)
+            fs.move(f"{path}.{task.taskAttemptId()}", path)
+            first, last = whole["first_key"][0].as_py(), whole["last_key"][len(whole) - 1].as_py()
+            yield pa.RecordBatch.from_pydict({"first_key": [first], "last_key": [last], "path": [path]})
+
+    ordered = manifest.repartitionByRange(max(1, -(-manifest.count() // rows)), "part", "roll").sortWithinPartitions("part", "roll")
+    return saved(ordered.select("first_key", "last_key", "path").mapInArrow(run, "first_key binary, last_key binary, path string"), "index")
+
+
+def _holding(ranges: list[tuple[bytes, bytes, str]], key: bytes) -> Iterator[str]:
+    """The paths of the ranges, in order of key, that hold a key."""
+    for first, _, path in ranges[bisect_left(ranges, key, key=lambda r: r[1]) :]:
+        if first > key:
+            break
+        yield path
+
+
+def lookup(manifest: DataFrame, ids: DataFrame, index_rows: int = INDEX_ROWS) -> DataFrame:
     """(doc_id, token_ids), a row for every row that was written with an id of ``ids`` (doc_id).
 
-    Each id is sent to the shards whose key range holds it, by binary search over the manifest (a broadcast
-    row of some 100 bytes a shard), and asked there through Bloom filter and block index.
+    Each id is sent to the shards whose key range holds it and asked there through Bloom filter and block index. The
+    shards are found by two binary searches: over the files of an index of the manifest, of which the workers get a row
+    of some 100 bytes per ``index_rows`` shards (checked: at most ``MOST_INDEX_FILES``), and in one such file.
     """
     spark = manifest.sparkSession
     small_batches(spark)
     folder = shared_dir(spark)
-    shards = [(bytes(r.first_key), bytes(r.last_key), r.path) for r in manifest.select("first_key", "last_key", "path", "part", "roll").orderBy("part", "roll").toLocalIterator()]
-    sent = spark.sparkContext.broadcast(shards)
+    index = write_index(manifest, index_rows)
+    if index.count() > MOST_INDEX_FILES:
+        raise ValueError(f"more than {MOST_INDEX_FILES} index files: take more rows a file than {index_rows}")
+    files = sorted((bytes(r.first_key), bytes(r.last_key), r.path) for r in index.toLocalIterator())
+    sent = spark.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(folder)
-        shards, opened, shard, file = sent.value, None, None, None
+        opened, shard, file = None, None, None
+        loaded: dict[str, list[tuple[bytes, bytes, str]]] = {}  # the index file read last: ids come in order
+
+        def ranges(path: str) -> list[tuple[bytes, bytes, str]]:
+            if path not in loaded:
+                loaded.clear()
+                with fs.open_input_file(path) as f:
+                    loaded[path] = list(zip(*(c.to_pylist() for c in pa.ipc.open_file(f).read_all().columns), strict=True))
+            return loaded[path]
+
         for batch in batches:
             out: tuple[list, list] = ([], [])
             for doc_id in batch.column(0).to_pylist():
                 key = key_of(doc_id)
-                for first, _, path in shards[bisect_left(shards, key, key=lambda s: s[1]) :]:
-                    if first > key:
-                        break
+                for path in (p for part in _holding(sent.value, key) for p in _holding(ranges(part), key)):
                     if opened != path:  # ids come in order, so a shard is opened once a task
                         if file is not None:
                             file.close()

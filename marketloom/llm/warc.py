@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_folder, saved, shared_dir, small_batches
+from .shared import filesystem, new_folder, saved, shared_dir, small_batches, tasks_for
 
 SEGMENT, CHUNK, FILE_BYTES, REVISIT_BYTES = 16 << 10, 4 << 10, 32 << 20, 1000
 #: Repeated digests up to this number are broadcast (50 MB); of more, those above a HOT-th of the repeated pages.
@@ -204,8 +204,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_PA_PARSED)
 
-    # a task per file: a stated number is not merged, however few bytes the paths are
-    parsed = archives.repartitionByRange(max(1, archives.count()), "path").mapInArrow(run, _PARSED)
+    # a stated number of tasks is not merged, however few bytes the paths are
+    parsed = archives.repartitionByRange(tasks_for(spark, archives.count()), "path").mapInArrow(run, _PARSED)
     whole = parsed.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_reassembled, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, problem string")
     pages = saved(whole, "pages")
     short = pages.filter("record_type = 'revisit' and payload_bytes is null")

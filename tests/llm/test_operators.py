@@ -226,7 +226,7 @@ def test_shards_round_trip(spark, docs, rows):
     assert sorted(tuple(r) for r in sstable.read_shards(small).collect()) == sorted(brute.shard_rows(rows, encode))
 
 
-def test_shards_of_repeated_ids_in_wide_ids_and_damaged(spark):
+def test_shards_of_repeated_ids_in_wide_ids_and_damaged(spark, monkeypatch):
     library = Tokenizer.from_file(TOKENIZER)
     texts = [f"text {i % 7} of one id " * 40 for i in range(300)]
     df = spark.createDataFrame([(5 if i % 2 else None, t) for i, t in enumerate(texts)] + [(-3, "x"), (9, None)], "doc_id long, text string")
@@ -240,6 +240,10 @@ def test_shards_of_repeated_ids_in_wide_ids_and_damaged(spark):
     want = Counter(zlib.crc32(array("I", [*library.encode(t, add_special_tokens=False).ids, 70_000]).tobytes()) for t in [*texts, "x", ""])
     assert Counter(r.ids_crc32 for r in rows) == want
     assert manifest.count() > 1 and sstable.lookup(manifest, df).count() == 302
+    assert sstable.write_index(manifest, 2).count() > 1 and sstable.lookup(manifest, df, index_rows=2).count() == 302
+    monkeypatch.setattr(sstable, "MOST_INDEX_FILES", 1)
+    with pytest.raises(ValueError, match="index files"):
+        sstable.lookup(manifest, df, index_rows=2)
     path = manifest.first().path
     with open(path, "rb") as f:
         data = f.read()
@@ -416,9 +420,24 @@ def test_decontamination_of_random_words(spark, monkeypatch):
     some = lambda n: " ".join(rng.choice("ab") for _ in range(n))
     rows = [(i, some(rng.randrange(400))) for i in range(60)]
     items = [(f"i{i}", some(rng.choice([1, 4, 5, 6, 9, 10, 11, 60, 200])) + " c" * rng.randrange(2)) for i in range(40)] + [("i1", some(12))]
-    got = by_id(decontaminate.digest(decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))))
-    for i, t in rows:
-        assert tuple(got[i])[1:] == brute.contamination(t, items)
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for block_bytes in (1 << 20, 2000):
+        got = by_id(decontaminate.digest(decontaminate.hits(docs, benchmark, block_bytes=block_bytes)))
+        for i, t in rows:
+            assert tuple(got[i])[1:] == brute.contamination(t, items)
+
+
+def test_sieve_holds_every_piece_and_little_else(spark):
+    rng = random.Random(6)
+    some = lambda n, letters: [("".join(rng.choice(letters) for _ in range(6))).encode() for _ in range(n)]
+    items = [some(rng.choice([3, 9, 10, 50, 300]), "abcdef") for _ in range(200)]
+    dealt, _, total = decontaminate._dealt(spark.createDataFrame([(f"i{i}", b" ".join(w).decode()) for i, w in enumerate(items)], "item_id string, text string"), 10, 1 << 14)
+    found = decontaminate.sieve(dealt, total, 10)
+    assert found.lengths == [3, 5, 9] and total * 2 <= found.bits < total * 4
+    assert all(found.passes([b"x", *w, b"y"]) for w in items)
+    assert all(found.passes(w[i : i + 10]) for w in items if len(w) >= 10 for i in range(len(w) - 9))
+    assert sum(found.passes(some(300, "ghijkl")) for _ in range(300)) <= 15
+    assert not found.passes([]) and not found.passes([b"x"])
 
 
 def test_secrets(docs, rows):
