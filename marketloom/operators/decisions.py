@@ -31,15 +31,30 @@ def gate(th: GateThresholds = GateThresholds(), existing: bool = True) -> Column
     return decision.when(passes, "promote").when(C("ic_t_stat") < th.t_retire, "retire").otherwise("hold")
 
 
+def two_digits(x: Column) -> Column:
+    """``%.2f`` of C, Python and SQL: the binary number decides, ties go to even (Java's rounds its shortest decimal half up).
+
+    Exact below 2^63, beyond it digits after the seventeenth are zeros. From 2^46 on a number has
+    six binary places at most, so its fraction is written by itself and never rounds to one.
+    """
+    digits = lambda c: F.call_function("format_number", c, F.lit("0.00"))
+    size, whole = F.abs(x), x.try_cast("bigint")
+    return (
+        F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when((size >= 2.0**46) & (size < 2.0**63), F.concat(whole.cast("string"), F.substring(digits(F.abs(x - whole)), 2, 3)))
+        .otherwise(digits(x))
+    )
+
+
 def gate_reason(decision: str, th: GateThresholds = GateThresholds()) -> Column:
     # fixed values: the texts of the reasons
-    t, s = F.format_string("%.2f", C("ic_t_stat")), F.format_string("%.2f", C("ls_sharpe"))
+    t, s, turnover, corr = (two_digits(C(c)) for c in ("ic_t_stat", "ls_sharpe", "turnover", "max_corr_with_existing"))
     why = F.concat_ws(
         "; ",
         F.when(C("ic_t_stat") < th.t_promote, F.concat(F.lit("t_IC="), t, F.lit(f" < {th.t_promote}"))),
         F.when(C("ls_sharpe") < th.sharpe_promote, F.concat(F.lit("Sharpe="), s, F.lit(f" < {th.sharpe_promote}"))),
-        F.when(C("turnover") > th.max_turnover, F.format_string(f"turnover=%.2f > {th.max_turnover}", C("turnover"))),
-        F.when(C("max_corr_with_existing") > th.max_corr, F.format_string("redundant (corr=%.2f with existing factor)", C("max_corr_with_existing"))),
+        F.when(C("turnover") > th.max_turnover, F.concat(F.lit("turnover="), turnover, F.lit(f" > {th.max_turnover}"))),
+        F.when(C("max_corr_with_existing") > th.max_corr, F.concat(F.lit("redundant (corr="), corr, F.lit(" with existing factor)"))),
     )
     return (
         F.when(C(decision) == "promote", F.concat(F.lit("Promoted: t_IC="), t, F.lit(f" >= {th.t_promote} AND Sharpe="), s, F.lit(f" >= {th.sharpe_promote}")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scans
@@ -25,6 +25,11 @@ def _rounded(df: DataFrame, *values: str, keys: tuple[str, ...] = ("date", "symb
     return df.select(*keys, *[(F.round(F.col(v), 6) + 0.0).alias(v) for v in values])
 
 
+def _six_digits(x: Column) -> Column:
+    """SQL's round(x, 6), which rounds the product; F.round(x, 6) rounds the shortest decimal and drops the sign of zero."""
+    return F.signum(x) * F.round(F.abs(x) * 1e6) / 1e6
+
+
 def _primitives(*names: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(with_primitives(market.panel(spark, sf_dir), list(names)), *names)
@@ -124,8 +129,8 @@ def redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on a grid of metrics made from line items: a row per supplier."""
     g = market.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("factor")).agg(
-        F.round(F.avg("l_quantity") / 8, 6).alias("ic_t_stat"), F.round(F.avg("l_discount") * 25, 6).alias("ls_sharpe"),
-        F.round(F.avg("l_tax") * 14, 6).alias("turnover"), F.round(F.max("l_discount") * 7, 6).alias("max_corr_with_existing"),
+        _six_digits(F.avg("l_quantity") / 8).alias("ic_t_stat"), _six_digits(F.avg("l_discount") * 25).alias("ls_sharpe"),
+        _six_digits(F.avg("l_tax") * 14).alias("turnover"), _six_digits(F.max("l_discount") * 7).alias("max_corr_with_existing"),
     )
     return g.withColumn("decision", decisions.gate()).withColumn("reason", decisions.gate_reason("decision")).select("factor", "decision", "reason")
 
